@@ -84,6 +84,10 @@ EMOJI_REFERENCE = (
     ("😧", "0x1f627", "ANGUISHED FACE"),
 )
 
+# The first, six-emoji lexicon (four positive, two negative) used before the expansion.
+EARLY_POSITIVE_EMOJIS = ("😍", "😊", "😁", "😘")
+EARLY_NEGATIVE_EMOJIS = ("😭", "😧")
+
 # Emoji lists scanned code point by code point in the error analyses.
 ERROR_ANALYSIS_EMOJIS = "😭😊😍😧😂❤️"
 ARCHETYPE_EMOJIS = "😭😊😍😧😂❤️😁😘😩😤"
