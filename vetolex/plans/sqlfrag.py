@@ -171,6 +171,8 @@ def values_table(rows, columns) -> str:
             return "TRUE" if v else "FALSE"
         if isinstance(v, str):
             return lit(v)
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
         return repr(v)
     body = ", ".join("(" + ", ".join(fmt(v) for v in r) + ")" for r in rows)
     return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(columns)}))"
