@@ -179,10 +179,10 @@ def predict_sentiment(df: DataFrame, model: LinearTextModel, text: str = "text",
     )
 
 
-def scored_frame(df: DataFrame, model: LinearTextModel, text: str = "text") -> DataFrame:
+def scored_frame(df: DataFrame, model: LinearTextModel, text: str = "text", extended_words: bool = False) -> DataFrame:
     """Features + model + veto columns, used by the evaluation operators."""
     from .features import add_polarity_features
-    return resolve(score_relational(add_polarity_features(df, text), model, text))
+    return resolve(score_relational(add_polarity_features(df, text, extended_words=extended_words), model, text))
 
 
 def global_signals(model: LinearTextModel, top_n: int = 5) -> DataFrame:

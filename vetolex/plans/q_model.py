@@ -22,7 +22,7 @@ VAL = f"(SELECT id, label, text FROM {split_sql(P)} WHERE split = 'val')"
 
 # ---------------------------------------------------------------- SQL side of the fixed model
 
-def scored_cte(source: str = P) -> str:
+def scored_cte(source: str = P, extended_words: bool = False) -> str:
     """CTEs ``f`` features, ``c`` in-vocabulary term counts, ``z`` resolved rows, ``dr`` ranked drivers."""
     rows = M.fixed_weight_rows()
     w = Q.values_table(rows, ["term", "idx", "idf", "coef"])
@@ -32,8 +32,10 @@ def scored_cte(source: str = P) -> str:
         f"SELECT id, {n_text + k} AS idx, {Q.lit(c)} AS token, CAST({round(coef, 4)!r} AS DOUBLE) AS weight FROM f WHERE {c} <> 0"
         for k, (c, coef) in enumerate(M.FIXED_NUMERIC_COEF))
     veto = Q.veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count")
+    pol = Q.polarity_ext("text") if extended_words else Q.polarity("text")
+    feats = ", ".join(f"{e} AS {n}" for n, e in pol.items())
     return f"""WITH w AS {w},
-f AS (SELECT id, label, text, {Q.polarity_select('text')} FROM {source}),
+f AS (SELECT id, label, text, {feats} FROM {source}),
 tk AS (SELECT id, {Q.tokens('text')} AS tok FROM f),
 g AS (SELECT id, unnest({Q.ngrams('tok')}) AS term FROM tk),
 c AS (SELECT g.id, g.term, w.idx, w.idf, w.coef, count(*) AS tf FROM g JOIN w ON g.term = w.term
@@ -51,11 +53,11 @@ dr AS (SELECT d.*, row_number() OVER (PARTITION BY d.id ORDER BY CASE WHEN z.vet
 """
 
 
-def scored(spark, sf, val_only=False):
+def scored(spark, sf, val_only=False, extended_words=False):
     p = posts(spark, sf)
     if val_only:
         p = stratified_split(p).where(F.col("split") == "val").drop("split")
-    return M.scored_frame(p, M.fixed_model(spark))
+    return M.scored_frame(p, M.fixed_model(spark), extended_words=extended_words)
 
 
 # ---------------------------------------------------------------- TF-IDF (fit on the whole corpus)
