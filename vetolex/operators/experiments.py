@@ -141,3 +141,94 @@ def run_feature_experiments(run, sets: list[tuple[str, dict]]) -> DataFrame:
         r = evaluate_fit(m, vv, name)
         out = r if out is None else out.unionByName(r)
     return out.select("experiment", "accuracy", "f1")
+
+
+# ---------------------------------------------------------------- per-boost refits
+
+# FIXED VALUES — behaviour probes of the boost and veto experiments: (text, expected, category).
+CONFLICT_CASES = (
+    ("i love having bugs 😭", 0, "conflict"),
+    ("great, another meeting 😧", 0, "conflict"),
+    ("this is terrible 😊", 0, "conflict"),
+    ("I hate this so much 😍", 0, "conflict"),
+)
+CEILING_CASES = (
+    ("This is a terrible and awful day 😊", 0, "text-dominant"),
+    ("I hate this movie, it was bad 😊", 0, "text-dominant"),
+    ("I love this so much 😍", 1, "agreement"),
+    ("Absolute garbage 😭", 0, "agreement"),
+    ("i love having bugs 😭", 0, "sarcasm"),
+)
+BOUNDARY_CASES = (
+    ("i love having bugs 😭", 0, "sarcasm"),
+    ("great, another meeting 😧", 0, "sarcasm"),
+    ("wow amazing day 😭😭", 0, "sarcasm"),
+    ("RIP grandma 😭", 0, "genuine-sad"),
+    ("this movie made me cry 😭", 0, "genuine-sad"),
+    ("I'm dead 😭😭", 1, "ambiguous-emoji"),
+    ("she ate that performance 😭", 1, "ambiguous-emoji"),
+    ("this is so beautiful 😭😭", 1, "pos-overwhelm"),
+    ("I can't believe we won 😭", 1, "pos-overwhelm"),
+)
+
+
+def rescale(df: DataFrame, boost: int) -> DataFrame:
+    """Emoji signal at another boost (linear in the boost), from boost-10 columns."""
+    return df.withColumns({c: ((F.col(c) / L.EMOJI_BOOST).cast("int") * boost).cast("int")
+                           for c in ("emoji_pos_count", "emoji_neg_count")})
+
+
+class BoostFits:
+    """One shared split + training vocabulary; one LR fit per (boost, word list), memoised.
+    Only the emoji columns change between boosts, so TF-IDF is never refitted."""
+
+    def __init__(self, posts: DataFrame):
+        from .train import prepare
+        self.base = prepare(posts)
+        from .features import add_polarity_features
+        ext_data = add_polarity_features(self.base.data.drop(*L.NUMERIC_FEATURES), extended_words=True)
+        ext_data = ext_data.persist(StorageLevel.MEMORY_AND_DISK)
+        self.ext = type(self.base)(ext_data, self.base.vocab, self.base.n_text, self.base.n_train, L.NUMERIC_FEATURES)
+        self.fits: dict = {}
+
+    def run(self, extended: bool):
+        return self.ext if extended else self.base
+
+    def fit_all(self, keys):
+        from .train import assemble_hybrid, extract_weights, train_logistic
+        todo = [k for k in keys if k not in self.fits]
+
+        def one(key):
+            boost, extended = key
+            run = self.run(extended)
+            vec = assemble_hybrid(run, rescale(run.rows("train"), boost)).persist(StorageLevel.MEMORY_AND_DISK)
+            lr = train_logistic(vec, run.n_train)
+            return key, (lr, extract_weights(run, lr))
+        for key, val in fit_many([lambda k=k: one(k) for k in todo]):
+            self.fits[key] = val
+        return {k: self.fits[k] for k in keys}
+
+
+def score_at(model, rows: DataFrame, boost: int, threshold=L.EMOJI_BOOST, guard=L.VETO_GUARD,
+             veto: str = "production") -> DataFrame:
+    """Relational score of ``rows`` (boost-10 features) at ``boost`` with the given veto rule."""
+    from .model import score_relational
+    s = score_relational(rescale(rows, boost), model)
+    if veto == "original":
+        fired = S.original_veto_fires("emoji_neg_count", "emoji_pos_count", threshold)
+        conf = F.lit(L.ORIGINAL_VETO_CONFIDENCE)
+    elif veto == "none":
+        fired, conf = F.lit(False), F.lit(None).cast("double")
+    else:
+        fired = S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count", threshold, guard)
+        conf = S.veto_confidence("emoji_neg_count", "emoji_pos_count")
+    return (s.withColumn("fired", fired)
+            .withColumn("prediction_int", F.when(fired, 0).otherwise(F.col("model_prediction")))
+            .withColumn("confidence", F.round(F.when(fired, conf).otherwise(S.confidence("p1")), 4)))
+
+
+def case_rows(spark, cases, extended: bool = False) -> DataFrame:
+    from .features import add_polarity_features
+    df = spark.createDataFrame([(i, t, e, c) for i, (t, e, c) in enumerate(cases)],
+                               "id long, text string, label int, category string")
+    return add_polarity_features(df, extended_words=extended)
