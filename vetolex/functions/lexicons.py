@@ -132,3 +132,7 @@ def code_point_set(literal: str) -> tuple[str, ...]:
 
 def word_list(base, extra=()) -> tuple[str, ...]:
     return distinct(tuple(base) + tuple(extra))
+
+
+# Lowest code point of any one-code-point emoji entry (derived, not a fixed value).
+EMOJI_FLOOR = min(ord(c) for c in single_code_points(POSITIVE_EMOJIS + NEGATIVE_EMOJIS))

@@ -26,12 +26,25 @@ def safe_text(text) -> Column:
 
 # ---------------------------------------------------------------- polarity
 
-def emoji_polarity_count(text, emojis, boost=L.EMOJI_BOOST) -> Column:
-    """``boost`` for every code point of ``text`` that is a one-code-point lexicon entry."""
-    t = safe_text(text)
+def below_class(min_code_point: int) -> str:
+    """A range class of every code point below ``min_code_point``."""
+    return "[\\x{0}-\\x{%X}]" % (min_code_point - 1)
+
+
+def high_plane(text, floor: int = L.EMOJI_FLOOR) -> Column:
+    """Only the code points at or above ``floor`` (every emoji entry is there).  One cheap
+    range-class pass shrinks long texts to a few characters before the large emoji class runs."""
+    return F.regexp_replace(safe_text(text), F.lit(below_class(floor)), F.lit(""))
+
+
+def emoji_polarity_count(text, emojis, boost=L.EMOJI_BOOST, stripped: bool = False) -> Column:
+    """``boost`` for every code point of ``text`` that is a one-code-point lexicon entry.
+
+    ``stripped=True`` when ``text`` is already :func:`high_plane` output."""
     chars = L.single_code_points(emojis)
     if not chars:
         return F.lit(0)
+    t = safe_text(text) if stripped or min(ord(c) for c in chars) < L.EMOJI_FLOOR else high_plane(text)
     removed = F.regexp_replace(t, F.lit(L.char_class(chars)), F.lit(""))
     return ((F.length(t) - F.length(removed)) * _boost(boost)).cast("int")
 
@@ -54,9 +67,9 @@ def emoticon_count(text, emoticons, boost=L.EMOJI_BOOST) -> Column:
     return (total * _boost(boost)).cast("int")
 
 
-def word_presence_count(text, words) -> Column:
+def word_presence_count(text, words, lowered: bool = False) -> Column:
     """Number of distinct lexicon words found as a substring of the lower-cased text."""
-    low = F.lower(safe_text(text))
+    low = safe_text(text) if lowered else F.lower(safe_text(text))
     total = F.lit(0)
     for w in L.distinct(words):
         total = total + F.when(F.instr(low, w) > 0, 1).otherwise(0)

@@ -14,9 +14,20 @@ def add_polarity_features(df: DataFrame, text_col: str = "text", boost=L.EMOJI_B
     """Append ``emoji_pos_count, emoji_neg_count, word_pos_count, word_neg_count``.
 
     One projection; all rules are codegen'd string expressions (no shuffle, no UDF)."""
-    feats = (S.polarity_features_ext(text_col, boost) if extended_words
-             else S.polarity_features(text_col, boost))
-    return df.withColumns(feats)
+    pos_words = L.word_list(L.POSITIVE_WORDS, L.POSITIVE_WORDS_EXTRA) if extended_words else L.POSITIVE_WORDS
+    neg_words = L.word_list(L.NEGATIVE_WORDS, L.NEGATIVE_WORDS_EXTRA) if extended_words else L.NEGATIVE_WORDS
+    # shared inputs are materialised once as columns (each is read by many rules)
+    prep = df.withColumns({"_vx_t": S.safe_text(text_col)})
+    prep = prep.withColumns({"_vx_low": F.lower("_vx_t"), "_vx_hi": S.high_plane("_vx_t")})
+    feats = {
+        "emoji_pos_count": (S.emoji_polarity_count("_vx_hi", L.POSITIVE_EMOJIS, boost, stripped=True)
+                            + S.emoticon_count("_vx_t", L.POSITIVE_EMOTICONS, boost)).cast("int"),
+        "emoji_neg_count": (S.emoji_polarity_count("_vx_hi", L.NEGATIVE_EMOJIS, boost, stripped=True)
+                            + S.emoticon_count("_vx_t", L.NEGATIVE_EMOTICONS, boost)).cast("int"),
+        "word_pos_count": S.word_presence_count("_vx_low", pos_words, lowered=True),
+        "word_neg_count": S.word_presence_count("_vx_low", neg_words, lowered=True),
+    }
+    return prep.withColumns(feats).drop("_vx_t", "_vx_low", "_vx_hi")
 
 
 def validate_features(df: DataFrame, required=("label", "text") + L.NUMERIC_FEATURES) -> DataFrame:

@@ -191,3 +191,40 @@ def global_signals(model: LinearTextModel, top_n: int = 5) -> DataFrame:
     pos = w.orderBy(F.col("coef").desc(), "idx").limit(top_n).withColumn("direction", F.lit("positive"))
     neg = w.orderBy(F.col("coef").asc(), "idx").limit(top_n).withColumn("direction", F.lit("negative"))
     return pos.unionByName(neg).select("direction", F.col("term").alias("token"), "idx", F.round("coef", 2).alias("weight"))
+
+
+# ---------------------------------------------------------------- row-wise scorer (small models)
+
+ROWWISE_MAX_TERMS = 50_000
+
+
+def score_rowwise(df: DataFrame, model: LinearTextModel, text: str = "text") -> DataFrame:
+    """Same decision as :func:`score_relational` without any join or shuffle: the weights are
+    a literal map and every row is scored with array functions.  For small models only
+    (size checked), e.g. scoring a stream without grouping state; also an independent
+    second scorer for :func:`parity_join`."""
+    if model.n_text > ROWWISE_MAX_TERMS:
+        raise ValueError(f"row-wise scoring needs a vocabulary <= {ROWWISE_MAX_TERMS} terms, got {model.n_text}")
+    rows = model.text_weights.select("term", "idf", "coef").collect()  # bounded by the check above
+    m = F.create_map(*[x for r in rows for x in (F.lit(r["term"]), F.struct(F.lit(r["idf"]).alias("idf"),
+                                                                              F.lit(r["coef"]).alias("coef")))])
+    g = S.with_ngrams(df, text, "_g", model.ngram_max)
+    g = g.withColumn("_k", F.filter("_g", lambda t: F.map_contains_key(m, t)))
+    g = g.withColumn("_d", F.array_distinct("_k"))
+    acc = F.aggregate(
+        "_d", F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq")),
+        lambda a, t: F.struct(
+            (a["dot"] + F.size(F.filter("_k", lambda y: y == t)) * m[t]["idf"] * m[t]["coef"]).alias("dot"),
+            (a["sq"] + F.pow(F.size(F.filter("_k", lambda y: y == t)) * m[t]["idf"], 2)).alias("sq")))
+    g = g.withColumn("_a", acc)
+    text_logit = F.when(F.col("_a.sq") > 0, F.col("_a.dot") / F.sqrt(F.col("_a.sq"))).otherwise(F.lit(0.0))
+    out = g.withColumn("text_logit", text_logit).drop("_g", "_k", "_d", "_a")
+    logit = F.col("text_logit") + numeric_logit(model) + F.lit(model.intercept)
+    return (out.withColumn("logit", logit).withColumn("p1", S.sigmoid("logit"))
+            .withColumn("model_prediction", F.when(F.col("logit") > 0, 1).otherwise(0)))
+
+
+def parity_join(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
+    """Row-by-row comparison of two scorers: full outer join on the row key."""
+    return (a.select(id_col, F.col("p1").alias("p1_a"), F.col("model_prediction").alias("pred_a"))
+            .join(b.select(id_col, F.col("p1").alias("p1_b"), F.col("model_prediction").alias("pred_b")), id_col, "full_outer"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_corpus, q_experiments, q_grid, q_model, q_scalars, q_train  # noqa: F401  (registers queries)
+from . import q_builtins, q_corpus, q_experiments, q_grid, q_model, q_scalars, q_stream, q_train  # noqa: F401  (registers queries)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
