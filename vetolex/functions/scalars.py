@@ -148,18 +148,16 @@ def tokenize(text) -> Column:
 def word_ngrams(tokens, n_max: int = 2, n_min: int = 1) -> Column:
     """Unigrams first (when ``n_min == 1``), then n-grams joined by one space, n <= n_max.
 
-    ``tokens`` should be a column *reference* (see :func:`with_ngrams`): it is read
-    several times, and an inlined tokenizer would be re-run for every read."""
+    Tokens never contain whitespace, so the n-grams are read off the space-joined token
+    string with one zero-width look-ahead match per token start — a native regex pass, no
+    per-element lambda.  ``tokens`` should be a column *reference* (see :func:`with_ngrams`)."""
     tok = _col(tokens)
     parts = [tok] if n_min <= 1 else []
-    size = F.size(tok)
-    for n in range(max(n_min, 2), n_max + 1):
-        # n shifted views of the token array zipped together: no per-element indexing.
-        shifted = [F.slice(tok, k + 1, size - n + 1) for k in range(n)]
-        grams = shifted[0]
-        for nxt in shifted[1:]:
-            grams = F.zip_with(grams, nxt, lambda a, b: F.concat(a, F.lit(" "), b))
-        parts.append(F.when(size >= n, grams).otherwise(F.array().cast("array<string>")))
+    if n_max >= max(n_min, 2):
+        joined = F.array_join(tok, " ")
+        for n in range(max(n_min, 2), n_max + 1):
+            pattern = "(?<=^| )(?=(\\S+" + "(?: \\S+)" * (n - 1) + "))"
+            parts.append(F.regexp_extract_all(joined, F.lit(pattern), F.lit(1)))
     if not parts:
         return F.array().cast("array<string>")
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -76,12 +76,13 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``labels`` is a small fraction of ``documents``; the join is a plain equi-join
     on the document key and Catalyst/AQE pick broadcast or shuffle from the sizes.
     """
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = (read_table(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
+              .select("doc_id", F.col("quality").cast("int").alias("label")))
+    # the suffix is never null, so the null test is on the stored text (pushed into the scan)
+    docs = read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
     return (docs.join(labels, "doc_id")
             .select(F.col("doc_id").alias("id"), "label",
-                    F.concat(F.col("text"), post_suffix("doc_id")).alias("text"))
-            .where(F.col("text").isNotNull() & F.col("label").isNotNull()))
+                    F.concat(F.col("text"), post_suffix("doc_id")).alias("text")))
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
