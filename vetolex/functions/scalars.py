@@ -170,6 +170,16 @@ def with_ngrams(df, text_col: str = "text", out_col: str = "grams", n_max: int =
     return out.withColumnRenamed("_tok", "tokens") if keep_tokens else out.drop("_tok")
 
 
+def explode_nonempty(df, array_col, alias: str, *keep):
+    """``explode`` without the optimizer's inferred ``size(array) > 0`` pre-filter.
+
+    For a plain ``explode`` Spark infers that filter and pushes it below the projection,
+    where it re-evaluates the (expensive) expression that builds the array.  The outer
+    form keeps one evaluation; empty arrays give a null element, dropped right after."""
+    return (df.select(*keep, F.explode_outer(array_col).alias(alias))
+            .where(F.col(alias).isNotNull()))
+
+
 def truncate_text(text, n: int) -> Column:
     return F.substring(safe_text(text), 1, n)
 

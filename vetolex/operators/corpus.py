@@ -40,11 +40,11 @@ def emoji_lexicon(spark: SparkSession, which: str = "expanded") -> DataFrame:
 
 def emoji_occurrences(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """One row per reference-emoji occurrence (rows without any are dropped)."""
-    return df.select(id_col, F.explode(S.extract_known_emojis(text)).alias("emoji"))
+    return S.explode_nonempty(df, S.extract_known_emojis(text), "emoji", id_col)
 
 
 def symbol_occurrences(df: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
-    return df.select(id_col, F.explode(S.extract_symbols(text)).alias("symbol"))
+    return S.explode_nonempty(df, S.extract_symbols(text), "symbol", id_col)
 
 
 def emoji_frequency(df: DataFrame, text: str = "text") -> DataFrame:

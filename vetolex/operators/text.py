@@ -30,7 +30,7 @@ BROADCAST_MAX_TERMS = 2_000_000
 def term_occurrences(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2) -> DataFrame:
     """``(id, term)`` per n-gram occurrence (unigrams first, then bigrams)."""
     grams = S.with_ngrams(df.select(id_col, text), text, "_g", n_max)
-    return grams.select(F.col(id_col).alias("id"), F.explode("_g").alias("term"))
+    return S.explode_nonempty(grams.withColumnRenamed(id_col, "id") if id_col != "id" else grams, F.col("_g"), "term", "id")
 
 
 def term_frequency(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2) -> DataFrame:
