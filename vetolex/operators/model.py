@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalars as S
-from .text import BROADCAST_MAX_TERMS, term_occurrences
+from .text import BROADCAST_MAX_TERMS, by_row, term_occurrences
 
 WEIGHTS_SCHEMA = "term string, idx int, idf double, coef double"
 
@@ -116,8 +116,9 @@ def score_relational(df: DataFrame, model: LinearTextModel, text: str = "text",
     """Adds ``text_logit, logit, p1, model_prediction, text_drivers``.
 
     Left join from the rows, so rows without any known term keep intercept + numerics."""
-    tb = text_block(df, model, text, id_col).withColumnRenamed("id", id_col)
-    out = df.join(tb, id_col, "left")
+    rows = by_row(df, id_col)  # one exchange of the rows; both branches below reuse it
+    tb = text_block(rows, model, text, id_col).withColumnRenamed("id", id_col)
+    out = rows.join(tb, id_col, "left")
     logit = F.coalesce(F.col("text_logit"), F.lit(0.0)) + numeric_logit(model) + F.lit(model.intercept)
     return (out.withColumn("text_logit", F.coalesce(F.col("text_logit"), F.lit(0.0)))
             .withColumn("logit", logit)

@@ -3,14 +3,16 @@
 The vocabulary is a DataFrame, never a driver-side dict, so its size is bounded
 by the cluster and not by driver memory.  Plan shape:
 
-* n-grams are built per row with array functions (no shuffle), exploded;
-* ``tf``: ``groupBy(id, term)`` — all grams of a document sit in the partition of
-  that document, so the map-side partial aggregate already yields exact counts and
-  only distinct ``(id, term)`` rows are shuffled;
+* rows are hash-partitioned by ``id`` once, *before* tokenizing: the raw text is the
+  smallest form of the data (a token is a few bytes of text but a ~30-byte
+  ``(id, term, tf)`` row), and afterwards every per-document step — term counts,
+  the L2 norm, the join back to the rows — runs without another exchange;
+* n-grams are built per row with native array / regex functions and exploded;
 * ``df``: ``groupBy(term)`` with partial aggregation, so frequent terms (the hot
-  keys: "the", "of" …) are combined map-side before the shuffle;
+  keys: "the", "of" …) are combined map-side before the only other shuffle;
 * the vocabulary is joined back by ``term``: broadcast when its row count is under
-  a checked bound, otherwise a shuffle join (AQE splits skewed term partitions).
+  a checked bound (keeps the ``id`` partitioning), otherwise a shuffle join (AQE
+  splits skewed term partitions).
 """
 
 from __future__ import annotations
@@ -18,13 +20,19 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-# Largest vocabulary (rows) joined by broadcast; beyond it the join shuffles.
-BROADCAST_MAX_TERMS = 2_000_000
+# Largest vocabulary (rows) joined by broadcast (~40 bytes a row, so at most a few tens of MB);
+# beyond it the join shuffles on ``term`` and AQE splits skewed term partitions.
+BROADCAST_MAX_TERMS = 1_000_000
+
+
+def by_row(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Hash-partition rows by their key so per-row groupings need no further exchange."""
+    return df.repartition(id_col)
 
 
 def term_occurrences(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2) -> DataFrame:
@@ -34,8 +42,9 @@ def term_occurrences(df: DataFrame, text: str = "text", id_col: str = "id", n_ma
 
 
 def term_frequency(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2) -> DataFrame:
-    """``(id, term, tf)`` — raw in-row counts."""
-    return term_occurrences(df, text, id_col, n_max).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, term, tf)`` — raw in-row counts, partitioned by ``id``."""
+    rows = by_row(df.select(id_col, text), id_col)
+    return term_occurrences(rows, text, id_col, n_max).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -74,9 +83,9 @@ def join_vocabulary(tf: DataFrame, vocab: DataFrame, vocab_rows: int | None = No
 def tfidf_transform(tf: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
     """``(id, term, value)``: tf × idf, L2-normalised over in-vocabulary terms of the row."""
     j = join_vocabulary(tf, vocab.select("term", "idf"), vocab_rows).withColumn("_x", F.col("tf") * F.col("idf"))
-    norms = j.groupBy("id").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-    return (j.join(norms, "id")
-            .select("id", "term", "tf", "idf", (F.col("_x") / F.col("_norm")).alias("value")))
+    # per-document window: ``tf`` is already partitioned by id, so no exchange is added
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy("id")))
+    return j.select("id", "term", "tf", "idf", (F.col("_x") / norm).alias("value"))
 
 
 def fit_tfidf(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2,
