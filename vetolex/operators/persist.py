@@ -24,7 +24,8 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         # quote every field and escape quotes by doubling them, the form the reader expects
-        w = w.option("header", True).option("quoteAll", True).option("escape", '"')
+        w = (w.option("header", True).option("quoteAll", True).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.save(path)
     return path
 

@@ -16,9 +16,24 @@ from ..operators import model as M
 from ..operators import persist as PS
 from ..operators import train as TR
 from ..sources.tables import POSTS_SCHEMA, posts, scan_csv
+from . import sqlfrag as Q
 from .registry import query
+from ..operators.split import split_sql
 
 BENCHMARK_F1 = 0.8402
+P = Q.posts_sql()
+
+
+def train_vocab_sql() -> str:
+    """Training-split vocabulary (df in [2, floor(0.95 n_train)]) and per-row features, as CTEs."""
+    return (f"WITH s AS {split_sql(P)}, "
+            f"tr AS (SELECT id, label, text, {Q.polarity_select('text')} FROM s WHERE split = 'train'), "
+            f"tk AS (SELECT id, {Q.tokens('text')} AS tok FROM tr), "
+            f"g AS (SELECT id, unnest({Q.ngrams('tok')}) AS term FROM tk), "
+            "tf AS (SELECT DISTINCT id, term FROM g), "
+            "dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+            "n AS (SELECT count(*) AS n FROM tr), "
+            "v AS (SELECT term FROM dfq, n WHERE df >= 2 AND df <= floor(0.95 * n)) ")
 _MEMO: dict = {}
 
 
@@ -37,7 +52,11 @@ def trained(spark, sf) -> Trained:
     return _MEMO[key]
 
 
-@query("assemble_hybrid")
+@query("assemble_hybrid", lambda: train_vocab_sql() + (
+    ", cnt AS (SELECT tf.id, count(*) AS c FROM tf JOIN v ON tf.term = v.term GROUP BY tf.id) "
+    "SELECT tr.id, CAST(tr.label AS DOUBLE) AS label, CAST(coalesce(cnt.c, 0) + "
+    + " + ".join(f"CAST({c} <> 0 AS INTEGER)" for c in ("emoji_pos_count", "emoji_neg_count", "word_pos_count", "word_neg_count"))
+    + " AS BIGINT) AS nnz FROM tr LEFT JOIN cnt ON tr.id = cnt.id"))
 def q_assemble_hybrid(spark, sf):
     t = trained(spark, sf)
     return t.vec_train.select("id", "label", F.col("nnz").cast("bigint"))
@@ -115,7 +134,8 @@ def q_coef_table(spark, sf):
     return top.unionByName(bottom).unionByName(nums).select("section", "term", "idx", F.round("coef", 4).alias("coef"))
 
 
-@query("save_model")
+@query("save_model", lambda: train_vocab_sql() + (
+    "SELECT false AS numeric, CAST(count(*) AS BIGINT) AS n FROM v UNION ALL SELECT true, CAST(4 AS BIGINT)"))
 def q_save_model(spark, sf):
     t = trained(spark, sf)
     path = PS.save_model(t.model, PS.scratch_path(spark, "model"))
@@ -140,14 +160,14 @@ def q_save_estimator_roundtrip(spark, sf):
     return PS.estimator_roundtrip(t.lr, t.vec_val, PS.scratch_path(spark, "estimator"))
 
 
-@query("sink_table")
+@query("sink_table", lambda: f"SELECT id, label, text, {Q.polarity_select('text')} FROM {P}")
 def q_sink_table(spark, sf):
     from ..operators.features import add_polarity_features
     path = PS.sink_table(add_polarity_features(posts(spark, sf)), PS.scratch_path(spark, "features"))
     return spark.read.parquet(path)
 
 
-@query("scan_csv")
+@query("scan_csv", lambda: f"SELECT id, label, text FROM {P}")
 def q_scan_csv(spark, sf):
     path = PS.sink_table(posts(spark, sf), PS.scratch_path(spark, "posts_csv"), fmt="csv")
     return scan_csv(spark, path, POSTS_SCHEMA)
