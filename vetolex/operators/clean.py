@@ -67,6 +67,8 @@ def reset_index(df: DataFrame, order_col: str = "id", out_col: str = "row_index"
     partition's offset (prefix sum over one row per partition).  The sorted frame is
     checkpointed to the shared checkpoint folder so both passes see one partitioning
     even if executors are lost."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)  # the session's shared folder; a local one only if unset
     ordered = df.repartitionByRange(order_col).sortWithinPartitions(order_col).checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
     tagged = ordered.withColumns({"_pid": F.spark_partition_id(), "_mid": mid})

@@ -238,11 +238,11 @@ def q_emoji_frequency(spark, sf):
     f"(SELECT count(*) FROM (SELECT DISTINCT symbol FROM {sym_sql()} INTERSECT SELECT emoji FROM {lex_sql(REF)})) AS n_both"))
 def q_emoji_coverage(spark, sf):
     syms = K.symbol_occurrences(posts(spark, sf)).select(F.col("symbol").alias("emoji")).distinct()
-    ref = K.emoji_lexicon(spark, "reference")
-    both = syms.intersect(ref)
-    n_corpus = syms.agg(F.count(F.lit(1)).alias("n_corpus"))
-    n_both = both.agg(F.count(F.lit(1)).alias("n_both"))
-    return n_corpus.join(n_both).select("n_corpus", F.lit(len(REF)).alias("n_reference"), "n_both")
+    ref = F.broadcast(K.emoji_lexicon(spark, "reference").withColumn("_in", F.lit(1)))  # 16 rows
+    # one aggregation: distinct corpus symbols and how many of them are reference emojis
+    j = syms.join(ref, "emoji", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_corpus"), F.lit(len(REF)).alias("n_reference"),
+                 F.count("_in").alias("n_both"))
 
 
 @query("coverage_rate", lambda: (
@@ -250,10 +250,12 @@ def q_emoji_coverage(spark, sf):
     f"SELECT round(sum(CASE WHEN emoji IN (SELECT emoji FROM {lex_sql(EARLY)}) THEN n ELSE 0 END) / sum(n), 6) AS coverage_early, "
     f"round(sum(CASE WHEN emoji IN (SELECT emoji FROM {lex_sql(EXPANDED)}) THEN n ELSE 0 END) / sum(n), 6) AS coverage_expanded FROM f"))
 def q_coverage_rate(spark, sf):
-    freq = K.emoji_frequency(posts(spark, sf)).cache()
-    early = K.coverage_rate(freq, K.emoji_lexicon(spark, "early")).withColumnRenamed("coverage", "coverage_early")
-    exp = K.coverage_rate(freq, K.emoji_lexicon(spark, "expanded")).withColumnRenamed("coverage", "coverage_expanded")
-    return early.join(exp)
+    freq = K.emoji_frequency(posts(spark, sf))
+    early = F.broadcast(K.emoji_lexicon(spark, "early").withColumn("_early", F.lit(1)))
+    exp = F.broadcast(K.emoji_lexicon(spark, "expanded").withColumn("_exp", F.lit(1)))
+    j = freq.join(early, "emoji", "left").join(exp, "emoji", "left")
+    share = lambda flag: F.round(F.sum(F.when(F.col(flag).isNotNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6)
+    return j.agg(share("_early").alias("coverage_early"), share("_exp").alias("coverage_expanded"))
 
 
 @query("emoticon_prevalence", lambda: (
