@@ -14,12 +14,30 @@ def add_polarity_features(df: DataFrame, text_col: str = "text", boost=L.EMOJI_B
     """Append ``emoji_pos_count, emoji_neg_count, word_pos_count, word_neg_count``.
 
     One projection; all rules are codegen'd string expressions (no shuffle, no UDF)."""
-    pos_words = L.word_list(L.POSITIVE_WORDS, L.POSITIVE_WORDS_EXTRA) if extended_words else L.POSITIVE_WORDS
-    neg_words = L.word_list(L.NEGATIVE_WORDS, L.NEGATIVE_WORDS_EXTRA) if extended_words else L.NEGATIVE_WORDS
     # shared inputs are materialised once as columns (each is read by many rules)
     prep = df.withColumns({"_vx_t": S.safe_text(text_col)})
     prep = prep.withColumns({"_vx_low": F.lower("_vx_t"), "_vx_hi": S.high_plane("_vx_t")})
-    feats = {
+    return prep.withColumns(_feature_columns(boost, extended_words)).drop("_vx_t", "_vx_low", "_vx_hi")
+
+
+_FEATURE_COLUMNS: dict = {}
+
+
+def _feature_columns(boost, extended_words: bool) -> dict:
+    """The four rule expressions over the helper columns, built once per configuration
+    (they only reference columns by name, so the same expressions serve every frame)."""
+    if not isinstance(boost, int):
+        return _build_feature_columns(boost, extended_words)
+    key = (boost, extended_words)
+    if key not in _FEATURE_COLUMNS:
+        _FEATURE_COLUMNS[key] = _build_feature_columns(boost, extended_words)
+    return _FEATURE_COLUMNS[key]
+
+
+def _build_feature_columns(boost, extended_words: bool) -> dict:
+    pos_words = L.word_list(L.POSITIVE_WORDS, L.POSITIVE_WORDS_EXTRA) if extended_words else L.POSITIVE_WORDS
+    neg_words = L.word_list(L.NEGATIVE_WORDS, L.NEGATIVE_WORDS_EXTRA) if extended_words else L.NEGATIVE_WORDS
+    return {
         "emoji_pos_count": (S.emoji_polarity_count("_vx_hi", L.POSITIVE_EMOJIS, boost, stripped=True)
                             + S.emoticon_count("_vx_t", L.POSITIVE_EMOTICONS, boost)).cast("int"),
         "emoji_neg_count": (S.emoji_polarity_count("_vx_hi", L.NEGATIVE_EMOJIS, boost, stripped=True)
@@ -27,7 +45,6 @@ def add_polarity_features(df: DataFrame, text_col: str = "text", boost=L.EMOJI_B
         "word_pos_count": S.word_presence_count("_vx_low", pos_words, lowered=True),
         "word_neg_count": S.word_presence_count("_vx_low", neg_words, lowered=True),
     }
-    return prep.withColumns(feats).drop("_vx_t", "_vx_low", "_vx_hi")
 
 
 def validate_features(df: DataFrame, required=("label", "text") + L.NUMERIC_FEATURES) -> DataFrame:

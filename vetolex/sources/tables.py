@@ -52,9 +52,19 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+_SCANS: dict = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; projections and filters applied later are pushed into it."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Parquet scan; projections and filters applied later are pushed into it.
+
+    The (immutable, lazy) scan is reused per session so footers and file listings are read
+    once per table rather than once per query."""
+    key = (id(spark), sf_dir, name)
+    df = _SCANS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _SCANS[key] = spark.read.parquet(table_path(sf_dir, name))
+    return df
 
 
 def post_suffix(doc_id) -> F.Column:
