@@ -204,7 +204,7 @@ def q_health_report(spark, sf):
     records = M.predict_sentiment(posts(spark, sf), t.model)
     cf, rec = _records(spark, sf, CE.GOLDEN_CASES, "text string, expected string, expected_driver string")
     g = CE.golden_behaviour(rec, cf)
-    golden = g.select(F.concat(F.lit("test_golden_"), F.col("id").cast("string"), F.lit("_emoji_or_word")).alias("check"),
+    golden = g.select(F.concat(F.lit("test_golden_"), F.col("id").cast("string"), F.lit("_"), F.col("expected_driver")).alias("check"),
                       F.lit(None).cast("bigint").alias("violations"), (F.col("label_ok") & F.col("driver_ok")).alias("passed"))
     checks = CE.check_rows(records).unionByName(golden)
     return CE.health_report(checks)
