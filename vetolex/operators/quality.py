@@ -68,20 +68,21 @@ def validate_split(split_df: DataFrame, label: str = "label", id_col: str = "id"
     ])
 
 
-def validate_response(scored: DataFrame) -> DataFrame:
-    """Scored records: 8 fields, allowed labels/flags, confidence range."""
-    expected = ["timestamp", "raw_text", "prediction", "prediction_int", "confidence",
-                "entropy_flag", "veto_applied", "top_drivers"]
-    missing = len([c for c in expected if c not in scored.columns])
-    row = scored.agg(
+RESPONSE_FIELDS = ["timestamp", "raw_text", "prediction", "prediction_int", "confidence",
+                   "entropy_flag", "veto_applied", "top_drivers"]
+
+
+def _response_spec(scored: DataFrame):
+    missing = len([c for c in RESPONSE_FIELDS if c not in scored.columns])
+    aggs = [
         count_if(~F.col("prediction").isin("Positive", "Negative")).alias("bad_label"),
         count_if(~F.col("prediction_int").isin(0, 1)).alias("bad_int"),
         count_if((F.col("confidence") < 0.5) | (F.col("confidence") > 1.0) | F.col("confidence").isNull()).alias("bad_conf"),
         count_if(~F.col("entropy_flag").isin("High Ambiguity", "Clear Signal")).alias("bad_flag"),
         count_if(F.size("top_drivers") > 3).alias("too_many_drivers"),
         count_if((F.col("prediction") == "Positive") != (F.col("prediction_int") == 1)).alias("label_mismatch"),
-    )
-    return checks_frame(row, [
+    ]
+    checks = [
         ("response_keys", F.lit(missing)),
         ("label_values", F.col("bad_label")),
         ("label_int_values", F.col("bad_int")),
@@ -89,7 +90,34 @@ def validate_response(scored: DataFrame) -> DataFrame:
         ("flag_values", F.col("bad_flag")),
         ("driver_count", F.col("too_many_drivers")),
         ("label_consistency", F.col("label_mismatch")),
-    ])
+    ]
+    return aggs, checks
+
+
+def _veto_range_spec():
+    aggs = [
+        count_if(F.col("veto_applied") & ((F.col("confidence") < L.VETO_CONF_LOW) |
+                                          (F.col("confidence") > L.VETO_CONF_LOW + L.VETO_CONF_SPAN))).alias("veto_out"),
+        count_if(~F.col("veto_applied") & ((F.col("confidence") < 0.5) | (F.col("confidence") > 1.0))).alias("model_out"),
+        count_if(F.col("veto_applied") & (F.col("confidence") == L.ORIGINAL_VETO_CONFIDENCE)).alias("hardcoded"),
+    ]
+    checks = [("veto_confidence_range", F.col("veto_out")),
+              ("model_confidence_range", F.col("model_out")),
+              ("no_hardcoded_085", F.col("hardcoded"))]
+    return aggs, checks
+
+
+def validate_response(scored: DataFrame) -> DataFrame:
+    """Scored records: 8 fields, allowed labels/flags, confidence range."""
+    aggs, checks = _response_spec(scored)
+    return checks_frame(scored.agg(*aggs), checks)
+
+
+def response_and_veto_checks(scored: DataFrame) -> DataFrame:
+    """Response and veto-range checks from one aggregation pass over the scored records."""
+    a1, c1 = _response_spec(scored)
+    a2, c2 = _veto_range_spec()
+    return checks_frame(scored.agg(*a1, *a2), c1 + c2)
 
 
 def validate_audit(scored: DataFrame) -> DataFrame:
@@ -109,12 +137,5 @@ def validate_audit(scored: DataFrame) -> DataFrame:
 
 def validate_veto_range(scored: DataFrame) -> DataFrame:
     """Veto confidence within [0.75, 0.95], model confidence within [0.5, 1]; count the old 0.85."""
-    row = scored.agg(
-        count_if(F.col("veto_applied") & ((F.col("confidence") < L.VETO_CONF_LOW) |
-                                          (F.col("confidence") > L.VETO_CONF_LOW + L.VETO_CONF_SPAN))).alias("veto_out"),
-        count_if(~F.col("veto_applied") & ((F.col("confidence") < 0.5) | (F.col("confidence") > 1.0))).alias("model_out"),
-        count_if(F.col("veto_applied") & (F.col("confidence") == L.ORIGINAL_VETO_CONFIDENCE)).alias("hardcoded"),
-    )
-    return checks_frame(row, [("veto_confidence_range", F.col("veto_out")),
-                              ("model_confidence_range", F.col("model_out")),
-                              ("no_hardcoded_085", F.col("hardcoded"))])
+    aggs, checks = _veto_range_spec()
+    return checks_frame(scored.agg(*aggs), checks)
