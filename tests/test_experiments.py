@@ -2,9 +2,8 @@
 
 import math
 
-from pyspark.sql import functions as F
 
-from tests import reference_rules as R
+from tests import python_rules as R
 from vetolex.operators import experiments as X
 from vetolex.operators import model as M
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests import reference_rules as R
+from tests import python_rules as R
 from vetolex.functions import scalars as S
 from vetolex.operators.features import add_polarity_features
 from vetolex.sources.tables import posts

@@ -1,11 +1,9 @@
 import math
-import os
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
-from tests import reference_rules as R
+from tests import python_rules as R
 from vetolex.operators import clean as C
 from vetolex.operators import model as M
 from vetolex.operators import text as T

@@ -1,6 +1,5 @@
 """MLlib training: relational scorer and MLlib scorer agree (≤ 1e-9) and the fit is near-optimal."""
 
-from pyspark.sql import functions as F
 
 from vetolex.operators import model as M
 from vetolex.operators import train as TR

@@ -1,16 +1,17 @@
-"""Streaming scoring query (§2.13), rows-only (tests compare it with the batch result)."""
+"""Streaming scoring query (§2.13): the stream's sink is checked against the same SQL scorer
+as the batch queries (tests also compare stream and batch output directly)."""
 
 from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from ..operators import model as M
 from ..operators.persist import scratch_path
 from ..sources.tables import table_path
 from ..streaming.score import run_stream_score
-from pyspark.sql import functions as F
 
-from . import sqlfrag as Q
 from .q_model import scored_cte
 from .registry import query
 
