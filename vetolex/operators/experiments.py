@@ -113,11 +113,11 @@ def fit_many(fns, workers: int = 8):
         return list(pool.map(lambda f: f(), fns))
 
 
-def feature_set_vectors(run, rows: DataFrame, extra: dict[str, Column]) -> DataFrame:
+def feature_set_vectors(run, rows: DataFrame, extra: dict[str, Column], split: str | None = None) -> DataFrame:
     """Shared TF-IDF block ‖ the given extra numeric columns (text-only when empty)."""
     from .train import assemble_hybrid
     r = rows.withColumns(extra) if extra else rows
-    return assemble_hybrid(run, r, numeric_cols=tuple(extra))
+    return assemble_hybrid(run, r, numeric_cols=tuple(extra), split=split)
 
 
 def evaluate_fit(lr_model, vectors: DataFrame, name: str) -> DataFrame:
@@ -133,8 +133,8 @@ def run_feature_experiments(run, sets: list[tuple[str, dict]]) -> DataFrame:
     """Fit one model per feature set on the shared training TF-IDF; evaluate on validation rows."""
     from .train import train_logistic
     train, val = run.rows("train"), run.rows("val")
-    vecs = [(name, feature_set_vectors(run, train, extra).persist(StorageLevel.MEMORY_AND_DISK),
-             feature_set_vectors(run, val, extra)) for name, extra in sets]
+    vecs = [(name, feature_set_vectors(run, train, extra, "train").persist(StorageLevel.MEMORY_AND_DISK),
+             feature_set_vectors(run, val, extra, "val")) for name, extra in sets]
     models = fit_many([lambda v=v: train_logistic(v, run.n_train) for _, v, _ in vecs])
     out = None
     for (name, _, vv), m in zip(vecs, models):
@@ -188,7 +188,9 @@ class BoostFits:
         from .features import add_polarity_features
         ext_data = add_polarity_features(self.base.data.drop(*L.NUMERIC_FEATURES), extended_words=True)
         ext_data = ext_data.persist(StorageLevel.MEMORY_AND_DISK)
-        self.ext = type(self.base)(ext_data, self.base.vocab, self.base.n_text, self.base.n_train, L.NUMERIC_FEATURES)
+        # same rows, split and vocabulary: the TF-IDF cache is shared with the base run
+        self.ext = type(self.base)(ext_data, self.base.vocab, self.base.n_text, self.base.n_train, L.NUMERIC_FEATURES,
+                                   tfidf_cache=self.base.tfidf_cache)
         self.fits: dict = {}
 
     def run(self, extended: bool):
@@ -201,7 +203,7 @@ class BoostFits:
         def one(key):
             boost, extended = key
             run = self.run(extended)
-            vec = assemble_hybrid(run, rescale(run.rows("train"), boost)).persist(StorageLevel.MEMORY_AND_DISK)
+            vec = assemble_hybrid(run, rescale(run.rows("train"), boost), split="train").persist(StorageLevel.MEMORY_AND_DISK)
             lr = train_logistic(vec, run.n_train)
             return key, (lr, extract_weights(run, lr))
         for key, val in fit_many([lambda k=k: one(k) for k in todo]):

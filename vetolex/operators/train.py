@@ -10,13 +10,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -43,10 +43,18 @@ class TrainingRun:
     n_train: int
     numeric_cols: tuple
     boost: int = L.EMOJI_BOOST
+    tfidf_cache: dict = field(default_factory=dict)
 
     def rows(self, split: str) -> DataFrame:
         return self.data.where(F.col("split") == split)
 
+    def tfidf_for(self, split: str) -> DataFrame:
+        """TF-IDF rows of one split, computed once and persisted: the text block does not
+        change between fits (boosts and numeric feature sets only change the numerics)."""
+        if split not in self.tfidf_cache:
+            self.tfidf_cache[split] = tfidf_rows(self, self.rows(split)).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.tfidf_cache[split]
+
 
 def prepare(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES, boost=L.EMOJI_BOOST,
             extended_words: bool = False, min_df: int = 2, max_df: float = 0.95) -> TrainingRun:
@@ -63,17 +71,22 @@ def prepare(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES, boost=L.EMOJI_BOO
 
 
 def tfidf_rows(run: TrainingRun, rows: DataFrame) -> DataFrame:
-    """``(id, idx, value)`` — normalised TF-IDF of ``rows`` over the training vocabulary."""
+    """``(id, idx, value)`` — normalised TF-IDF of ``rows`` over the training vocabulary
+    (one vocabulary join brings both idf and column index)."""
     tf = T.term_frequency(rows)
-    v = T.tfidf_transform(tf, run.vocab, run.n_text)
-    return v.join(T.join_vocabulary(v.select("term").distinct(), run.vocab.select("term", "idx"), run.n_text), "term") \
-        .select("id", "idx", "value")
+    j = T.join_vocabulary(tf, run.vocab.select("term", "idf", "idx"), run.n_text)
+    x = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(x * x).over(Window.partitionBy("id")))
+    return j.select("id", "idx", (x / norm).alias("value"))
+
 
+def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None, split: str | None = None) -> DataFrame:
+    """``(id, label, features)``: TF-IDF block ‖ numerics (fixed order), sparse.
 
-def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None) -> DataFrame:
-    """``(id, label, features)``: TF-IDF block ‖ numerics (fixed order), sparse."""
+    With ``split``, the text block comes from the run's persisted TF-IDF of that split
+    (``rows`` must be that split's rows, possibly with other numeric columns)."""
     numeric_cols = tuple(numeric_cols if numeric_cols is not None else run.numeric_cols)
-    text = tfidf_rows(run, rows)
+    text = run.tfidf_for(split) if split else tfidf_rows(run, rows)
     per_row = text.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_tv"))
     base = rows.select("id", "label", *numeric_cols).join(per_row, "id", "left")
     nums = F.array(*[F.struct(F.lit(run.n_text + k).alias("idx"), F.col(c).cast("double").alias("value"))
@@ -146,7 +159,7 @@ def gradient_norm(run: TrainingRun, model: LinearTextModel) -> float:
     from .model import score_relational
     train = run.rows("train")
     resid = score_relational(train, model).select("id", (F.col("p1") - F.col("label")).alias("r"))
-    text = tfidf_rows(run, train)
+    text = run.tfidf_for("train")
     nums = train.select("id", F.explode(F.array(*[
         F.struct(F.lit(run.n_text + k).alias("idx"), F.col(c).cast("double").alias("value"))
         for k, c in enumerate(L.NUMERIC_FEATURES)])).alias("e")).select("id", "e.idx", "e.value")
@@ -162,7 +175,7 @@ def gradient_norm(run: TrainingRun, model: LinearTextModel) -> float:
 def trained_run(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES):
     """Prepare, vectorise the training rows, fit, and return (run, lr_model, model, train_vectors)."""
     run = prepare(posts, numeric_cols)
-    vec = assemble_hybrid(run, run.rows("train")).persist(StorageLevel.MEMORY_AND_DISK)
+    vec = assemble_hybrid(run, run.rows("train"), split="train").persist(StorageLevel.MEMORY_AND_DISK)
     lr_model = train_logistic(vec, run.n_train)
     model = extract_weights(run, lr_model)
     return run, lr_model, model, vec

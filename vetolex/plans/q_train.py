@@ -41,7 +41,7 @@ class Trained:
     def __init__(self, spark, sf):
         self.run, self.lr, self.model, self.vec_train = TR.trained_run(posts(spark, sf))
         self.val = self.run.rows("val")
-        self.vec_val = TR.assemble_hybrid(self.run, self.val).persist(StorageLevel.MEMORY_AND_DISK)
+        self.vec_val = TR.assemble_hybrid(self.run, self.val, split="val").persist(StorageLevel.MEMORY_AND_DISK)
         self.scored_val = M.resolve(M.score_relational(self.val, self.model)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
