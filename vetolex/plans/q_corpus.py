@@ -59,6 +59,12 @@ def q_inspect_dataset(spark, sf):
     return K.inspect_dataset(read_table(spark, sf, "documents"))
 
 
+@query("inspect_head", "SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5")
+def q_inspect_head(spark, sf):
+    """The first five rows by key (the preview half of ``inspect_dataset``; a top-k, no full sort)."""
+    return read_table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").limit(5)
+
+
 # ---------------------------------------------------------------- §2.2 cleaning, filters
 
 @query("clean_posts", lambda: f"SELECT id, label, text FROM {P}")
