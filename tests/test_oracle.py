@@ -35,3 +35,14 @@ def test_every_query_has_entry():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and {"prediction", "confidence", "veto_applied", "drivers"} <= set(df.columns)
+
+
+def test_every_oracle_sql_plans_in_duckdb(con):
+    """Every oracle statement parses and binds against the tables (EXPLAIN only, no execution)."""
+    bad = []
+    for name, sql in E.oracle_sql().items():
+        try:
+            con.execute("EXPLAIN " + sql)
+        except Exception as e:  # noqa: BLE001
+            bad.append((name, str(e)[:200]))
+    assert not bad, bad
