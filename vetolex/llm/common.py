@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def text_key(column: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> F.Column:
+    """doc_id (null: a dash) and a hash of the text as one string, for joins that nulls must survive."""
+    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.hex(text_key(text)))
+
+
 def ranked(df: DataFrame, order: list[str], rank: str = "__rank") -> DataFrame:
     """Global 0-based rank by ``order`` without a single-task window.
 
@@ -64,6 +70,54 @@ def ranked(df: DataFrame, order: list[str], rank: str = "__rank") -> DataFrame:
             .withColumn(rank, F.col("__off") + F.col("__at")).drop("__pid", "__at", "__off"))
 
 
+#: Bits of the filters that tasks hold to skip what has no partner: 2 MB whatever the tables' size.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """Bitmap (FILTER_BITS bits, packed) of the low bits of the hashes in column ``h``.
+
+    Built by aggregation: at most FILTER_BITS / 2**15 rows of 4 KB reach the driver, however many hashes there are."""
+    slots = hashes.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("slot")).distinct()
+    rows = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Positions of the hashes whose bit is set."""
+    slot = h & np.uint64(FILTER_BITS - 1)
+    return np.flatnonzero((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+def documents_named(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(row, text)`` of the documents named in column ``row`` of ``rows``, and a few more; equal rows stay repeated.
+
+    A fixed-size filter of the names spares all other texts the shuffle of the join that follows."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(rows.select(F.xxhash64("row").alias("h"))))
+
+    def pick(batches):
+        for batch in batches:
+            at = in_filter(bits.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in (0, 2)], ["row", "text"])
+
+    return (docs.select(row_key().alias("row"), F.xxhash64(row_key()).alias("h"), text_bytes().alias("text"))
+            .mapInArrow(pick, "row string, text binary"))
+
+
+#: Upper case to lower case, every other ASCII byte that is no digit or letter to a space.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def plain_words(raw: bytes) -> list[bytes]:
+    """Lower-cased runs of ASCII letters and digits and of all bytes outside ASCII."""
+    return raw.translate(_PLAIN).split()
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; remembers at most ``limit`` words."""
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, hilbert, secrets
-from .common import stash, table, text_bytes
+from . import bitpack, decontaminate, entropy, hilbert, neardup, repeats, rules, secrets
+from .common import shared_path, stash, table, text_bytes
 from .registry import query
 
 
@@ -20,6 +20,15 @@ def op1(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+@query("op2_bit_packing")
+def op2(spark, sf_dir):
+    """All documents' token ids written as packed blocks in doc_id order, and read back from the files."""
+    import public_tokenizers
+    path = shared_path(spark, "packed")
+    bitpack.write_packed(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 50_257, 2)
+    return bitpack.read_packed(spark, path)
+
+
 @query("op5_entropy_mix", entropy.ORACLE)
 def op5(spark, sf_dir):
     """All documents mixed to the source targets by entropy balancing."""
@@ -27,7 +36,34 @@ def op5(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+@query("op6_prefix_join")
+def op6(spark, sf_dir):
+    """Words and items of the benchmark found in every document."""
+    out = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op7_bwt_repeats")
+def op7(spark, sf_dir):
+    """Bytes of every document covered by a 400-byte string that also starts elsewhere."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op8_decision_list")
+def op8(spark, sf_dir):
+    """Base statistics of every document and the verdict of the learned decision list."""
+    out = rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op9_secret_ownership")
 def op9(spark, sf_dir):
     """Secret spans of every document, with corpus-wide ownership of each candidate value."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op10_chosen_path")
+def op10(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")

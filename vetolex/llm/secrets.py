@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import row_key, stash
 
 #: kind -> (pattern of all leftmost matches, group whose length counts, least length)
 KINDS = {
@@ -66,7 +66,7 @@ def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None
     back to the documents in ``SALTS`` parts, so no task gets all of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     owned = F.coalesce(F.col(owner) if owner else F.regexp_extract(F.col(repo), r"^[^/]*", 0), F.lit(""))
-    slim = docs.select("doc_id", F.xxhash64("doc_id", text).alias("__row"), F.col(repo).alias("__repo"),
+    slim = docs.select("doc_id", row_key().alias("__row"), F.col(repo).alias("__repo"),
                        owned.alias("__owner"), F.concat(*[_spans(text, k) for k in KINDS]).alias("__found"))
     hashed = F.transform("__found", lambda x: F.struct(
         x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("value")))
@@ -78,7 +78,7 @@ def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None
     freq = owners.groupBy("value").agg(F.sum("n").alias("repos"), F.count(F.lit(1)).alias("owners"))
     salted = freq.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spans = (cand.select("__row", "start", "kind", "end", "value").distinct()
-             .withColumn("__salt", F.pmod("__row", F.lit(SALTS)).cast("int")).join(salted, ["value", "__salt"])
+             .withColumn("__salt", F.pmod(F.hash("__row"), F.lit(SALTS)).cast("int")).join(salted, ["value", "__salt"])
              .withColumn("live", (F.col("repos") <= max_repos) & (F.col("owners") <= max_owners)))
     base = [list(KINDS).index(k) for k in BASE]
     kept = spans.where(F.col("kind").isin(base) | F.col("live"))
