@@ -14,6 +14,9 @@ from vetolex.llm import stages
 from vetolex.llm.common import stash, table
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", stages.drop_toxic),
+    ("near_dedup", stages.drop_near_duplicates),
+    ("decontaminate", stages.drop_contaminated),
     ("mix", stages.mix),
     ("shard", stages.shard),
 ]

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -33,9 +34,11 @@ TEXTS = ["", " ", "a", "a b", " a b ", "a  b", "a\nb c\n\nd", "don't we'll X's",
 
 
 def test_pieces_give_the_ids_of_the_whole(whole):
-    encoder = bitpack.PieceEncoder(PATH, limit=40)
-    for t in [*TEXTS, *TEXTS]:
-        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == whole(t), t
+    encoder = bitpack.PieceEncoder(PATH)
+    encoder.SLICE = 7
+    for t, ids in zip([*TEXTS, *TEXTS], encoder.batch(pa.array([*TEXTS, *TEXTS]))):
+        assert ids.tolist() == whole(t), t
+    assert list(encoder.batch(pa.array([], pa.string()))) == []
 
 
 def brute(rows, whole):

@@ -95,18 +95,23 @@ def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def documents_named(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(row, text)`` of the documents named in column ``row`` of ``rows``, and a few more; equal rows stay repeated.
+    """``(row, text)`` of the documents named in column ``row`` of ``rows``, and a few more; equal rows stay repeated."""
+    return documents_hashed(docs, rows.select(F.xxhash64("row").alias("h"))).select("row", "text")
 
-    A fixed-size filter of the names spares all other texts the shuffle of the join that follows."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(rows.select(F.xxhash64("row").alias("h"))))
+
+def documents_hashed(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``(row, h, text)`` of the documents whose row key has its hash in column ``h`` of ``hashes``, and a few more.
+
+    A fixed-size filter of the hashes spares all other texts the shuffle of the join that follows."""
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(hashes))
 
     def pick(batches):
         for batch in batches:
             at = in_filter(bits.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in (0, 2)], ["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(at)) for i in range(3)], ["row", "h", "text"])
 
     return (docs.select(row_key().alias("row"), F.xxhash64(row_key()).alias("h"), text_bytes().alias("text"))
-            .mapInArrow(pick, "row string, text binary"))
+            .mapInArrow(pick, "row string, h long, text binary"))
 
 
 #: Upper case to lower case, every other ASCII byte that is no digit or letter to a space.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, entropy, hilbert, neardup, repeats, rules, secrets
+from . import bitpack, decontaminate, entropy, hilbert, mixing_lm, neardup, repeats, rules, secrets, toxicity
 from .common import shared_path, stash, table, text_bytes
 from .registry import query
 
@@ -29,6 +29,21 @@ def op2(spark, sf_dir):
     return bitpack.read_packed(spark, path)
 
 
+@query("op3_conv_toxicity")
+def op3(spark, sf_dir):
+    """Toxicity score of every document from a model that has learned no held-out label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.DECIDE).cast("int").alias("predicted"))
+
+
+@query("op4_context_mixing")
+def op4(spark, sf_dir):
+    """Unigram and context-mixing log probabilities of every document."""
+    out = mixing_lm.score_texts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 @query("op5_entropy_mix", entropy.ORACLE)
 def op5(spark, sf_dir):
     """All documents mixed to the source targets by entropy balancing."""

@@ -1,39 +1,67 @@
 """Pipeline stages: ``(spark, docs, sf_dir) -> docs`` with the operators' decisions carried out.
 
 A stage keeps the columns of ``docs`` whatever their names; its own columns start with two
-underscores.  A row is named by doc_id and a hash of its text, compared null-safely.
+underscores.  A row is named by doc_id and a hash of its text.  Every stage accepts nulls in any
+column, empty and long texts, repeated rows and empty tables, as its operator does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import entropy, hilbert
-from .common import stash, text_bytes, text_key
+from . import decontaminate, entropy, hilbert, neardup, toxicity
+from .common import row_key, stash, table, text_bytes
 
 
-def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows named in column ``row``; the names are distinct and few against the texts."""
+    named = rows.select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", row_key()).join(named, "__row", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labels of the same tables."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model, "__score").where(F.col("__score") < toxicity.DECIDE).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: the one with the smallest doc_id, once if its row is repeated."""
+    found = stash(neardup.near_duplicates(docs).select("row", "n_shingles", "kept", "doc_id"), "components")
+    left = _without(docs, found.where("not kept"))
+    again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = stash(again.select(F.col("row").alias("__row")), "repeated")
+    if again.isEmpty():
+        return left
+    named = left.withColumn("__row", row_key())
+    return (named.join(again, "__row", "left_anti").unionByName(named.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+            .select(*docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("n_hit > 0"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: rows are repeated or left out.
 
-    Each row of a repeated (doc_id, text) gets its own number of copies; these are summed per
-    key and source and spread again evenly, so the join stays one to one."""
-    copies = (entropy.mix_documents(docs).groupBy("doc_id", "key", "source")
-              .agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
-              .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("source").alias("__source"),
-                      "__copies", "__n"))
-    rows = docs.withColumn("__key2", text_key())
-    met = rows.join(copies, rows["doc_id"].eqNullSafe(copies["__id"]) & (rows["__key2"] == copies["__key"])
-                    & rows["source"].eqNullSafe(copies["__source"]))
-    # equal rows are interchangeable: the j-th of n takes its share of their copies
-    alike = F.when(F.col("__n") == 1, F.col("__copies")).otherwise(
-        F.floor((F.col("__copies") + F.col("__n") - 1) / F.col("__n")))
-    return (met.withColumn("__times", alike.cast("int")).where("__times > 0")
-            .withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns))
-
-
-def shard(spark, docs: DataFrame, sf_dir: str, n_shards: int = 16) -> DataFrame:
-    """Adds ``shard`` and ``slot`` along the Hilbert curve over source, language and size."""
+    Equal rows share their copies evenly."""
+    copies = stash(entropy.mix_documents(docs).groupBy("doc_id", "key", "source").agg(
+        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__n"))
+        .select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("source").alias("__source"), "__copies", "__n"), "copies")
+    named = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = named.join(copies, named["doc_id"].eqNullSafe(copies["__id"]) & (named["__text"] == copies["__key"])
+                     & named["source"].eqNullSafe(copies["__source"]))
+    # a row that occurs once takes all its copies; of n equal rows each takes the rounded n-th part
+    times = F.when(F.col("__n") == 1, F.col("__copies")).otherwise(F.round(F.col("__copies") / F.col("__n"))).cast("int")
+    return met.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str, n_shards: int = 16) -> DataFrame:
+    """The shard and slot of every row, along the Hilbert curve over source, language and size."""
     slim = stash(docs.select("doc_id", "source", "lang", F.length(text_bytes()).cast("long").alias("size"),
-                             F.crc32(text_bytes()).alias("crc")), "slim")
-    return hilbert.hilbert_shards(slim, ["source", "lang", "size"], n_shards, ["crc", "doc_id"])
+                             F.crc32(text_bytes()).alias("text_crc32")), "slim")
+    return hilbert.hilbert_shards(slim, ["source", "lang", "size"], n_shards, ["text_crc32", "doc_id"])
