@@ -35,10 +35,10 @@ TEXTS = ["", " ", "a", "a b", " a b ", "a  b", "a\nb c\n\nd", "don't we'll X's",
 
 def test_pieces_give_the_ids_of_the_whole(whole):
     encoder = bitpack.PieceEncoder(PATH)
-    encoder.SLICE = 7
-    for t, ids in zip([*TEXTS, *TEXTS], encoder.batch(pa.array([*TEXTS, *TEXTS]))):
+    encoder.SLICE, encoder.BYTES = 7, 40
+    for t, ids in zip([*TEXTS, *TEXTS], encoder.encode(pa.array([*TEXTS, *TEXTS]))):
         assert ids.tolist() == whole(t), t
-    assert list(encoder.batch(pa.array([], pa.string()))) == []
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
 
 
 def brute(rows, whole):

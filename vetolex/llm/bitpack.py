@@ -9,18 +9,17 @@ row, payload as binary), so commits, retries and remote paths are Spark's.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_bytes
 
 BLOCK_IDS = 1 << 16
 BLOCKS = "part int, first long, doc_ids array<long>, offsets array<long>, width int, payload binary"
@@ -55,68 +54,121 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return ((held >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-class PieceEncoder:
-    """Ids of whole texts from a byte-level BPE tokenizer, each distinct piece encoded once.
+def gathered(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of ``source`` one after the other, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return source[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
 
-    The tokenizer splits a text before it merges, and where a single space or line feed stands
-    between two other characters a split always falls before the space, or around the line feed.
-    Texts in which no white space touches another or an end are therefore cut there and their
-    pieces looked up; new pieces are encoded together, one a line.  Any other text goes to the
-    tokenizer whole.  At most ``limit`` pieces are remembered."""
 
-    LOOSE = re.compile(r"\s\s|\A\s|\s\Z")
-    SPACE = re.compile(r"\s")
+class PieceEncoder:
+    """Ids of whole texts from a byte-level BPE tokenizer, each distinct piece of a batch encoded once.
 
-    def __init__(self, path: str, limit: int = 300_000):
+    The tokenizer splits a text before it merges, and where a single space or line feed stands
+    between two other characters, a split always falls before the space and around the line feed;
+    in a piece of letters and then marks, one falls between the two.  Texts whose white space is all
+    of that kind are therefore cut there, by Arrow, and only distinct runs of letters or marks go to
+    the tokenizer's merges.  Any other piece or text goes through the whole tokenizer."""
+
+    #: A text with this has white space of other kinds, or next to other white space, or at an end.
+    LOOSE = (r"[\t\r\f\x0b\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+             r"|[ \n][ \n]|\A[ \n]|[ \n]\z")
+    #: All of the first class are letters, and none of the second letters, digits or apostrophes, in any version of Unicode.
+    PLAIN = (r"\A(?P<feed>\n?)(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]*)(?P<marks>[.,;:!?()#*$%&|<>+=/-]*)\z")
+    SLICE = 1 << 20   # pieces that are put together at a time
+    BYTES = 8 << 20   # of text in a batch
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.feed = np.array(self._whole("\n"), "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        # byte-level BPE spells every byte as one printable character: itself, or one from 256 on
+        self.spell = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
 
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.limit:
-            self.known.clear()
-        plain = [p for p in pieces if p != "\n" and not self.SPACE.search(p, 1)]
-        for p in pieces.difference(plain):
-            self.known[p] = np.array(self._whole(p), "<u4").tobytes()
-        self.known["\n"] = self.feed
-        feed = int(np.frombuffer(self.feed, "<u4")[0])
-        for i in range(0, len(plain), 20_000):
-            some = plain[i:i + 20_000]
-            ids = np.array(self._whole("\n".join(some)), "<u4")
-            ends = np.flatnonzero(ids == feed)
-            starts, ends = np.r_[0, ends + 1], np.r_[ends, len(ids)]
-            if len(starts) == len(some):
-                raw = ids.tobytes()
-                self.known.update((p, raw[4 * a:4 * b]) for p, a, b in zip(some, starts.tolist(), ends.tolist()))
-            else:  # a piece that itself gives the id of a line feed
-                self.known.update((p, np.array(self._whole(p), "<u4").tobytes()) for p in some)
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if "\0" in text or len(self.feed) != 4 or self.LOOSE.search(text):
-            return np.array(self._whole(text), "<u4").tobytes()
-        pieces = []
-        for line in text.split("\n"):
-            pieces += line.replace(" ", "\0 ").split("\0")  # a piece keeps its leading space
-            pieces.append("\n")
-        pieces.pop()
-        known = self.known
-        for _ in range(2):  # the memory may be emptied for the new pieces
-            missing = {p for p in pieces if p not in known}
-            if missing:
-                self._learn(missing)
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:  # more distinct pieces than the memory holds
-            return np.array(self._whole(text), "<u4").tobytes()
+    def _merged(self, runs: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of runs that the tokenizer does not split, one after the other, and how many each has."""
+        ids, sizes, merge, space = [], [], self.tok.model.tokenize, chr(self.spell[32])
+        for run in runs:
+            spelled = run.replace(" ", space) if run.isascii() else run.encode().decode("latin-1").translate(self.spell)
+            found = [t.id for t in merge(spelled)] if run else []
+            ids += found
+            sizes.append(len(found))
+        return ids, sizes
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and starts and sizes in it of three segments (feed, letters, marks) for each piece."""
+        text = lambda x: pa.scalar(x, pa.large_string())
+        found = pc.extract_regex(pieces, self.PLAIN)
+        odd = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        feed, letters, marks = (pc.fill_null(pc.struct_field(found, x), text("")) for x in ("feed", "letters", "marks"))
+        fed = pc.equal(feed, text("\n"))
+        lead = pc.if_else(fed, text(""), text(" "))
+        empty = pc.equal(letters, text(""))
+        joined = lambda a, b: pc.binary_join_element_wise(a, b, text(""))
+        runs = [pc.if_else(empty, text(""), joined(lead, letters)),
+                pc.if_else(pc.and_(empty, pc.not_equal(marks, text(""))), joined(lead, marks), marks)]
+        pool, starts, sizes = self._whole("\n"), [np.zeros(len(pieces), np.int64)], [np.asarray(fed).astype(np.int64) * len(self._whole("\n"))]
+        for run in runs:
+            coded = run.dictionary_encode()
+            ids, n = self._merged(coded.dictionary.to_pylist())
+            n, at = np.array(n, np.int64), coded.indices.to_numpy()
+            starts.append((len(pool) + np.cumsum(n) - n)[at] if len(n) else np.zeros(0, np.int64))
+            sizes.append(n[at] if len(n) else np.zeros(0, np.int64))
+            pool = pool + ids
+        for i in odd.tolist():
+            piece = pieces[i].as_py()
+            if piece.startswith("\n"):
+                own = self._whole("\n") + (self._whole(piece[1:]) if len(piece) > 1 else [])
+            else:
+                own = self._whole(" " + piece)
+            for j in range(3):
+                sizes[j][i] = 0
+            starts[1][i], sizes[1][i] = len(pool), len(own)
+            pool += own
+        return np.array(pool, "<u4"), np.stack(starts, 1).ravel(), np.stack(sizes, 1).ravel()
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, as little-endian unsigned 32-bit integers; some megabytes of text at a time."""
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + self.BYTES, side="right")))
+            yield from self._batch(texts.slice(i, j - i))
+            i = j
+
+    def _batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        loose = pc.match_substring_regex(texts, self.LOOSE)
+        tight = texts.filter(pc.invert(loose))
+        # a piece follows a space unless it begins with a line feed; the one put before each text is taken off again
+        lines = pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\n", pc.replace_substring(tight, "\n", " \n"), "")])
+        pieces = pc.split_pattern(lines, " ")
+        coded = pieces.flatten().dictionary_encode()
+        ids, ends = gathered(*self._pieces(coded.dictionary))
+        sizes = np.diff(np.r_[0, ends.reshape(-1, 3)[:, -1]])
+        starts = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        ends = np.asarray(pieces.offsets)
+        ends = ends - ends[0]
+        doc, lead = 0, len(self._whole("\n"))
+
+        def together() -> Iterator[np.ndarray]:
+            nonlocal doc
+            while doc + 1 < len(ends):
+                upto = max(doc + 1, int(np.searchsorted(ends, ends[doc] + self.SLICE, side="right")) - 1)
+                at = which[ends[doc]:ends[upto]]
+                values, total = gathered(ids, starts[at], sizes[at])
+                cut = np.r_[0, total][ends[doc:upto + 1] - ends[doc]]
+                yield from (values[a + lead:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
+                doc = upto
+
+        made = together()
+        for i, free in enumerate(loose.to_pylist()):
+            yield np.array(self._whole(texts[i].as_py()), "<u4") if free else next(made)
 
 
 def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int,
@@ -127,7 +179,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
     memory holds one block (of one document, if that is longer).  Null ids come first; repeated
     rows are written as often as they occur; an empty table gives a folder without blocks."""
     width = width_for(max(vocabulary, end_id + 1))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
@@ -135,7 +187,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
 
         def flush() -> pa.RecordBatch:
             nonlocal first, held, raw, lengths, ids
-            values = np.frombuffer(b"".join(raw), "<u4")
+            values = np.concatenate(raw)
             out = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
@@ -145,18 +197,17 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                coded = encoder.ids(text.as_py().decode()) + end
-                if held and held + len(coded) // 4 > block_ids:
+            for doc_id, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
+                if held and held + len(own) + 1 > block_ids:
                     yield flush()
-                raw.append(coded)
-                lengths.append(len(coded) // 4)
-                ids.append(doc_id.as_py())
-                held += len(coded) // 4
+                raw += (own, end)
+                lengths.append(len(own) + 1)
+                ids.append(doc_id)
+                held += len(own) + 1
         if ids:
             yield flush()
 
-    (docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
      .mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path))
 
 
