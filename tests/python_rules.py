@@ -1,33 +1,47 @@
-"""Independent plain-Python statement of the row rules, used only to cross-check the
-column expressions on real rows."""
+"""Row rules checked another way: every lexicon entry is looked for at every position of one walk
+along the text, with the place where its next match may begin."""
 
 from vetolex.functions import lexicons as L
 
 
-def features(text, boost=L.EMOJI_BOOST, pos_words=L.POSITIVE_WORDS, neg_words=L.NEGATIVE_WORDS):
-    s = "" if text is None else str(text)
-    low = s.lower()
-    pos, neg = set(L.POSITIVE_EMOJIS), set(L.NEGATIVE_EMOJIS)
-    e_pos = sum(boost for ch in s if ch in pos) + sum(s.count(e) * boost for e in set(L.POSITIVE_EMOTICONS))
-    e_neg = sum(boost for ch in s if ch in neg) + sum(s.count(e) * boost for e in set(L.NEGATIVE_EMOTICONS))
-    w_pos = sum(1 for w in set(pos_words) if w in low)
-    w_neg = sum(1 for w in set(neg_words) if w in low)
-    return e_pos, e_neg, w_pos, w_neg
-
-
-def veto(e_neg, e_pos, w_pos, threshold=10, guard=2):
-    if w_pos >= guard and e_pos == 0:
-        return False, None
-    if e_neg >= threshold and e_neg >= e_pos:
-        gap = (e_neg - e_pos) / (e_neg + e_pos + 1)
-        return True, round(0.75 + 0.20 * gap, 4)
-    return False, None
+def walk(text, entries):
+    """Non-overlapping matches of each entry, all counted in a single left-to-right walk."""
+    free = {e: 0 for e in entries}
+    found = dict.fromkeys(entries, 0)
+    by_first = {}
+    for e in found:
+        by_first.setdefault(e[0], []).append(e)
+    for i, c in enumerate(text):
+        for e in by_first.get(c, ()):
+            if free[e] <= i and text.startswith(e, i):
+                found[e] += 1
+                free[e] = i + len(e)
+    return found
+
+
+def features(text):
+    """(emoji_pos, emoji_neg, word_pos, word_neg) of the default lexicons; entries of several code points are no emojis."""
+    signal = []
+    for emojis, emoticons in ((L.POSITIVE_EMOJIS, L.POSITIVE_EMOTICONS), (L.NEGATIVE_EMOJIS, L.NEGATIVE_EMOTICONS)):
+        hits = walk(text, {*[e for e in emojis if len(e) == 1], *emoticons})
+        signal.append(10 * sum(hits.values()))
+    for words in (L.POSITIVE_WORDS, L.NEGATIVE_WORDS):
+        signal.append(sum(n > 0 for n in walk(text.lower(), set(words)).values()))
+    return tuple(signal)
 
 
 def tokens(text):
-    import re
-    return re.findall(r"(?u)\b\w\w+\b", text.lower())
+    """Runs of two or more letters, digits and underscores of the lower-cased text."""
+    out, run = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum() or c == "_":
+            run += c
+            continue
+        if len(run) > 1:
+            out.append(run)
+        run = ""
+    return out
 
 
 def ngrams(toks):
-    return list(toks) + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
+    return [*toks, *(" ".join(toks[i:i + 2]) for i in range(len(toks) - 1))]

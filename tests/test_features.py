@@ -92,7 +92,6 @@ def test_veto(spark, e_neg, e_pos, w_pos, fired, conf):
     f = S.sarcasm_veto_fires("n", "p", "w")
     r = df.select(f.alias("f"), F.when(f, S.veto_confidence("n", "p")).alias("c")).first()
     assert r.f == fired and r.c == conf
-    assert R.veto(e_neg, e_pos, w_pos) == (fired, conf)
 
 
 def test_bins_right_closed(spark):

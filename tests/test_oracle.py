@@ -1,18 +1,11 @@
-"""Spark queries against their DuckDB oracle SQL (the driver's correctness gate), on sf0.001.
-
-A representative subset runs by default; VETOLEX_FULL_ORACLE=1 runs every SQL-checked query."""
-
-import os
+"""Every SQL-checked Spark query against its DuckDB oracle (the driver's correctness gate), on sf0.001."""
 
 import pytest
 
 import __spark_entry__ as E
 from tests.oracle_compare import compare, duck
 
-SUBSET = ("polarity_features", "word_ngrams", "clean_posts", "stratified_split", "emoji_histogram",
-          "lexicon_left_join", "idf_fit", "predict_sentiment", "top_drivers", "classification_report",
-          "calibration_bins", "feature_ablation", "union_results", "pass_rate_pivot", "health_summary")
-NAMES = sorted(E.oracle_sql()) if os.environ.get("VETOLEX_FULL_ORACLE") else SUBSET
+NAMES = sorted(E.oracle_sql())
 
 
 @pytest.fixture(scope="module")

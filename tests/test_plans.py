@@ -70,7 +70,10 @@ def _brute_score(text, model_rows, intercept):
     vals = dict(zip(("emoji_pos_count", "emoji_neg_count", "word_pos_count", "word_neg_count"), (e_pos, e_neg, w_pos, w_neg)))
     logit += sum(vals[k] * nums[k][1] for k in nums) + intercept
     p1 = 1 / (1 + math.exp(-logit))
-    fired, vconf = R.veto(e_neg, e_pos, w_pos)
+    # in single emojis: 0.2 * 10 d / (10 s + 1)
+    neg, pos = e_neg // 10, e_pos // 10
+    fired = 0 < neg >= pos and (pos > 0 or w_pos < 2)
+    vconf = round(0.75 + 2 * (neg - pos) / (10 * (neg + pos) + 1), 4)
     pred = 0 if fired else int(logit > 0)
     conf = vconf if fired else max(p1, 1 - p1)
     active = [(w[g][0], g, round(w[g][2], 4)) for g in cnt] + [(nums[k][0], k, round(nums[k][1], 4)) for k in nums if vals[k] != 0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import lexicons as L
+from ..session import cut
 
 TEXT_ALIASES = ("post", "tweet", "text")
 LABEL_ALIASES = ("sentiment", "label")
@@ -60,23 +61,29 @@ def blank_filter(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.col(text).rlike("\\S"))
 
 
-def reset_index(df: DataFrame, order_col: str = "id", out_col: str = "row_index") -> DataFrame:
-    """Contiguous 0..n-1 positions by ``order_col`` without a single-partition window.
-
-    Range-partition and sort, then number rows inside each partition and add the
-    partition's offset (prefix sum over one row per partition).  The sorted frame is
-    checkpointed to the shared checkpoint folder so both passes see one partitioning
-    even if executors are lost."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)  # the session's shared folder; a local one only if unset
-    ordered = df.repartitionByRange(order_col).sortWithinPartitions(order_col).checkpoint(eager=True)
-    mid = F.monotonically_increasing_id()
-    tagged = ordered.withColumns({"_pid": F.spark_partition_id(), "_mid": mid})
-    tagged = tagged.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
+def running_total(df: DataFrame, order_col: str, weight_col: str | None, out_col: str) -> DataFrame:
+    """Add the sum of ``weight_col`` (None: the count) over all rows before, by ``order_col``.
+
+    Range-partition and sort, total inside each partition, and add the partition's offset (a prefix sum
+    over one row per partition).  The totalled frame is written to the shared folder, so both passes
+    see one partitioning even if executors are lost."""
+    w = F.col(weight_col) if weight_col else F.lit(1).cast("long")
+    ordered = df.repartitionByRange(order_col).sortWithinPartitions(order_col)
+    tagged = ordered.withColumns({"_pid": F.spark_partition_id(), "_w": w.cast("long")})
+    if weight_col:
+        upto = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        tagged = tagged.withColumn("_local", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
+    else:
+        tagged = tagged.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    tagged = cut(tagged)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("_pid").agg(F.sum("_w").alias("_n"))
+               .select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")))
     # one row per partition: a proven-small broadcast side
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_mid", "_local", "_off"))
+    return (tagged.join(F.broadcast(offsets), "_pid").withColumn(out_col, F.col("_off") + F.col("_local"))
+            .drop("_pid", "_w", "_local", "_off"))
+
+
+def reset_index(df: DataFrame, order_col: str = "id", out_col: str = "row_index") -> DataFrame:
+    """Contiguous 0..n-1 positions by ``order_col`` without a single-partition window."""
+    return running_total(df, order_col, None, out_col)

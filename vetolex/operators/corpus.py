@@ -63,13 +63,23 @@ def label_distribution(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def describe_column(df: DataFrame, col: str) -> DataFrame:
-    """count, mean, std (sample), min, quartiles (linear interpolation), max."""
+    """count, mean, std (sample), min, quartiles (linear interpolation), max.
+
+    Quartiles come from counts per distinct value: ranks over the sorted values (range partitioned,
+    no single-task sort) locate the two values around each quartile."""
+    from .clean import running_total
     c = F.col(col).cast("double")
-    return df.agg(
-        F.count(c).alias("count"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"),
-        F.min(c).alias("min"), F.round(F.percentile(c, 0.25), 6).alias("q25"),
-        F.round(F.percentile(c, 0.5), 6).alias("q50"), F.round(F.percentile(c, 0.75), 6).alias("q75"),
-        F.max(c).alias("max"))
+    row = df.agg(F.count(c).alias("count"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"),
+                 F.min(c).alias("min"), F.max(c).alias("max"))
+    per_value = running_total(df.where(c.isNotNull()).groupBy(c.alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "_v", "_n", "_before")
+    total = F.max(F.col("_before") + F.col("_n"))
+    n = per_value.agg(total).first()[0] or 0
+    at = {q: (n - 1) * f for q, f in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))}
+    held = lambda k: F.max(F.when((F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k), F.col("_v")))
+    quartiles = per_value.agg(*[x for q, p in at.items() for x in (held(int(p)).alias(f"{q}_lo"), held(min(int(p) + 1, n - 1)).alias(f"{q}_hi"))])
+    out = row.join(F.broadcast(quartiles))  # one row each
+    return out.select("count", "mean", "std", "min", *[F.round(F.col(f"{q}_lo") + (F.col(f"{q}_hi") - F.col(f"{q}_lo")) * F.lit(p - int(p)), 6).alias(q)
+                                                       for q, p in at.items()], "max")
 
 
 def rate_by(df: DataFrame, flag, by=None, name: str = "rate") -> DataFrame:
@@ -92,11 +102,8 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int = 10, by: str | Non
     if keys:
         j = df.join(F.broadcast(stats), keys)
     else:
-        lo, hi = stats.first()
-        if lo is None:
-            return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n bigint")
-        j = df.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)})
-        stats = df.sparkSession.createDataFrame([(lo, hi)], "_lo double, _hi double")
+        stats = stats.where("_lo is not null")
+        j = df.join(F.broadcast(stats))  # one row, part of the plan
     idx = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins).cast("int")
     binned = j.where(x.isNotNull()).withColumn("bin", F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)) + 1)
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))

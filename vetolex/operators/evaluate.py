@@ -1,5 +1,6 @@
 """Evaluation of scored rows: metrics, confusion, calibration, error analysis, ablation
-(§2.7, §2.8, §2.10).  Every metric is a single aggregation pass; per-group samples use
+(§2.7, §2.8, §2.10).  By default the model's own label and confidence are judged; the veto-resolved ones
+can be named instead.  Every metric is a single aggregation pass; per-group samples use
 a window partitioned by the (few) group keys over the *error* rows only."""
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ def f1_expr(tp: Column, fp: Column, fn: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise((2 * tp).cast("double") / den)
 
 
-def metrics(df: DataFrame, y: str = "label", p: str = "prediction_int", by=None) -> DataFrame:
+def metrics(df: DataFrame, y: str = "label", p: str = "model_prediction", by=None) -> DataFrame:
     """accuracy and binary F1 (positive class 1; 0 when undefined), optionally per group."""
     tp, fp, fn = _tp_fp_fn(F.col(y), F.col(p))
     g = df.groupBy(*by) if by else df.groupBy()
@@ -32,7 +33,7 @@ def metrics(df: DataFrame, y: str = "label", p: str = "prediction_int", by=None)
                       F.col("n").cast("bigint").alias("n"))
 
 
-def classification_report(df: DataFrame, y: str = "label", p: str = "prediction_int") -> DataFrame:
+def classification_report(df: DataFrame, y: str = "label", p: str = "model_prediction") -> DataFrame:
     """precision / recall / f1 / support for each class, then accuracy, macro and weighted avg."""
     yy, pp = F.col(y), F.col(p)
     row = df.agg(*[count_if((yy == c) & (pp == c)).alias(f"tp{c}") for c in (0, 1)],
@@ -67,7 +68,7 @@ def classification_report(df: DataFrame, y: str = "label", p: str = "prediction_
     return out.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
-def confusion_matrix(df: DataFrame, y: str = "label", p: str = "prediction_int") -> DataFrame:
+def confusion_matrix(df: DataFrame, y: str = "label", p: str = "model_prediction") -> DataFrame:
     """2×2 counts with zero cells kept: one row per true class, columns pred_0 / pred_1."""
     yy, pp = F.col(y), F.col(p)
     row = df.agg(*[count_if((yy == a) & (pp == b)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
@@ -76,7 +77,7 @@ def confusion_matrix(df: DataFrame, y: str = "label", p: str = "prediction_int")
     return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def with_outcome(df: DataFrame, y: str = "label", p: str = "prediction_int") -> DataFrame:
+def with_outcome(df: DataFrame, y: str = "label", p: str = "model_prediction") -> DataFrame:
     return df.withColumns({"correct": F.col(y) == F.col(p),
                            "false_negative": (F.col(y) == 1) & (F.col(p) == 0),
                            "false_positive": (F.col(y) == 0) & (F.col(p) == 1)})
@@ -90,20 +91,20 @@ def error_counts(df: DataFrame, text: str = "text") -> DataFrame:
                  count_if(~F.col("correct") & S.emoji_error_flag(text)).cast("bigint").alias("wrong_with_emoji"))
 
 
-def calibration_bins(df: DataFrame, conf: str = "confidence_raw") -> DataFrame:
+def calibration_bins(df: DataFrame, conf: str = "model_confidence") -> DataFrame:
     """count and accuracy per right-closed confidence bin; empty bins (and conf = 0.5) absent."""
     o = with_outcome(df).withColumn("conf_bin", S.bin_confidence(conf)).where(F.col("conf_bin").isNotNull())
     return o.groupBy("conf_bin").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                      F.round(F.avg(F.col("correct").cast("int")), 6).alias("accuracy"))
 
 
-def archetype_summary(df: DataFrame, text: str = "text", conf: str = "confidence_raw") -> DataFrame:
+def archetype_summary(df: DataFrame, text: str = "text", conf: str = "model_confidence") -> DataFrame:
     wrong = with_outcome(df).where(~F.col("correct")).withColumn("archetype", S.classify_archetype(text, "label"))
     return wrong.groupBy("archetype").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                           F.round(F.avg(conf), 6).alias("avg_confidence"))
 
 
-def danger_cases(df: DataFrame, conf: str = "confidence_raw", threshold: float = 0.85) -> DataFrame:
+def danger_cases(df: DataFrame, conf: str = "model_confidence", threshold: float = 0.85) -> DataFrame:
     """Wrong with confidence >= threshold, most confident first (ties by id)."""
     o = with_outcome(df)
     return o.where(~F.col("correct") & (F.col(conf) >= threshold)).orderBy(F.col(conf).desc(), "id")

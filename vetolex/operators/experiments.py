@@ -11,13 +11,14 @@ the boost and is computed once.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalars as S
+from ..session import cut
 from .evaluate import f1_expr
 from .quality import count_if
 
@@ -120,6 +121,30 @@ def feature_set_vectors(run, rows: DataFrame, extra: dict[str, Column], split: s
     return assemble_hybrid(run, r, numeric_cols=tuple(extra), split=split)
 
 
+def feature_sets() -> list[tuple[str, dict]]:
+    """Text alone, and with presence, presence and count, or early polarity of its emojis."""
+    known = S.extract_known_emojis("text")
+    has, count = (F.size(known) > 0).cast("int"), F.size(known)
+    return [("text_only", {}), ("text_presence", {"has_emoji": has}), ("text_count", {"has_emoji": has, "emoji_count": count}),
+            ("text_polarity", {"early_pos": S.emoji_polarity_count("text", L.EARLY_POSITIVE_EMOJIS, 1),
+                               "early_neg": S.emoji_polarity_count("text", L.EARLY_NEGATIVE_EMOJIS, 1)})]
+
+
+def cumulative_sets() -> list[tuple[str, dict]]:
+    """Plain counts, a pair of columns per lexicon: emojis, then also emoticons, then also words."""
+    pairs = [("expanded_emoji", {"emoji_pos": S.emoji_polarity_count("text", L.POSITIVE_EMOJIS, 1),
+                                 "emoji_neg": S.emoji_polarity_count("text", L.NEGATIVE_EMOJIS, 1)}),
+             ("plus_emoticons", {"emoticon_pos": S.emoticon_count("text", L.POSITIVE_EMOTICONS, 1),
+                                 "emoticon_neg": S.emoticon_count("text", L.NEGATIVE_EMOTICONS, 1)}),
+             ("plus_words", {"word_pos": S.word_presence_count("text", L.POSITIVE_WORDS),
+                             "word_neg": S.word_presence_count("text", L.NEGATIVE_WORDS)})]
+    out, so_far = [], {}
+    for name, pair in pairs:
+        so_far = {**so_far, **pair}
+        out.append((name, so_far))
+    return out
+
+
 def evaluate_fit(lr_model, vectors: DataFrame, name: str) -> DataFrame:
     out = lr_model.transform(vectors).select(F.col("label").cast("int").alias("label"),
                                              F.col("prediction").cast("int").alias("p"))
@@ -133,9 +158,9 @@ def run_feature_experiments(run, sets: list[tuple[str, dict]]) -> DataFrame:
     """Fit one model per feature set on the shared training TF-IDF; evaluate on validation rows."""
     from .train import train_logistic
     train, val = run.rows("train"), run.rows("val")
-    vecs = [(name, feature_set_vectors(run, train, extra, "train").persist(StorageLevel.MEMORY_AND_DISK),
+    vecs = [(name, feature_set_vectors(run, train, extra, "train"),
              feature_set_vectors(run, val, extra, "val")) for name, extra in sets]
-    models = fit_many([lambda v=v: train_logistic(v, run.n_train) for _, v, _ in vecs])
+    models = fit_many([lambda v=v: train_logistic(v, run.n_train).model for _, v, _ in vecs])
     out = None
     for (name, _, vv), m in zip(vecs, models):
         r = evaluate_fit(m, vv, name)
@@ -184,13 +209,12 @@ class BoostFits:
 
     def __init__(self, posts: DataFrame):
         from .train import prepare
+        self.spark = posts.sparkSession
         self.base = prepare(posts)
         from .features import add_polarity_features
-        ext_data = add_polarity_features(self.base.data.drop(*L.NUMERIC_FEATURES), extended_words=True)
-        ext_data = ext_data.persist(StorageLevel.MEMORY_AND_DISK)
-        # same rows, split and vocabulary: the TF-IDF cache is shared with the base run
-        self.ext = type(self.base)(ext_data, self.base.vocab, self.base.n_text, self.base.n_train, L.NUMERIC_FEATURES,
-                                   tfidf_cache=self.base.tfidf_cache)
+        ext_data = cut(add_polarity_features(self.base.data.drop(*L.NUMERIC_FEATURES), extended_words=True))
+        # same rows, split and vocabulary: the TF-IDF rows are shared with the base run
+        self.ext = replace(self.base, data=ext_data, numeric_cols=L.NUMERIC_FEATURES)
         self.fits: dict = {}
 
     def run(self, extended: bool):
@@ -203,13 +227,126 @@ class BoostFits:
         def one(key):
             boost, extended = key
             run = self.run(extended)
-            vec = assemble_hybrid(run, rescale(run.rows("train"), boost), split="train").persist(StorageLevel.MEMORY_AND_DISK)
-            lr = train_logistic(vec, run.n_train)
+            vec = assemble_hybrid(run, rescale(run.rows("train"), boost), split="train")
+            lr = train_logistic(vec, run.n_train).model
             return key, (lr, extract_weights(run, lr))
         for key, val in fit_many([lambda k=k: one(k) for k in todo]):
             self.fits[key] = val
         return {k: self.fits[k] for k in keys}
 
+    def text_logits(self, split: str, models: dict) -> DataFrame:
+        """``(id, boost, text_logit)`` of a split's rows under every model, from its TF-IDF rows read once."""
+        weights = None
+        for boost, model in models.items():
+            w = model.text_weights.select(F.lit(boost).alias("boost"), "idx", "coef")
+            weights = w if weights is None else weights.unionByName(w)
+        return (self.base.tfidf_for(split).join(weights, "idx").groupBy("id", "boost")
+                .agg(F.sum(F.col("value") * F.col("coef")).alias("text_logit")))
+
+    def scored_text(self, split: str):
+        """Rows of a split with extended-word features, and a function that adds a model's text logit to them."""
+        return lambda model: (self.ext.rows(split).join(self.text_logits(split, {0: model}).drop("boost"), "id", "left")
+                              .withColumn("text_logit", F.coalesce("text_logit", F.lit(0.0))))
+
+
+def at_boost(rows: DataFrame, model, boost: int) -> DataFrame:
+    """Emoji signal at ``boost`` and the model's logit and label, from rows that have ``text_logit``."""
+    from .model import numeric_logit
+    out = rescale(rows, boost).withColumn("logit", F.col("text_logit") + numeric_logit(model) + F.lit(model.intercept))
+    return out.withColumn("p1", S.sigmoid("logit")).withColumn("model_prediction", F.when(F.col("logit") > 0, 1).otherwise(0))
+
+
+def grid_labels(logits: DataFrame, rows: DataFrame, models: dict, thresholds: dict) -> DataFrame:
+    """Labels of the rows at every boost and guard, from the text logits of all boosts."""
+    out = None
+    for boost, model in models.items():
+        own = logits.where(F.col("boost") == boost).drop("boost")
+        r = rows.join(own, "id", "left").withColumn("text_logit", F.coalesce("text_logit", F.lit(0.0)))
+        g = guarded(at_boost(r, model, boost), boost, thresholds[boost]).select("boost", "threshold", "guard", "label", "prediction_int")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def grid_case_labels(model, rows: DataFrame, boost: int, threshold: int) -> DataFrame:
+    from .model import score_relational
+    s = guarded(score_relational(rescale(rows, boost), model), boost, threshold)
+    return s.select("boost", "threshold", "guard", "label", "category", "prediction_int")
+
+
+def guarded(scored: DataFrame, boost: int, threshold: int) -> DataFrame:
+    """Each scored row under every guard of the veto (a literal array exploded per row)."""
+    s = scored.withColumn("guard", F.explode(F.array(*[F.lit(g) for g in GUARDS])))
+    fired = S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count", threshold, F.col("guard"))
+    return s.withColumns({"boost": F.lit(boost), "threshold": F.lit(threshold),
+                          "prediction_int": F.when(fired, 0).otherwise(F.col("model_prediction"))})
+
+
+def grid_table(grid: str, val: DataFrame, cases: DataFrame) -> DataFrame:
+    """Metrics of the validation rows and pass counts of the cases, per configuration."""
+    from .evaluate import metrics
+    keys = ["boost", "threshold", "guard"]
+    met = metrics(val, p="prediction_int", by=keys).drop("n")
+    ok = (F.col("prediction_int") == F.col("label")).cast("int")
+    beh = cases.groupBy(*keys).agg(F.round(F.avg(ok), 6).alias("behavioral"),
+                                   *[F.sum(F.when(F.col("category") == cat, ok).otherwise(0)).cast("bigint").alias(cat.replace("-", "_"))
+                                     for cat in ("sarcasm", "pos-overwhelm", "genuine-sad", "text-dominant")])
+    # both sides hold one row per configuration (tens of rows)
+    return met.join(beh, keys).select(F.lit(grid).alias("grid"), *keys, "accuracy", "f1", "behavioral", "sarcasm", "pos_overwhelm",
+                                      "genuine_sad", "text_dominant")
+
+
+DECISION_METRICS = ("accuracy", "f1", "behavioral", "sarcasm", "pos_overwhelm")
+
+
+def decision(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row per metric: the best configuration of each grid, the winner, and which grid is adopted.
+
+    Best: behaviour, then sarcasm, overwhelm, accuracy.  B is adopted only if it beats A on behaviour or
+    overwhelm without losing sarcasm."""
+    order = [F.col(c).desc() for c in ("behavioral", "sarcasm", "pos_overwhelm", "accuracy")] + ["boost", "guard"]
+    best = a.orderBy(*order).limit(1).unionByName(b.orderBy(*order).limit(1))
+    row = best.groupBy().agg(*[F.max(F.when(F.col("grid") == g, F.col(c).cast("double"))).alias(f"{c}_{g}") for c in DECISION_METRICS for g in "AB"])
+    adopt_b = (((F.col("behavioral_B") > F.col("behavioral_A")) | (F.col("pos_overwhelm_B") > F.col("pos_overwhelm_A")))
+               & (F.col("sarcasm_B") >= F.col("sarcasm_A")))
+    each = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"{c}_A").alias("option_a"), F.col(f"{c}_B").alias("option_b"),
+                              F.when(F.col(f"{c}_B") > F.col(f"{c}_A"), "B").when(F.col(f"{c}_A") > F.col(f"{c}_B"), "A").otherwise("tie").alias("winner"))
+                     for c in DECISION_METRICS])
+    return row.select(F.explode(each).alias("m"), F.when(adopt_b, "B").otherwise("A").alias("adopted")).select("m.*", "adopted")
+
+
+# FIXED VALUES — the case that a strict veto must catch and a soft one may not: (text, expected, category).
+INTEGRITY_CASE = (("I love bugs 😭", 0, "integrity"),)
+STRATEGIES = (("base_ml", None), ("soft_veto", 1), ("strict_veto", 2))
+
+
+def veto_strategy(model, rows_for, integrity: DataFrame) -> DataFrame:
+    """Accuracy, F1 and delta without veto and with both guards, and whether the veto catches the integrity case."""
+    from .evaluate import metrics
+    scored = at_boost(rows_for(model), model, L.EMOJI_BOOST)
+    out = None
+    for name, guard in STRATEGIES:
+        fired = F.lit(False) if guard is None else S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count", L.EMOJI_BOOST, guard)
+        m = metrics(scored.withColumn("prediction_int", F.when(fired, 0).otherwise(F.col("model_prediction"))), p="prediction_int")
+        caught = integrity.agg(F.every(fired).alias("integrity_veto"))
+        m = m.join(F.broadcast(caught)).withColumn("strategy", F.lit(name))  # one row each
+        out = m if out is None else out.unionByName(m)
+    base = F.max(F.when(F.col("strategy") == "base_ml", F.col("accuracy"))).over(Window.partitionBy())  # three rows
+    return out.select("strategy", "accuracy", "f1", F.round(F.col("accuracy") - base, 6).alias("delta"), "integrity_veto")
+
+
+def cases_scored(model, rows: DataFrame, boost: int, veto: str) -> DataFrame:
+    s = score_at(model, rows, boost, veto=veto)
+    return (s.select(F.lit(boost).alias("boost"), "id", "category", "label", "prediction_int", "fired", "confidence")
+            .withColumn("passed", F.col("prediction_int") == F.col("label")))
+
+
+def boost_floor(cases: DataFrame) -> DataFrame:
+    """Passed cases and average confidence per boost; ``best``: most passed, then most confident, then smallest."""
+    per = cases.groupBy("boost").agg(F.sum(F.col("passed").cast("int")).cast("bigint").alias("passed"),
+                                     F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+    first = F.row_number().over(Window.orderBy(F.col("passed").desc(), F.col("avg_confidence").desc(), "boost"))  # a row per boost
+    return per.withColumn("best", first == 1)
+
 
 def score_at(model, rows: DataFrame, boost: int, threshold=L.EMOJI_BOOST, guard=L.VETO_GUARD,
              veto: str = "production") -> DataFrame:

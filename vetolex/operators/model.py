@@ -2,22 +2,53 @@
 
 A model is a weights table ``(term, idx, idf, coef)`` — text terms carry an idf,
 the four numeric features carry ``idf = null`` and the last four indices — plus an
-intercept.  Scoring is joins and grouped sums; the weights table is broadcast only
-under a checked row bound.
+intercept.  Scoring is joins and grouped sums; whether the weights are broadcast is Spark's
+choice by their measured size.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalars as S
-from .text import BROADCAST_MAX_TERMS, by_row, term_occurrences
+from .text import by_row, term_occurrences
 
-WEIGHTS_SCHEMA = "term string, idx int, idf double, coef double"
+WEIGHTS_SCHEMA = "term string, idx long, idf double, coef double"
+
+
+@dataclass(frozen=True)
+class TextSettings:
+    """How the text block of a model was made; part of the model, saved and checked with it."""
+    analyzer: str = "word"
+    ngram_min: int = 1
+    ngram_max: int = 2
+    lowercase: bool = True
+    token_pattern: str = L.TOKEN_PATTERN
+    stop_words: bool = False
+    strip_accents: bool = False
+    binary: bool = False
+    sublinear_tf: bool = False
+    norm: str = "l2"
+    smooth_idf: bool = True
+    n_classes: int = 2
+
+
+#: What the relational scorer reproduces.
+SUPPORTED = TextSettings()
+
+
+class UnsupportedModel(ValueError):
+    """A model whose settings the scorer does not reproduce."""
+
+
+def unsupported_settings(settings: TextSettings) -> list[str]:
+    """Names of the settings that the scorer does not reproduce; it counts n-grams up to any length."""
+    return [f.name for f in fields(TextSettings) if f.name != "ngram_max" and getattr(settings, f.name) != getattr(SUPPORTED, f.name)] \
+        + (["ngram_max"] if settings.ngram_max not in (1, 2) else [])
 
 
 @dataclass
@@ -27,13 +58,19 @@ class LinearTextModel:
     numeric_coef: dict          # feature name -> coefficient (4 values, held on the driver)
     n_text: int                 # vocabulary size
     ngram_max: int = 2
+    settings: TextSettings = SUPPORTED
+
+    def __post_init__(self):
+        bad = unsupported_settings(self.settings)
+        if bad or self.settings.ngram_max != self.ngram_max:
+            raise UnsupportedModel(f"the scorer does not reproduce {bad or ['ngram_max']} of {self.settings}")
 
     @property
     def text_weights(self) -> DataFrame:
         return self.weights.where(F.col("idf").isNotNull())
 
 
-def model_from_weights(weights: DataFrame, intercept: float, ngram_max: int = 2) -> LinearTextModel:
+def model_from_weights(weights: DataFrame, intercept: float, ngram_max: int = 2, settings: TextSettings = SUPPORTED) -> LinearTextModel:
     """Build a model from a weights table, checking that the numeric block is complete."""
     nums = {r["term"]: (r["idx"], r["coef"]) for r in weights.where(F.col("idf").isNull()).collect()}
     missing = [c for c in L.NUMERIC_FEATURES if c not in nums]
@@ -43,7 +80,8 @@ def model_from_weights(weights: DataFrame, intercept: float, ngram_max: int = 2)
     for k, c in enumerate(L.NUMERIC_FEATURES):
         if nums[c][0] != n_text + k:
             raise ValueError(f"numeric feature {c} has index {nums[c][0]}, expected {n_text + k}")
-    return LinearTextModel(weights, float(intercept), {c: float(nums[c][1]) for c in L.NUMERIC_FEATURES}, n_text, ngram_max)
+    return LinearTextModel(weights, float(intercept), {c: float(nums[c][1]) for c in L.NUMERIC_FEATURES}, n_text, ngram_max,
+                           replace(settings, ngram_max=ngram_max))
 
 
 # ---------------------------------------------------------------- fixed demonstration model
@@ -83,25 +121,31 @@ def fixed_model(spark: SparkSession) -> LinearTextModel:
 
 # ---------------------------------------------------------------- relational scoring
 
-def _weights_side(model: LinearTextModel) -> DataFrame:
-    tw = model.text_weights.select("term", "idx", "idf", "coef")
-    return F.broadcast(tw) if model.n_text <= BROADCAST_MAX_TERMS else tw
-
-
 def text_contributions(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id") -> DataFrame:
     """``(id, term, idx, idf, coef, tf)`` for in-vocabulary n-grams (OOV dropped by the inner join)."""
     occ = term_occurrences(df, text, id_col, model.ngram_max)
-    j = occ.join(_weights_side(model), "term")
+    j = occ.join(model.text_weights.select("term", "idx", "idf", "coef"), "term")
     return j.groupBy("id", "term", "idx", "idf", "coef").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def text_block(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id") -> DataFrame:
-    """Per row: normalised text logit and the active text drivers (idx, token, weight)."""
+KEEP_DRIVERS = 3
+
+
+def text_block(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id",
+               drivers: int | None = KEEP_DRIVERS) -> DataFrame:
+    """Per row: normalised text logit and active text drivers (idx, token, weight).
+
+    ``drivers``: how many to keep, the strongest by rounded weight, ties by index (None: all).  They
+    are cut while the row's terms are gathered, so a long text does not carry all of them along."""
     c = text_contributions(df, model, text, id_col)
     x = F.col("tf") * F.col("idf")
+    own = F.collect_list(F.struct((-F.abs(F.round("coef", 4))).alias("key"), F.col("idx"), F.col("term").alias("token"),
+                                  F.round("coef", 4).alias("weight")))
+    ranked = F.array_sort(own)
+    ranked = ranked if drivers is None else F.slice(ranked, 1, drivers)
     return c.groupBy("id").agg(
         (F.sum(x * F.col("coef")) / F.sqrt(F.sum(x * x))).alias("text_logit"),
-        F.collect_list(F.struct(F.col("idx"), F.col("term").alias("token"), F.round("coef", 4).alias("weight"))).alias("text_drivers"))
+        F.transform(ranked, lambda d: F.struct(d["idx"].alias("idx"), d["token"].alias("token"), d["weight"].alias("weight"))).alias("text_drivers"))
 
 
 def numeric_logit(model: LinearTextModel, cols=L.NUMERIC_FEATURES, skip=()) -> Column:
@@ -112,26 +156,29 @@ def numeric_logit(model: LinearTextModel, cols=L.NUMERIC_FEATURES, skip=()) -> C
     return out
 
 
-def score_relational(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id") -> DataFrame:
+def score_relational(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id",
+                     drivers: int | None = KEEP_DRIVERS, rows: DataFrame | None = None) -> DataFrame:
     """Adds ``text_logit, logit, p1, model_prediction, text_drivers``.
 
-    Left join from the rows, so rows without any known term keep intercept + numerics."""
-    rows = by_row(df, id_col)  # one exchange of the rows; both branches below reuse it
-    tb = text_block(rows, model, text, id_col).withColumnRenamed("id", id_col)
-    out = rows.join(tb, id_col, "left")
+    Left join from the rows, so rows without any known term keep intercept + numerics.  ``rows``:
+    the raw rows by key that ``df`` was derived from; given, both branches read one exchange."""
+    if rows is None:
+        df = rows = by_row(df, id_col)
+    tb = text_block(rows, model, text, id_col, drivers).withColumnRenamed("id", id_col)
+    out = df.join(tb, id_col, "left")
     logit = F.coalesce(F.col("text_logit"), F.lit(0.0)) + numeric_logit(model) + F.lit(model.intercept)
     return (out.withColumn("text_logit", F.coalesce(F.col("text_logit"), F.lit(0.0)))
             .withColumn("logit", logit)
             .withColumn("p1", S.sigmoid("logit"))
             .withColumn("model_prediction", F.when(F.col("logit") > 0, 1).otherwise(0))
             .withColumn("text_drivers", F.coalesce(F.col("text_drivers"),
-                                                   F.array().cast("array<struct<idx:int,token:string,weight:double>>"))))
+                                                   F.array().cast("array<struct<idx:bigint,token:string,weight:double>>"))))
 
 
 def numeric_drivers(model: LinearTextModel) -> Column:
     items = []
     for k, c in enumerate(L.NUMERIC_FEATURES):
-        d = F.struct(F.lit(model.n_text + k).alias("idx"), F.lit(c).alias("token"),
+        d = F.struct(F.lit(model.n_text + k).cast("long").alias("idx"), F.lit(c).alias("token"),
                      F.lit(round(model.numeric_coef[c], 4)).alias("weight"))
         items.append(F.when(F.col(c) != 0, d))
     return F.filter(F.array(*items), lambda d: d.isNotNull())
@@ -160,15 +207,16 @@ def resolve(df: DataFrame, guard=L.VETO_GUARD, threshold=L.EMOJI_BOOST) -> DataF
             .withColumn("prediction_int", F.when(veto, F.lit(0)).otherwise(F.col("model_prediction")))
             .withColumn("confidence_raw", conf_raw)
             .withColumn("confidence", F.round("confidence_raw", 4))
-            .withColumn("entropy_flag", S.entropy_flag("confidence_raw")))
+            .withColumn("entropy_flag", S.entropy_flag("confidence_raw"))
+            .withColumn("model_confidence", S.confidence("p1")))
 
 
 def predict_sentiment(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id",
-                      event_time: Column | None = None, keep_drivers: int = 3) -> DataFrame:
+                      event_time: Column | None = None, keep_drivers: int = KEEP_DRIVERS) -> DataFrame:
     """Features → score → veto → confidence → flag → explained 8-field record (+ id)."""
     from .features import add_polarity_features
-    feats = add_polarity_features(df, text)
-    scored = resolve(score_relational(feats, model, text, id_col))
+    rows = by_row(df.select(id_col, text), id_col)
+    scored = resolve(score_relational(add_polarity_features(rows, text), model, text, id_col, keep_drivers, rows))
     ts = event_time if event_time is not None else F.current_timestamp()
     return scored.select(
         id_col,
@@ -180,10 +228,12 @@ def predict_sentiment(df: DataFrame, model: LinearTextModel, text: str = "text",
     )
 
 
-def scored_frame(df: DataFrame, model: LinearTextModel, text: str = "text", extended_words: bool = False) -> DataFrame:
+def scored_frame(df: DataFrame, model: LinearTextModel, text: str = "text", extended_words: bool = False,
+                 drivers: int | None = KEEP_DRIVERS) -> DataFrame:
     """Features + model + veto columns, used by the evaluation operators."""
     from .features import add_polarity_features
-    return resolve(score_relational(add_polarity_features(df, text, extended_words=extended_words), model, text))
+    rows = by_row(df)
+    return resolve(score_relational(add_polarity_features(rows, text, extended_words=extended_words), model, text, drivers=drivers, rows=rows))
 
 
 def global_signals(model: LinearTextModel, top_n: int = 5) -> DataFrame:
@@ -194,32 +244,34 @@ def global_signals(model: LinearTextModel, top_n: int = 5) -> DataFrame:
     return pos.unionByName(neg).select("direction", F.col("term").alias("token"), "idx", F.round("coef", 2).alias("weight"))
 
 
-# ---------------------------------------------------------------- row-wise scorer (small models)
-
-ROWWISE_MAX_TERMS = 50_000
-
+# ---------------------------------------------------------------- second scorer
 
 def score_rowwise(df: DataFrame, model: LinearTextModel, text: str = "text") -> DataFrame:
-    """Same decision as :func:`score_relational` without any join or shuffle: the weights are
-    a literal map and every row is scored with array functions.  For small models only
-    (size checked), e.g. scoring a stream without grouping state; also an independent
-    second scorer for :func:`parity_join`."""
-    if model.n_text > ROWWISE_MAX_TERMS:
-        raise ValueError(f"row-wise scoring needs a vocabulary <= {ROWWISE_MAX_TERMS} terms, got {model.n_text}")
-    rows = model.text_weights.select("term", "idf", "coef").collect()  # bounded by the check above
-    m = F.create_map(*[x for r in rows for x in (F.lit(r["term"]), F.struct(F.lit(r["idf"]).alias("idf"),
-                                                                              F.lit(r["coef"]).alias("coef")))])
-    g = S.with_ngrams(df, text, "_g", model.ngram_max)
-    g = g.withColumn("_k", F.filter("_g", lambda t: F.map_contains_key(m, t)))
-    g = g.withColumn("_d", F.array_distinct("_k"))
-    acc = F.aggregate(
-        "_d", F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("sq")),
-        lambda a, t: F.struct(
-            (a["dot"] + F.size(F.filter("_k", lambda y: y == t)) * m[t]["idf"] * m[t]["coef"]).alias("dot"),
-            (a["sq"] + F.pow(F.size(F.filter("_k", lambda y: y == t)) * m[t]["idf"], 2)).alias("sq")))
-    g = g.withColumn("_a", acc)
-    text_logit = F.when(F.col("_a.sq") > 0, F.col("_a.dot") / F.sqrt(F.col("_a.sq"))).otherwise(F.lit(0.0))
-    out = g.withColumn("text_logit", text_logit).drop("_g", "_k", "_d", "_a")
+    """Same decision as :func:`score_relational` by other arithmetic, for :func:`parity_join`.
+
+    No term is counted by grouping: each row's known n-grams are gathered in index order and one
+    walk along them counts the runs and sums both parts of the normalised product.  Linear in the
+    row's length but for that sort, whatever the size of the vocabulary."""
+    rows = by_row(df)
+    occ = term_occurrences(rows, text, "id", model.ngram_max).join(model.text_weights.select("term", "idx", "idf", "coef"), "term")
+    grams = occ.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "idf", "coef"))).alias("_g"))
+    zero = F.lit(0.0)
+    start = F.struct(F.lit(-1).cast("long").alias("idx"), zero.alias("x"), zero.alias("coef"), zero.alias("dot"), zero.alias("sq"))
+
+    def closed(s, idx, x, coef):
+        # the run that ends here goes into the sums
+        return F.struct(idx.alias("idx"), x.alias("x"), coef.alias("coef"), (s["dot"] + s["x"] * s["coef"]).alias("dot"),
+                        (s["sq"] + s["x"] * s["x"]).alias("sq"))
+
+    def step(s, g):
+        same = F.struct(s["idx"].alias("idx"), (s["x"] + g["idf"]).alias("x"), s["coef"].alias("coef"), s["dot"].alias("dot"), s["sq"].alias("sq"))
+        return F.when(g["idx"] == s["idx"], same).otherwise(closed(s, g["idx"], g["idf"], g["coef"]))
+
+    walked = F.aggregate("_g", start, step, lambda s: closed(s, F.lit(-1).cast("long"), zero, zero))
+    sums = grams.select("id", walked.alias("_a"))
+    out = rows.join(sums, "id", "left")
+    text_logit = F.when(F.col("_a.sq") > 0, F.col("_a.dot") / F.sqrt(F.col("_a.sq"))).otherwise(zero)
+    out = out.withColumn("text_logit", text_logit).drop("_a")
     logit = F.col("text_logit") + numeric_logit(model) + F.lit(model.intercept)
     return (out.withColumn("logit", logit).withColumn("p1", S.sigmoid("logit"))
             .withColumn("model_prediction", F.when(F.col("logit") > 0, 1).otherwise(0)))

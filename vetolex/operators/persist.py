@@ -6,13 +6,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import asdict, fields
 
 from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-from .model import LinearTextModel, model_from_weights
+from .model import SUPPORTED, LinearTextModel, TextSettings, model_from_weights
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -24,29 +25,31 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         # quote every field and escape quotes by doubling them, the form the reader expects
-        w = (w.option("header", True).option("quoteAll", True).option("escape", '"')
+        # a reader takes a quoted file whole, so files are bounded
+        w = (w.option("header", True).option("maxRecordsPerFile", 100_000).option("quoteAll", True).option("escape", '"')
              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     w.save(path)
     return path
 
 
 def save_model(model: LinearTextModel, path: str) -> str:
-    """Weights ``(term, idx, idf, coef)`` as parquet plus a one-row params table."""
+    """Weights ``(term, idx, idf, coef)`` as parquet plus a one-row params table with the model's settings."""
     spark = model.weights.sparkSession
     model.weights.write.mode("overwrite").parquet(os.path.join(path, "weights"))
-    params = spark.createDataFrame([(model.intercept, 1, model.ngram_max, True, "[\\p{L}\\p{N}_]{2,}", model.n_text)],
-                                   "intercept double, ngram_min int, ngram_max int, lowercase boolean, token_pattern string, n_text int")
+    params = spark.createDataFrame([Row(intercept=model.intercept, n_text=model.n_text, **asdict(model.settings))])
     params.coalesce(1).write.mode("overwrite").json(os.path.join(path, "params"))
     return path
 
 
 def load_model(spark: SparkSession, path: str) -> LinearTextModel:
-    """Reload and check that the sizes agree (fails loudly when the artifact is incomplete)."""
+    """Reload; raises if params are missing, sizes disagree, or the settings are not what the scorer reproduces."""
     weights = spark.read.parquet(os.path.join(path, "weights"))
     params = spark.read.json(os.path.join(path, "params")).first()
-    if params is None:
+    names = [f.name for f in fields(TextSettings)]
+    if params is None or not {"intercept", "n_text", *names} <= set(params.__fields__):
         raise FileNotFoundError(f"model params missing under {path}")
-    model = model_from_weights(weights, params["intercept"], int(params["ngram_max"]))
+    settings = TextSettings(**{n: type(getattr(SUPPORTED, n))(params[n]) for n in names})
+    model = model_from_weights(weights, params["intercept"], settings.ngram_max, settings)
     if model.n_text != int(params["n_text"]):
         raise ValueError(f"vocabulary size {model.n_text} != recorded {params['n_text']}")
     return model

@@ -20,6 +20,11 @@ def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
+def not_in(column: str, *values) -> Column:
+    """Outside the allowed values; a null is outside too."""
+    return ~F.coalesce(F.col(column).isin(*values), F.lit(False))
+
+
 def validate_posts(df: DataFrame, target: str = "label", text: str = "text") -> DataFrame:
     """Exact columns ``[label, text]`` (ids allowed first); labels in {0,1}; non-empty text."""
     cols = [c for c in df.columns if c != "id"]
@@ -68,22 +73,28 @@ def validate_split(split_df: DataFrame, label: str = "label", id_col: str = "id"
     ])
 
 
-RESPONSE_FIELDS = ["timestamp", "raw_text", "prediction", "prediction_int", "confidence",
-                   "entropy_flag", "veto_applied", "top_drivers"]
+#: field -> type of a scored record
+RESPONSE_TYPES = {"timestamp": "string", "raw_text": "string", "prediction": "string", "prediction_int": "int",
+                  "confidence": "double", "entropy_flag": "string", "veto_applied": "boolean",
+                  "top_drivers": "array<struct<token:string,weight:double>>"}
+RESPONSE_FIELDS = list(RESPONSE_TYPES)
 
 
 def _response_spec(scored: DataFrame):
-    missing = len([c for c in RESPONSE_FIELDS if c not in scored.columns])
+    kinds = dict(scored.dtypes)
+    missing = len([c for c in RESPONSE_FIELDS if c not in kinds])
+    mistyped = len([c for c, kind in RESPONSE_TYPES.items() if kinds.get(c, kind) != kind])
     aggs = [
-        count_if(~F.col("prediction").isin("Positive", "Negative")).alias("bad_label"),
-        count_if(~F.col("prediction_int").isin(0, 1)).alias("bad_int"),
+        count_if(not_in("prediction", "Positive", "Negative")).alias("bad_label"),
+        count_if(not_in("prediction_int", 0, 1)).alias("bad_int"),
         count_if((F.col("confidence") < 0.5) | (F.col("confidence") > 1.0) | F.col("confidence").isNull()).alias("bad_conf"),
-        count_if(~F.col("entropy_flag").isin("High Ambiguity", "Clear Signal")).alias("bad_flag"),
+        count_if(not_in("entropy_flag", "High Ambiguity", "Clear Signal")).alias("bad_flag"),
         count_if(F.size("top_drivers") > 3).alias("too_many_drivers"),
-        count_if((F.col("prediction") == "Positive") != (F.col("prediction_int") == 1)).alias("label_mismatch"),
+        count_if(~(F.col("prediction") == "Positive").eqNullSafe(F.col("prediction_int") == 1)).alias("label_mismatch"),
     ]
     checks = [
         ("response_keys", F.lit(missing)),
+        ("response_types", F.lit(mistyped)),
         ("label_values", F.col("bad_label")),
         ("label_int_values", F.col("bad_int")),
         ("confidence_range", F.col("bad_conf")),
@@ -126,7 +137,7 @@ def validate_audit(scored: DataFrame) -> DataFrame:
     Empty drivers are legitimate (text with no signal), so they are reported, not failed."""
     row = scored.agg(
         count_if(~F.forall("top_drivers", lambda d: d["token"].isNotNull() & d["weight"].isNotNull())).alias("bad_driver"),
-        count_if(~F.col("entropy_flag").isin("High Ambiguity", "Clear Signal")).alias("bad_flag"),
+        count_if(not_in("entropy_flag", "High Ambiguity", "Clear Signal")).alias("bad_flag"),
         count_if(F.col("timestamp").isNull()).alias("no_ts"),
         count_if(F.size("top_drivers") == 0).alias("empty_drivers"),
     )

@@ -23,23 +23,27 @@ def split_hash(id_col: str = "id", seed: int = SEED):
 
 def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", seed: int = SEED,
                      val_fraction: float = VAL_FRACTION, split_col: str = "split") -> DataFrame:
-    h = df.withColumn("_h", split_hash(id_col, seed))
-    h = h.withColumn("_b", F.conv(F.substring("_h", 1, BUCKET_HEX), 16, 10).cast("int"))
-    hist = h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    per_label = Window.partitionBy(label)
+    """Adds the split; rows are compared with their label's last validation key, in one pass and without a join.
+
+    The key column and the label are read first: a histogram of the hash prefixes (at most 65,536 rows a
+    label) finds the bucket in which a label's validation part ends, and only the rows of those buckets,
+    about one in 65,536, are ranked to find the last ``(hash, id)`` in it."""
+    keys = df.select(F.col(label).alias("_l"), F.col(id_col).alias("_i"), split_hash(id_col, seed).alias("_h")).withColumn(
+        "_b", F.substring("_h", 1, BUCKET_HEX))
+    hist = keys.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    per_label = Window.partitionBy("_l")
     running = per_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.select(label, "_b", "_cnt",
-                       F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_before"),
+    ends = hist.select("_l", "_b", "_cnt", F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_before"),
                        F.round(F.sum("_cnt").over(per_label) * F.lit(val_fraction)).cast("bigint").alias("_nval"))
-    # histogram has at most 2 * 65,536 rows: bounded whatever the data size
-    j = h.join(F.broadcast(hist), [label, "_b"])
-    decided = j.where((F.col("_before") + F.col("_cnt") <= F.col("_nval")) | (F.col("_before") >= F.col("_nval")))
-    decided = decided.withColumn(split_col, F.when(F.col("_before") >= F.col("_nval"), "train").otherwise("val"))
-    boundary = j.where((F.col("_before") < F.col("_nval")) & (F.col("_before") + F.col("_cnt") > F.col("_nval")))
-    rank = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col))
-    boundary = boundary.withColumn(split_col, F.when(F.col("_before") + rank <= F.col("_nval"), "val").otherwise("train"))
-    cols = df.columns + [split_col]
-    return decided.select(*cols).unionByName(boundary.select(*cols))
+    ends = ends.where((F.col("_before") < F.col("_nval")) & (F.col("_before") + F.col("_cnt") >= F.col("_nval"))).collect()  # one row a label
+    inside = F.lit(False)
+    for r in ends:
+        bucket = keys.where(F.col("_l").eqNullSafe(F.lit(r["_l"])) & (F.col("_b") == r["_b"])).select("_h", "_i")
+        last = bucket.orderBy("_h", "_i").limit(int(r["_nval"] - r["_before"])).agg(F.max(F.struct("_h", "_i")).alias("m")).first()["m"]
+        h = split_hash(id_col, seed)
+        upto = (h < last["_h"]) | ((h == last["_h"]) & (F.col(id_col) <= F.lit(last["_i"])))
+        inside = inside | (F.col(label).eqNullSafe(F.lit(r["_l"])) & upto)
+    return df.withColumn(split_col, F.when(inside, "val").otherwise("train"))
 
 
 def split_sql(source: str, label: str = "label", id_col: str = "id", seed: int = SEED,

@@ -10,24 +10,19 @@ by the cluster and not by driver memory.  Plan shape:
 * n-grams are built per row with native array / regex functions and exploded;
 * ``df``: ``groupBy(term)`` with partial aggregation, so frequent terms (the hot
   keys: "the", "of" …) are combined map-side before the only other shuffle;
-* the vocabulary is joined back by ``term``: broadcast when its row count is under
-  a checked bound (keeps the ``id`` partitioning), otherwise a shuffle join (AQE
-  splits skewed term partitions).
+* the vocabulary is joined back by ``term`` without a hint: Spark broadcasts it when its
+  measured bytes allow, and otherwise shuffles, where AQE splits skewed term partitions.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-
-# Largest vocabulary (rows) joined by broadcast (~40 bytes a row, so at most a few tens of MB);
-# beyond it the join shuffles on ``term`` and AQE splits skewed term partitions.
-BROADCAST_MAX_TERMS = 1_000_000
+from ..session import cut
 
 
 def by_row(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -70,27 +65,39 @@ def index_vocabulary(vocab: DataFrame) -> DataFrame:
 
     Uses a range-partitioned sort and per-partition offsets, never a single-partition window."""
     from .clean import reset_index
-    return reset_index(vocab, order_col="term", out_col="idx").withColumn("idx", F.col("idx").cast("int"))
+    return reset_index(vocab, order_col="term", out_col="idx")
+
+
+def join_vocabulary(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Inner join on ``term`` (drops out-of-vocabulary terms)."""
+    return tf.join(vocab, "term")
+
 
+def normalised(weighted: DataFrame, columns: list[str], x: str = "_x") -> DataFrame:
+    """``columns`` and ``value`` = x over the L2 norm of the row's x, from rows with an ``id``.
 
-def join_vocabulary(tf: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
-    """Inner join on ``term`` (drops out-of-vocabulary terms); broadcast only under the bound."""
-    n = vocab_rows if vocab_rows is not None else vocab.count()
-    side = F.broadcast(vocab) if n <= BROADCAST_MAX_TERMS else vocab
-    return tf.join(side, "term")
+    One grouping by id: a document's terms are gathered next to their sum of squares and
+    unpacked again, so nothing is sorted and the weighted rows are computed once."""
+    per_row = weighted.groupBy("id").agg(F.collect_list(F.struct(*columns, x)).alias("_t"), F.sqrt(F.sum(F.col(x) * F.col(x))).alias("_n"))
+    return (per_row.select("id", "_n", F.explode("_t").alias("_e"))
+            .select("id", *[f"_e.{c}" for c in columns], (F.col(f"_e.{x}") / F.col("_n")).alias("value")))
 
 
-def tfidf_transform(tf: DataFrame, vocab: DataFrame, vocab_rows: int | None = None) -> DataFrame:
-    """``(id, term, value)``: tf × idf, L2-normalised over in-vocabulary terms of the row."""
-    j = join_vocabulary(tf, vocab.select("term", "idf"), vocab_rows).withColumn("_x", F.col("tf") * F.col("idf"))
-    # per-document window: ``tf`` is already partitioned by id, so no exchange is added
-    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy("id")))
-    return j.select("id", "term", "tf", "idf", (F.col("_x") / norm).alias("value"))
+def tfidf_transform(tf: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(id, term, tf, idf, value)``: tf × idf, L2-normalised over in-vocabulary terms of the row."""
+    j = join_vocabulary(tf, vocab.select("term", "idf")).withColumn("_x", F.col("tf") * F.col("idf"))
+    return normalised(j, ["term", "tf", "idf"])
 
 
 def fit_tfidf(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2,
-              min_df: int = 2, max_df: float = 0.95):
-    """Fit on ``df``: returns ``(tf, vocab, n_docs)``; ``tf`` is persisted (used by df, norms, join)."""
-    tf = term_frequency(df, text, id_col, n_max).persist(StorageLevel.MEMORY_AND_DISK)
+              min_df: int = 2, max_df: float = 0.95, keep: bool = True):
+    """Fit on ``df``: returns ``(tf, vocab, n_docs)``.
+
+    With ``keep`` the term counts and the vocabulary are written to the shared folder once, because
+    fitting and transforming both read them; a fit alone needs neither."""
+    tf = term_frequency(df, text, id_col, n_max)
+    if keep:
+        tf = cut(tf)
     n_docs = df.count()
-    return tf, fit_vocabulary(tf, n_docs, min_df, max_df), n_docs
+    vocab = fit_vocabulary(tf, n_docs, min_df, max_df)
+    return tf, cut(vocab) if keep else vocab, n_docs

@@ -1,37 +1,59 @@
-"""Training with MLlib on the relational TF-IDF (§2.10: ``assemble_hybrid``, ``train_logistic``,
+"""Training on the relational TF-IDF (§2.10: ``assemble_hybrid``, ``train_logistic``,
 ``extract_weights``, ``score_mllib``, ``parity_check``, ``train_evaluate``).
 
 * TF-IDF is fitted on the training rows only (vocabulary, idf), in long form.
 * Feature vectors are ``TF-IDF block ‖ 4 numerics`` as sparse vectors; only the
   labelled training rows are turned into vectors.
-* The objective matches ``Σ logloss + ½‖w‖²`` with a free intercept:
-  ``regParam = 1/n``, no elastic net, no standardisation.
+* The objective is ``Σ logloss + ½‖w‖²`` with a free intercept; the result is an MLlib model.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..session import cut
 from . import text as T
 from .features import add_polarity_features
 from .model import LinearTextModel, model_from_weights
-from .split import stratified_split
+from .split import split_hash, stratified_split
 
-MAX_ITER = 1000
-TOL = 1e-9
+#: L-BFGS ends when no partial derivative of the mean loss exceeds TOL; reaching MAX_ITER first is an error.
+MAX_ITER, TOL, MEMORY = 300, 1e-6, 10
+#: Bound on the labelled rows a model is fitted on (by split hash, so the choice is fixed); it bounds the
+#: vocabulary and the coefficient vectors that the driver keeps.  Scoring has no bound.
+MAX_FIT_ROWS = 1_000_000
+#: Non-zeros in a partition of training vectors, about 12 bytes each.
+NNZ_PER_PARTITION = 4_000_000
+#: Coefficients in a slice of the gradient on its way to the sum.
+SLICE = 1 << 16
+
+
+class NotConverged(RuntimeError):
+    pass
+
+
+@dataclass
+class Fit:
+    model: LogisticRegressionModel
+    iterations: int
+    max_gradient: float        # of the mean loss, at the end
 
 
 @F.udf(VectorUDT())
 def _to_sparse(size, indices, values):
-    # small helper on the training path: builds the vector from already-sorted arrays
+    # a vector per labelled row, at most MAX_FIT_ROWS of them and their evaluation split
     return SparseVector(size, indices or [], values or [])
 
 
@@ -40,7 +62,8 @@ class TrainingRun:
     data: DataFrame            # id, label, text, numerics, split (persisted)
     vocab: DataFrame           # term, df, idf, idx (persisted)
     n_text: int
-    n_train: int
+    n_train: int               # rows fitted on
+    n_train_all: int           # rows of the training split, more only beyond MAX_FIT_ROWS
     numeric_cols: tuple
     boost: int = L.EMOJI_BOOST
     tfidf_cache: dict = field(default_factory=dict)
@@ -49,35 +72,33 @@ class TrainingRun:
         return self.data.where(F.col("split") == split)
 
     def tfidf_for(self, split: str) -> DataFrame:
-        """TF-IDF rows of one split, computed once and persisted: the text block does not
+        """TF-IDF rows of one split, written once to the shared folder: the text block does not
         change between fits (boosts and numeric feature sets only change the numerics)."""
         if split not in self.tfidf_cache:
-            self.tfidf_cache[split] = tfidf_rows(self, self.rows(split)).persist(StorageLevel.MEMORY_AND_DISK)
+            self.tfidf_cache[split] = cut(tfidf_rows(self, self.rows(split)))
         return self.tfidf_cache[split]
 
 
 def prepare(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES, boost=L.EMOJI_BOOST,
-            extended_words: bool = False, min_df: int = 2, max_df: float = 0.95) -> TrainingRun:
-    """Features, split and training-set vocabulary, persisted once for every fit that follows."""
+            extended_words: bool = False, min_df: int = 2, max_df: float = 0.95, max_fit_rows: int = MAX_FIT_ROWS) -> TrainingRun:
+    """Features, split and training-set vocabulary, written once for every fit that follows."""
     feats = add_polarity_features(posts, boost=boost, extended_words=extended_words)
-    data = stratified_split(feats).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut(stratified_split(feats))
     train = data.where(F.col("split") == "train")
-    n_train = train.count()
-    tf = T.term_frequency(train).persist(StorageLevel.MEMORY_AND_DISK)
-    vocab = T.index_vocabulary(T.fit_vocabulary(tf, n_train, min_df, max_df)).persist(StorageLevel.MEMORY_AND_DISK)
-    n_text = vocab.count()
-    tf.unpersist()
-    return TrainingRun(data, vocab, n_text, n_train, tuple(numeric_cols), boost)
+    n_all = n_train = train.count()
+    if n_all > max_fit_rows:
+        fit = train.orderBy(split_hash("id"), "id").limit(max_fit_rows)
+        data = cut(fit.unionByName(data.where(F.col("split") != "train")))
+        train, n_train = data.where(F.col("split") == "train"), max_fit_rows
+    vocab = cut(T.index_vocabulary(T.fit_vocabulary(T.term_frequency(train), n_train, min_df, max_df)))
+    return TrainingRun(data, vocab, vocab.count(), n_train, n_all, tuple(numeric_cols), boost)
 
 
 def tfidf_rows(run: TrainingRun, rows: DataFrame) -> DataFrame:
     """``(id, idx, value)`` — normalised TF-IDF of ``rows`` over the training vocabulary
     (one vocabulary join brings both idf and column index)."""
-    tf = T.term_frequency(rows)
-    j = T.join_vocabulary(tf, run.vocab.select("term", "idf", "idx"), run.n_text)
-    x = F.col("tf") * F.col("idf")
-    norm = F.sqrt(F.sum(x * x).over(Window.partitionBy("id")))
-    return j.select("id", "idx", (x / norm).alias("value"))
+    j = T.join_vocabulary(T.term_frequency(rows), run.vocab.select("term", "idf", "idx"))
+    return T.normalised(j.withColumn("_x", F.col("tf") * F.col("idf")), ["idx"])
 
 
 def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None, split: str | None = None) -> DataFrame:
@@ -89,45 +110,135 @@ def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None, split:
     text = run.tfidf_for(split) if split else tfidf_rows(run, rows)
     per_row = text.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_tv"))
     base = rows.select("id", "label", *numeric_cols).join(per_row, "id", "left")
-    nums = F.array(*[F.struct(F.lit(run.n_text + k).alias("idx"), F.col(c).cast("double").alias("value"))
-                     for k, c in enumerate(numeric_cols)]) if numeric_cols else F.array().cast("array<struct<idx:int,value:double>>")
-    entries = F.concat(F.coalesce(F.col("_tv"), F.array().cast("array<struct<idx:int,value:double>>")),
+    nums = F.array(*[F.struct(F.lit(run.n_text + k).cast("long").alias("idx"), F.col(c).cast("double").alias("value"))
+                     for k, c in enumerate(numeric_cols)]) if numeric_cols else F.array().cast("array<struct<idx:bigint,value:double>>")
+    entries = F.concat(F.coalesce(F.col("_tv"), F.array().cast("array<struct<idx:bigint,value:double>>")),
                        F.filter(nums, lambda e: e["value"] != 0))
     size = run.n_text + len(numeric_cols)
-    return base.select("id", F.col("label").cast("double").alias("label"), F.size(entries).alias("nnz"),
-                       _to_sparse(F.lit(size), F.transform(entries, lambda e: e["idx"]),
+    return base.select("id", F.col("label").cast("double").alias("label"), F.size(entries).alias("nnz"), F.lit(size).alias("width"),
+                       F.transform(entries, lambda e: e["idx"].cast("int")).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("x_values"),
+                       _to_sparse(F.lit(size), F.transform(entries, lambda e: e["idx"].cast("int")),
                                   F.transform(entries, lambda e: e["value"])).alias("features"))
 
 
-ROWS_PER_PARTITION = 100_000
-
-
-def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter: int = MAX_ITER) -> LogisticRegressionModel:
-    """L-BFGS runs one Spark job per iteration: the vectors are cached in partitions sized
-    to the row count (≈ ROWS_PER_PARTITION each) so per-iteration task overhead stays small."""
-    parts = max(1, -(-n_train // ROWS_PER_PARTITION))
-    data = vectors.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=1.0 / n_train,
-                            elasticNetParam=0.0, standardization=False, tol=tol, fitIntercept=True)
-    model = lr.fit(data)
-    data.unpersist()
-    return model
+def _loss_and_gradient(data: DataFrame, width: int):
+    """A function of (weights, intercept): the sums over all rows of loss, gradient and intercept gradient.
+
+    One Spark job a call: tasks multiply their rows' sparse arrays, and the gradient's slices are summed
+    by key, so no task or message holds more than one partition's share."""
+    spark = data.sparkSession
+
+    def at(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        held = spark.sparkContext.broadcast((w, b))
+
+        def partial(batches):
+            loss, g = 0.0, np.zeros(width + 1)
+            weights, intercept = held.value
+            for batch in batches:
+                y, idx, val = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+                n = np.diff(np.asarray(idx.offsets))
+                row, i, x = np.repeat(np.arange(len(n)), n), idx.flatten().to_numpy(), val.flatten().to_numpy()
+                z = np.bincount(row, weights[i] * x, len(n)) + intercept
+                loss += float(np.sum(np.logaddexp(0, z) - y * z))
+                r = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
+                g[:-1] += np.bincount(i, r[row] * x, width)
+                g[-1] += r.sum()
+            for k in range(0, width + 1, SLICE):
+                part = g[k:k + SLICE]
+                if part.any():
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "g": pa.array([part.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array([-1], pa.int64()), "g": pa.array([np.array([loss]).tobytes()], pa.binary())})
+
+        def add(table):
+            total = sum(np.frombuffer(x) for x in table.column("g").to_pylist())
+            return pa.table({"k": table.column("k").slice(0, 1), "g": pa.array([total.tobytes()], pa.binary())})
+
+        loss, g = 0.0, np.zeros(width + 1)
+        for r in data.mapInArrow(partial, "k long, g binary").groupBy("k").applyInArrow(add, "k long, g binary").collect():
+            values = np.frombuffer(r["g"])
+            if r["k"] < 0:
+                loss = float(values[0])
+            else:
+                g[r["k"]:r["k"] + len(values)] = values
+        held.destroy()
+        return loss, g
+    return at
+
+
+def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter: int = MAX_ITER) -> Fit:
+    """L-BFGS on mean loss + L2 / (2 n), one Spark job per step over rows held in memory.
+
+    The variables are the weights times their columns' scale, which evens out the few large numeric
+    features; the objective is the unscaled one.  (MLlib's own solver scales every rare term up and
+    needs thousands of steps for this penalty.)  Partitions follow the non-zeros, which bound their memory,
+    and there are at least as many as cores, so a step is never one task.  Raises if the iteration
+    bound ends the fit.  The result is an MLlib model."""
+    spark = vectors.sparkSession
+    nnz, rows, width = vectors.agg(F.sum("nnz"), F.count(F.lit(1)), F.max("width")).first()
+    parts = max(min(spark.sparkContext.defaultParallelism, rows), -(-(nnz or 0) // NNZ_PER_PARTITION), 1)
+    data = (vectors.select("label", F.col("indices").alias("i"), F.col("x_values").alias("x"))
+            .repartition(int(parts)).persist(StorageLevel.MEMORY_AND_DISK))
+    top = data.select(F.explode(F.arrays_zip("i", "x")).alias("e")).groupBy("e.i").agg(F.max(F.abs("e.x")).alias("m")).where("m > 1").toPandas()
+    scale = np.ones(width + 1)           # only numeric features exceed 1, so few rows came
+    scale[top["i"].to_numpy(int)] = top["m"].to_numpy()
+    sums, ridge = _loss_and_gradient(data, width), 1.0 / n_train
+
+    def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
+        u = v / scale
+        loss, g = sums(u[:-1], float(u[-1]))
+        g = g / n_train
+        g[:-1] += ridge * u[:-1]
+        return loss / n_train + 0.5 * ridge * float(u[:-1] @ u[:-1]), g / scale
+
+    try:
+        v = np.zeros(width + 1)
+        f, g = objective(v)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        for done in range(max_iter):
+            if np.abs(g * scale).max() <= tol:
+                break
+            d, alphas = -g, []
+            for s, y in reversed(steps):
+                alphas.append(float(s @ d) / float(s @ y))
+                d = d - alphas[-1] * y
+            if steps:
+                s, y = steps[-1]
+                d = d * (float(s @ y) / float(y @ y))
+            for (s, y), alpha in zip(steps, reversed(alphas)):
+                d = d + (alpha - float(y @ d) / float(s @ y)) * s
+            slope, size = float(g @ d), 1.0
+            while True:
+                to = v + size * d
+                f2, g2 = objective(to)
+                if f2 <= f + 1e-4 * size * slope or size < 1e-10:
+                    break
+                size /= 2
+            if float((to - v) @ (g2 - g)) > 0:
+                steps = [*steps, (to - v, g2 - g)][-MEMORY:]
+            v, f, g = to, f2, g2
+        else:
+            raise NotConverged(f"no convergence within {max_iter} iterations at tolerance {tol}")
+    finally:
+        data.unpersist()
+    u = v / scale
+    java = spark.sparkContext._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"logistic-{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(u[:-1])), float(u[-1]))
+    return Fit(LogisticRegressionModel(java), done, float(np.abs(g * scale).max()))
 
 
 def extract_weights(run: TrainingRun, lr_model: LogisticRegressionModel, numeric_cols=None) -> LinearTextModel:
     """Weights table ``(term, idx, idf, coef)`` from the vocabulary and the coefficient vector.
 
-    The coefficient vector is exploded inside Spark (one row → one row per feature)."""
+    L-BFGS leaves the coefficients on the driver; they go out as an Arrow table of many slices,
+    joined to the vocabulary by index."""
     numeric_cols = tuple(numeric_cols if numeric_cols is not None else run.numeric_cols)
     spark = run.vocab.sparkSession
-    coef = (spark.createDataFrame([(lr_model.coefficients,)], ["w"])
-            .select(F.posexplode(vector_to_array("w")).alias("idx", "coef")))
+    values = lr_model.coefficients.toArray()
+    coef = spark.createDataFrame(pa.table({"idx": np.arange(len(values), dtype=np.int64), "coef": values}))
     text = run.vocab.select("term", "idx", "idf").join(coef, "idx")
-    names = spark.createDataFrame([(c, run.n_text + k) for k, c in enumerate(numeric_cols)], "term string, idx int")
+    names = spark.createDataFrame([(c, run.n_text + k) for k, c in enumerate(numeric_cols)], "term string, idx long")
     nums = names.join(coef, "idx").select("term", "idx", F.lit(None).cast("double").alias("idf"), "coef")
-    weights = text.select("term", F.col("idx").cast("int"), "idf", "coef").unionByName(
-        nums.select("term", F.col("idx").cast("int"), "idf", "coef"))
-    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
+    weights = cut(text.select("term", "idx", "idf", "coef").unionByName(nums.select("term", "idx", "idf", "coef")))
     if tuple(numeric_cols) == L.NUMERIC_FEATURES:
         return model_from_weights(weights, lr_model.intercept)
     return LinearTextModel(weights, float(lr_model.intercept),
@@ -161,7 +272,7 @@ def gradient_norm(run: TrainingRun, model: LinearTextModel) -> float:
     resid = score_relational(train, model).select("id", (F.col("p1") - F.col("label")).alias("r"))
     text = run.tfidf_for("train")
     nums = train.select("id", F.explode(F.array(*[
-        F.struct(F.lit(run.n_text + k).alias("idx"), F.col(c).cast("double").alias("value"))
+        F.struct(F.lit(run.n_text + k).cast("long").alias("idx"), F.col(c).cast("double").alias("value"))
         for k, c in enumerate(L.NUMERIC_FEATURES)])).alias("e")).select("id", "e.idx", "e.value")
     x = text.unionByName(nums).where(F.col("value") != 0)
     g = x.join(resid, "id").groupBy("idx").agg(F.sum(F.col("r") * F.col("value")).alias("g"))
@@ -173,9 +284,9 @@ def gradient_norm(run: TrainingRun, model: LinearTextModel) -> float:
 
 
 def trained_run(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES):
-    """Prepare, vectorise the training rows, fit, and return (run, lr_model, model, train_vectors)."""
+    """Prepare, vectorise the training rows, fit, and return (run, fit, model, train_vectors)."""
     run = prepare(posts, numeric_cols)
-    vec = assemble_hybrid(run, run.rows("train"), split="train").persist(StorageLevel.MEMORY_AND_DISK)
-    lr_model = train_logistic(vec, run.n_train)
-    model = extract_weights(run, lr_model)
-    return run, lr_model, model, vec
+    vec = assemble_hybrid(run, run.rows("train"), split="train")
+    fit = train_logistic(vec, run.n_train)
+    model = extract_weights(run, fit.model)
+    return run, fit, model, vec

@@ -9,12 +9,12 @@ from ..operators import clean as C
 from ..operators import corpus as K
 from ..operators import model as M
 from ..operators.features import add_polarity_features
-from ..sources.tables import posts, read_table
+from ..sources.tables import posts_all, read_table
 from . import sqlfrag as Q
 from .q_model import scored_cte
 from .registry import query
 
-P = Q.posts_sql()
+PA = Q.posts_all_sql()
 
 
 @query("drop_columns", "SELECT doc_id, lang, source FROM documents")
@@ -45,10 +45,10 @@ def q_drop_nulls(spark, sf):
 
 @query("clean_emoji_reference", lambda: (
     f"SELECT symbol AS emoji, printf('0x%x', unicode(symbol)) AS unicode_codepoint, CAST(NULL AS VARCHAR) AS unicode_name "
-    f"FROM (SELECT DISTINCT unnest({Q.symbols('text')}) AS symbol FROM {P})"))
+    f"FROM (SELECT DISTINCT unnest({Q.symbols('text')}) AS symbol FROM {PA})"))
 def q_clean_emoji_reference(spark, sf):
     """The corpus symbol inventory in the raw reference layout, then cleaned (snake case, strings)."""
-    inv = K.symbol_occurrences(posts(spark, sf)).select("symbol").distinct()
+    inv = K.symbol_occurrences(posts_all(spark, sf)).select("symbol").distinct()
     raw = inv.select(F.col("symbol").alias("Emoji"),
                      F.concat(F.lit("0x"), F.lower(F.hex(F.ascii("symbol")))).alias("Unicode codepoint"),
                      F.lit(None).cast("string").alias("Unicode name"))
@@ -58,6 +58,6 @@ def q_clean_emoji_reference(spark, sf):
 @query("parity_join", lambda: scored_cte() + "SELECT id, round(p1, 6) AS p1_a, round(p1, 6) AS p1_b, model_prediction AS pred_a, model_prediction AS pred_b FROM z")
 def q_parity_join(spark, sf):
     model = M.fixed_model(spark)
-    feats = add_polarity_features(posts(spark, sf))
+    feats = add_polarity_features(posts_all(spark, sf))
     j = M.parity_join(M.score_relational(feats, model), M.score_rowwise(feats, model))
     return j.select("id", F.round("p1_a", 6).alias("p1_a"), F.round("p1_b", 6).alias("p1_b"), "pred_a", "pred_b")

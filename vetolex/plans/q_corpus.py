@@ -19,6 +19,7 @@ from .registry import query
 P = Q.posts_sql()
 PA = Q.posts_all_sql()
 FT = Q.features_sql()
+FA = Q.features_all_sql()
 REF = tuple(e for e, _, _ in L.EMOJI_REFERENCE)
 EXPANDED = L.distinct(L.POSITIVE_EMOJIS + L.NEGATIVE_EMOJIS)
 EARLY = L.distinct(L.EARLY_POSITIVE_EMOJIS + L.EARLY_NEGATIVE_EMOJIS)
@@ -40,6 +41,10 @@ def features(spark, sf):
     return add_polarity_features(posts(spark, sf))
 
 
+def features_all(spark, sf):
+    return add_polarity_features(posts_all(spark, sf))
+
+
 # ---------------------------------------------------------------- §2.1 scans
 
 @query("scan_parquet", "SELECT doc_id, lang, source, n_chars, CAST(length(text) AS BIGINT) AS text_chars FROM documents")
@@ -74,9 +79,9 @@ def q_clean_posts(spark, sf):
 
 @query("text_length_cap", lambda: (
     f"SELECT id, length(text) <= {L.MAX_TEXT_LEN} AS accepted, "
-    f"CASE WHEN length(text) > {L.MAX_TEXT_LEN} THEN 'text_too_long' END AS reject_reason FROM {P}"))
+    f"CASE WHEN length(text) > {L.MAX_TEXT_LEN} THEN 'text_too_long' END AS reject_reason FROM {PA}"))
 def q_text_length_cap(spark, sf):
-    return C.text_length_cap(posts(spark, sf)).select("id", "accepted", "reject_reason")
+    return C.text_length_cap(posts_all(spark, sf)).select("id", "accepted", "reject_reason")
 
 
 @query("blank_filter", "SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, '\\S')")
@@ -96,9 +101,9 @@ def q_filter_bool(spark, sf):
     return f.where(~(F.col("word_pos_count") > 0) & ((F.col("emoji_neg_count") >= 10) | (F.col("label") == 0))).select("id")
 
 
-@query("reset_index", lambda: f"SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS row_index FROM {P}")
+@query("reset_index", lambda: f"SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS row_index FROM {PA}")
 def q_reset_index(spark, sf):
-    return C.reset_index(posts(spark, sf).select("id")).select("id", "row_index")
+    return C.reset_index(posts_all(spark, sf).select("id")).select("id", "row_index")
 
 
 # ---------------------------------------------------------------- §2.3 data quality
@@ -120,10 +125,11 @@ def q_validate_posts(spark, sf):
 
 @query("validate_emoji_reference", lambda: _checks_sql([
     ("emoji_column", "0", ""),
-    ("unique_emoji", "count(*) - count(DISTINCT emoji)", f"FROM (SELECT DISTINCT emoji FROM {occ_sql()})"),
+    ("unique_emoji", "count(*) - count(DISTINCT symbol)", f"FROM (SELECT symbol, min(id) AS first_id FROM {sym_sql(PA)} GROUP BY symbol)"),
 ]))
 def q_validate_emoji_reference(spark, sf):
-    inventory = K.emoji_occurrences(posts(spark, sf)).select("emoji").distinct()
+    """The reference made from the corpus, a row per symbol with where it is first seen."""
+    inventory = K.symbol_occurrences(posts_all(spark, sf)).groupBy(F.col("symbol").alias("emoji")).agg(F.min("id").alias("first_id"))
     return V.validate_emoji_reference(inventory)
 
 
@@ -178,14 +184,14 @@ def q_label_distribution(spark, sf):
 @query("describe_counts", lambda: (
     "SELECT count(x) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, min(x) AS min, "
     "round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50, "
-    f"round(quantile_cont(x, 0.75), 6) AS q75, max(x) AS max FROM (SELECT CAST(len({Q.known_emojis('text')}) AS DOUBLE) AS x FROM {P})"))
+    f"round(quantile_cont(x, 0.75), 6) AS q75, max(x) AS max FROM (SELECT CAST(len({Q.known_emojis('text')}) AS DOUBLE) AS x FROM {PA})"))
 def q_describe_counts(spark, sf):
-    return K.describe_column(posts(spark, sf).select(F.size(S.extract_known_emojis("text")).alias("emoji_count")), "emoji_count")
+    return K.describe_column(posts_all(spark, sf).select(F.size(S.extract_known_emojis("text")).alias("emoji_count")), "emoji_count")
 
 
-@query("emoji_presence_rate", lambda: f"SELECT round(avg(CAST(len({Q.known_emojis('text')}) > 0 AS INTEGER)), 6) AS rate FROM {P}")
+@query("emoji_presence_rate", lambda: f"SELECT round(avg(CAST(len({Q.known_emojis('text')}) > 0 AS INTEGER)), 6) AS rate FROM {PA}")
 def q_emoji_presence_rate(spark, sf):
-    return K.rate_by(posts(spark, sf), F.size(S.extract_known_emojis("text")) > 0)
+    return K.rate_by(posts_all(spark, sf), F.size(S.extract_known_emojis("text")) > 0)
 
 
 @query("presence_by_label", lambda: (
@@ -212,26 +218,26 @@ def _hist_sql(value_sql: str, src: str, bins: int) -> str:
         "SELECT a.bin, a.bin_lo, a.bin_hi, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM a LEFT JOIN c ON a.bin = c.bin")
 
 
-@query("emoji_histogram", lambda: _hist_sql(f"len({Q.known_emojis('text')})", P, 10))
+@query("emoji_histogram", lambda: _hist_sql(f"len({Q.known_emojis('text')})", PA, 10))
 def q_emoji_histogram(spark, sf):
-    return K.equal_width_histogram(posts(spark, sf).select(F.size(S.extract_known_emojis("text")).alias("emoji_count")),
+    return K.equal_width_histogram(posts_all(spark, sf).select(F.size(S.extract_known_emojis("text")).alias("emoji_count")),
                                    "emoji_count", 10)
 
 
 @query("sentiment_word_rates", lambda: (
     f"SELECT round(avg(CAST(len({Q.known_emojis('text')}) > 0 AS INTEGER)), 6) AS has_emoji, "
     f"round(avg(CAST(list_has_any({Q.ws_tokens('lower(text)')}, {Q.str_list(L.EDA_POSITIVE_WORDS)}) AS INTEGER)), 6) AS has_positive_words, "
-    f"round(avg(CAST(list_has_any({Q.ws_tokens('lower(text)')}, {Q.str_list(L.EDA_NEGATIVE_WORDS)}) AS INTEGER)), 6) AS has_negative_words FROM {P}"))
+    f"round(avg(CAST(list_has_any({Q.ws_tokens('lower(text)')}, {Q.str_list(L.EDA_NEGATIVE_WORDS)}) AS INTEGER)), 6) AS has_negative_words FROM {PA}"))
 def q_sentiment_word_rates(spark, sf):
-    p = posts(spark, sf)
+    p = posts_all(spark, sf)
     return p.agg(F.round(F.avg((F.size(S.extract_known_emojis("text")) > 0).cast("int")), 6).alias("has_emoji"),
                  F.round(F.avg(S.contains_sentiment_words("text", L.EDA_POSITIVE_WORDS).cast("int")), 6).alias("has_positive_words"),
                  F.round(F.avg(S.contains_sentiment_words("text", L.EDA_NEGATIVE_WORDS).cast("int")), 6).alias("has_negative_words"))
 
 
-@query("explode_emojis", lambda: f"SELECT id, emoji FROM {occ_sql()}")
+@query("explode_emojis", lambda: f"SELECT id, emoji FROM {occ_sql(PA)}")
 def q_explode_emojis(spark, sf):
-    return K.emoji_occurrences(posts(spark, sf))
+    return K.emoji_occurrences(posts_all(spark, sf))
 
 
 @query("emoji_frequency", lambda: f"SELECT emoji, count(*) AS n FROM {occ_sql(PA)} GROUP BY emoji")
@@ -240,10 +246,10 @@ def q_emoji_frequency(spark, sf):
 
 
 @query("emoji_coverage", lambda: (
-    f"SELECT (SELECT count(DISTINCT symbol) FROM {sym_sql()}) AS n_corpus, {len(REF)} AS n_reference, "
-    f"(SELECT count(*) FROM (SELECT DISTINCT symbol FROM {sym_sql()} INTERSECT SELECT emoji FROM {lex_sql(REF)})) AS n_both"))
+    f"SELECT (SELECT count(DISTINCT symbol) FROM {sym_sql(PA)}) AS n_corpus, {len(REF)} AS n_reference, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT symbol FROM {sym_sql(PA)} INTERSECT SELECT emoji FROM {lex_sql(REF)})) AS n_both"))
 def q_emoji_coverage(spark, sf):
-    syms = K.symbol_occurrences(posts(spark, sf)).select(F.col("symbol").alias("emoji")).distinct()
+    syms = K.symbol_occurrences(posts_all(spark, sf)).select(F.col("symbol").alias("emoji")).distinct()
     ref = F.broadcast(K.emoji_lexicon(spark, "reference").withColumn("_in", F.lit(1)))  # 16 rows
     # one aggregation: distinct corpus symbols and how many of them are reference emojis
     j = syms.join(ref, "emoji", "left")
@@ -252,11 +258,11 @@ def q_emoji_coverage(spark, sf):
 
 
 @query("coverage_rate", lambda: (
-    f"WITH f AS (SELECT emoji, count(*) AS n FROM {occ_sql(P)} GROUP BY emoji) "
+    f"WITH f AS (SELECT emoji, count(*) AS n FROM {occ_sql(PA)} GROUP BY emoji) "
     f"SELECT round(sum(CASE WHEN emoji IN (SELECT emoji FROM {lex_sql(EARLY)}) THEN n ELSE 0 END) / sum(n), 6) AS coverage_early, "
     f"round(sum(CASE WHEN emoji IN (SELECT emoji FROM {lex_sql(EXPANDED)}) THEN n ELSE 0 END) / sum(n), 6) AS coverage_expanded FROM f"))
 def q_coverage_rate(spark, sf):
-    freq = K.emoji_frequency(posts(spark, sf))
+    freq = K.emoji_frequency(posts_all(spark, sf))
     early = F.broadcast(K.emoji_lexicon(spark, "early").withColumn("_early", F.lit(1)))
     exp = F.broadcast(K.emoji_lexicon(spark, "expanded").withColumn("_exp", F.lit(1)))
     j = freq.join(early, "emoji", "left").join(exp, "emoji", "left")
@@ -267,28 +273,28 @@ def q_coverage_rate(spark, sf):
 @query("emoticon_prevalence", lambda: (
     f"SELECT round(avg(CAST({Q.any_substring('text', L.POSITIVE_EMOTICONS)} AS INTEGER)), 6) AS pos_rate, "
     f"round(avg(CAST({Q.any_substring('text', L.NEGATIVE_EMOTICONS)} AS INTEGER)), 6) AS neg_rate, "
-    f"round(avg(CAST({Q.any_substring('text', L.POSITIVE_EMOTICONS)} AS INTEGER)) + avg(CAST({Q.any_substring('text', L.NEGATIVE_EMOTICONS)} AS INTEGER)), 6) AS combined FROM {P}"))
+    f"round(avg(CAST({Q.any_substring('text', L.POSITIVE_EMOTICONS)} AS INTEGER)) + avg(CAST({Q.any_substring('text', L.NEGATIVE_EMOTICONS)} AS INTEGER)), 6) AS combined FROM {PA}"))
 def q_emoticon_prevalence(spark, sf):
     pos = F.avg(S.has_emoticon("text", L.POSITIVE_EMOTICONS).cast("int"))
     neg = F.avg(S.has_emoticon("text", L.NEGATIVE_EMOTICONS).cast("int"))
-    return posts(spark, sf).agg(F.round(pos, 6).alias("pos_rate"), F.round(neg, 6).alias("neg_rate"),
+    return posts_all(spark, sf).agg(F.round(pos, 6).alias("pos_rate"), F.round(neg, 6).alias("neg_rate"),
                                 F.round(pos + neg, 6).alias("combined"))
 
 
 @query("word_prevalence", lambda: (
     f"SELECT round(avg(CAST({Q.any_substring('text', L.POSITIVE_WORDS, lower=True)} AS INTEGER)), 6) AS pos_rate, "
-    f"round(avg(CAST({Q.any_substring('text', L.NEGATIVE_WORDS, lower=True)} AS INTEGER)), 6) AS neg_rate FROM {P}"))
+    f"round(avg(CAST({Q.any_substring('text', L.NEGATIVE_WORDS, lower=True)} AS INTEGER)), 6) AS neg_rate FROM {PA}"))
 def q_word_prevalence(spark, sf):
-    return posts(spark, sf).agg(
+    return posts_all(spark, sf).agg(
         F.round(F.avg(S.has_lexicon_word("text", L.POSITIVE_WORDS).cast("int")), 6).alias("pos_rate"),
         F.round(F.avg(S.has_lexicon_word("text", L.NEGATIVE_WORDS).cast("int")), 6).alias("neg_rate"))
 
 
 @query("feature_summary", lambda: " UNION ALL ".join(
-    f"SELECT {Q.lit(c)} AS feature, round(avg({c}), 6) AS mean, CAST(max({c}) AS BIGINT) AS max FROM {FT}"
+    f"SELECT {Q.lit(c)} AS feature, round(avg({c}), 6) AS mean, CAST(max({c}) AS BIGINT) AS max FROM {FA}"
     for c in L.NUMERIC_FEATURES))
 def q_feature_summary(spark, sf):
-    return K.feature_summary(features(spark, sf))
+    return K.feature_summary(features_all(spark, sf))
 
 
 @query("null_count", lambda: (
@@ -300,17 +306,17 @@ def q_null_count(spark, sf):
 
 # ---------------------------------------------------------------- §2.6 lexicon joins
 
-@query("lexicon_semi_join", lambda: f"SELECT id, symbol FROM {sym_sql()} WHERE symbol IN (SELECT emoji FROM {lex_sql(EXPANDED)})")
+@query("lexicon_semi_join", lambda: f"SELECT id, symbol FROM {sym_sql(PA)} WHERE symbol IN (SELECT emoji FROM {lex_sql(EXPANDED)})")
 def q_lexicon_semi_join(spark, sf):
     lex = F.broadcast(K.emoji_lexicon(spark).withColumnRenamed("emoji", "symbol"))
-    return K.symbol_occurrences(posts(spark, sf)).join(lex, "symbol", "left_semi").select("id", "symbol")
+    return K.symbol_occurrences(posts_all(spark, sf)).join(lex, "symbol", "left_semi").select("id", "symbol")
 
 
 @query("lexicon_anti_join", lambda: (
-    f"SELECT symbol, count(*) AS n FROM {sym_sql()} WHERE symbol NOT IN (SELECT emoji FROM {lex_sql(EXPANDED)}) GROUP BY symbol"))
+    f"SELECT symbol, count(*) AS n FROM {sym_sql(PA)} WHERE symbol NOT IN (SELECT emoji FROM {lex_sql(EXPANDED)}) GROUP BY symbol"))
 def q_lexicon_anti_join(spark, sf):
     lex = F.broadcast(K.emoji_lexicon(spark).withColumnRenamed("emoji", "symbol"))
-    return (K.symbol_occurrences(posts(spark, sf)).join(lex, "symbol", "left_anti")
+    return (K.symbol_occurrences(posts_all(spark, sf)).join(lex, "symbol", "left_anti")
             .groupBy("symbol").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -350,24 +356,24 @@ def _polarity_hits(spark, df, emojis):
 
 
 @query("lexicon_union", lambda: (
-    f"SELECT symbol FROM {sym_sql()} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.POSITIVE_EMOJIS)}) "
-    f"UNION SELECT symbol FROM {sym_sql()} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.NEGATIVE_EMOJIS)})"))
+    f"SELECT symbol FROM {sym_sql(PA)} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.POSITIVE_EMOJIS)}) "
+    f"UNION SELECT symbol FROM {sym_sql(PA)} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.NEGATIVE_EMOJIS)})"))
 def q_lexicon_union(spark, sf):
-    p = posts(spark, sf)
+    p = posts_all(spark, sf)
     return _polarity_hits(spark, p, L.POSITIVE_EMOJIS).union(_polarity_hits(spark, p, L.NEGATIVE_EMOJIS)).distinct()
 
 
 @query("lexicon_intersect", lambda: (
-    f"SELECT symbol FROM {sym_sql()} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.POSITIVE_EMOJIS)}) "
-    f"INTERSECT SELECT symbol FROM {sym_sql()} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.NEGATIVE_EMOJIS)})"))
+    f"SELECT symbol FROM {sym_sql(PA)} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.POSITIVE_EMOJIS)}) "
+    f"INTERSECT SELECT symbol FROM {sym_sql(PA)} WHERE symbol IN (SELECT emoji FROM {lex_sql(L.NEGATIVE_EMOJIS)})"))
 def q_lexicon_intersect(spark, sf):
-    p = posts(spark, sf)
+    p = posts_all(spark, sf)
     return _polarity_hits(spark, p, L.POSITIVE_EMOJIS).intersect(_polarity_hits(spark, p, L.NEGATIVE_EMOJIS))
 
 
 @query("lexicon_except", lambda: (
-    f"SELECT symbol FROM {sym_sql()} WHERE NOT regexp_matches(symbol, '[\\x00-\\x7F]') "
+    f"SELECT symbol FROM {sym_sql(PA)} WHERE NOT regexp_matches(symbol, '[\\x00-\\x7F]') "
     f"EXCEPT SELECT emoji FROM {lex_sql(EXPANDED)}"))
 def q_lexicon_except(spark, sf):
-    syms = K.symbol_occurrences(posts(spark, sf)).where(~F.col("symbol").rlike("[\\x00-\\x7F]")).select("symbol")
+    syms = K.symbol_occurrences(posts_all(spark, sf)).where(~F.col("symbol").rlike("[\\x00-\\x7F]")).select("symbol")
     return syms.subtract(K.emoji_lexicon(spark).withColumnRenamed("emoji", "symbol"))

@@ -1,5 +1,6 @@
-"""Refit experiments (§2.11) and behaviour certification (§2.12): MLlib fits on the corpus,
-rows-only checks (their logic is tested against brute force in tests/)."""
+"""Refit experiments (§2.11) and behaviour certification (§2.12) over models fitted on the corpus.
+
+The fits have no SQL; the experiments' own logic is tested on given rows and models in tests/."""
 
 from __future__ import annotations
 
@@ -8,13 +9,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions import scalars as S
 from ..operators import certify as CE
 from ..operators import evaluate as E
 from ..operators import experiments as X
 from ..operators import model as M
-from ..operators.train import TrainingRun
-from ..sources.tables import posts
+from ..sources.tables import posts, posts_all
 from .q_train import trained
 from .registry import query
 
@@ -22,10 +21,13 @@ _FITS: dict = {}
 
 
 def fits(spark, sf) -> X.BoostFits:
-    key = (id(spark), sf)
-    if key not in _FITS:
-        _FITS[key] = X.BoostFits(posts(spark, sf))
-    return _FITS[key]
+    """Fits of this session over the tables as they are now, like :func:`trained`."""
+    files = tuple(sorted(posts(spark, sf).inputFiles())), sf
+    held = _FITS.get(files)
+    if held is None or held.spark is not spark:
+        _FITS.clear()
+        held = _FITS[files] = X.BoostFits(posts(spark, sf))
+    return held
 
 
 def union_all(frames):
@@ -34,45 +36,24 @@ def union_all(frames):
 
 @query("exp_feature_sets")
 def q_exp_feature_sets(spark, sf):
-    run: TrainingRun = fits(spark, sf).base
-    known = S.extract_known_emojis("text")
-    early_pos = S.emoji_polarity_count("text", L.EARLY_POSITIVE_EMOJIS, 1)
-    early_neg = S.emoji_polarity_count("text", L.EARLY_NEGATIVE_EMOJIS, 1)
-    sets = [("text_only", {}),
-            ("text_presence", {"has_emoji": (F.size(known) > 0).cast("int")}),
-            ("text_count", {"emoji_count": F.size(known)}),
-            ("text_polarity", {"early_pos": early_pos, "early_neg": early_neg})]
-    return X.run_feature_experiments(run, sets)
+    return X.run_feature_experiments(fits(spark, sf).base, X.feature_sets())
 
 
 @query("exp_cumulative_lexicon")
 def q_exp_cumulative_lexicon(spark, sf):
-    run: TrainingRun = fits(spark, sf).base
-    emoji_pos = S.emoji_polarity_count("text", L.POSITIVE_EMOJIS)
-    emoji_neg = S.emoji_polarity_count("text", L.NEGATIVE_EMOJIS)
-    sets = [("expanded_emoji", {"ep": emoji_pos, "en": emoji_neg}),
-            ("plus_emoticons", {"ep": emoji_pos + S.emoticon_count("text", L.POSITIVE_EMOTICONS),
-                                "en": emoji_neg + S.emoticon_count("text", L.NEGATIVE_EMOTICONS)}),
-            ("plus_words", {c: F.col(c) for c in L.NUMERIC_FEATURES})]
-    return X.run_feature_experiments(run, sets)
+    return X.run_feature_experiments(fits(spark, sf).base, X.cumulative_sets())
 
 
-def _cases_at(spark, sf, boosts, cases, veto, extended=False):
-    bf = fits(spark, sf)
-    models = bf.fit_all([(b, extended) for b in boosts])
-    rows = X.case_rows(spark, cases, extended)
-    out = []
-    for b in boosts:
-        s = X.score_at(models[(b, extended)][1], rows, b, veto=veto)
-        out.append(s.select(F.lit(b).alias("boost"), "id", "category", "label", "prediction_int", "fired", "confidence"))
-    return union_all(out).withColumn("passed", F.col("prediction_int") == F.col("label"))
+def _cases_at(spark, sf, boosts, cases, veto, extended_cases=False):
+    """Cases scored by the base-word model of each boost; the cases' own words may be the extended lists."""
+    models = fits(spark, sf).fit_all([(b, False) for b in boosts])
+    rows = X.case_rows(spark, cases, extended_cases)
+    return union_all([X.cases_scored(models[(b, False)][1], rows, b, veto) for b in boosts])
 
 
 @query("exp_boost_floor")
 def q_exp_boost_floor(spark, sf):
-    r = _cases_at(spark, sf, X.BOOSTS_FLOOR, X.CONFLICT_CASES, "original")
-    return r.groupBy("boost").agg(F.sum(F.col("passed").cast("int")).cast("bigint").alias("passed"),
-                                  F.round(F.avg("confidence"), 4).alias("avg_confidence"))
+    return X.boost_floor(_cases_at(spark, sf, X.BOOSTS_FLOOR, X.CONFLICT_CASES, "original"))
 
 
 @query("exp_boost_ceiling")
@@ -90,7 +71,7 @@ def q_exp_veto_boundary(spark, sf):
 
 @query("exp_guard")
 def q_exp_guard(spark, sf):
-    r = _cases_at(spark, sf, (L.EMOJI_BOOST,), X.BOUNDARY_CASES, "production", extended=True)
+    r = _cases_at(spark, sf, (L.EMOJI_BOOST,), X.BOUNDARY_CASES, "production", extended_cases=True)
     return r.groupBy("category").agg(F.sum(F.col("fired").cast("int")).cast("bigint").alias("fires"),
                                      F.sum(F.col("passed").cast("int")).cast("bigint").alias("passed"),
                                      F.count(F.lit(1)).cast("bigint").alias("total"))
@@ -100,45 +81,20 @@ def q_exp_guard(spark, sf):
 def q_exp_veto_strategy(spark, sf):
     bf = fits(spark, sf)
     model = bf.fit_all([(L.EMOJI_BOOST, True)])[(L.EMOJI_BOOST, True)][1]
-    val = bf.ext.rows("val")
-    out = []
-    for name, veto, guard in (("base_ml", "none", 2), ("soft_veto", "production", 1), ("strict_veto", "production", 2)):
-        s = X.score_at(model, val, L.EMOJI_BOOST, guard=guard, veto=veto)
-        out.append(E.metrics(s).withColumn("strategy", F.lit(name)))
-    res = union_all(out)
-    from pyspark.sql import Window
-    base = F.max(F.when(F.col("strategy") == "base_ml", F.col("accuracy"))).over(Window.partitionBy())
-    return res.select("strategy", "accuracy", "f1", F.round(F.col("accuracy") - base, 6).alias("delta"))
-
-
-def _grid_scored(model, rows, boost, threshold):
-    from ..operators.model import score_relational
-    s = score_relational(X.rescale(rows, boost), model)
-    s = s.withColumn("guard", F.explode(F.array(*[F.lit(g) for g in X.GUARDS])))
-    fired = S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count", threshold, F.col("guard"))
-    return s.select(F.lit(boost).alias("boost"), F.lit(threshold).alias("threshold"), "guard", "label",
-                    *(["category"] if "category" in s.columns else []),
-                    F.when(fired, 0).otherwise(F.col("model_prediction")).alias("prediction_int"))
+    return X.veto_strategy(model, bf.scored_text("val"), X.case_rows(spark, X.INTEGRITY_CASE, extended=True))
 
 
 def _run_grid(spark, sf, boosts, proportional):
     """Every (boost, guard): validation accuracy / F1 and behaviour-case pass counts."""
     bf = fits(spark, sf)
     models = bf.fit_all([(b, True) for b in boosts])
-    val = bf.ext.rows("val")
     cases = X.case_rows(spark, CE.BEHAVIOURAL_CASES, extended=True)
     thr = {b: (b if proportional else L.EMOJI_BOOST) for b in boosts}
-    keys = ["boost", "threshold", "guard"]
-    v = union_all([_grid_scored(models[(b, True)][1], val, b, thr[b]) for b in boosts])
-    c = union_all([_grid_scored(models[(b, True)][1], cases, b, thr[b]) for b in boosts])
-    met = E.metrics(v, by=keys).drop("n")
-    ok = (F.col("prediction_int") == F.col("label")).cast("int")
-    beh = c.groupBy(*keys).agg(F.round(F.avg(ok), 6).alias("behavioral"),
-                               *[F.sum(F.when(F.col("category") == cat, ok).otherwise(0)).cast("bigint").alias(cat.replace("-", "_"))
-                                 for cat in ("sarcasm", "pos-overwhelm", "genuine-sad", "text-dominant")])
-    # both sides hold one row per configuration (tens of rows)
-    return met.join(beh, keys).select(F.lit("B" if proportional else "A").alias("grid"), *keys, "accuracy", "f1",
-                                      "behavioral", "sarcasm", "pos_overwhelm", "genuine_sad", "text_dominant")
+    # the validation texts' TF-IDF rows are read once for all boosts
+    val = X.grid_labels(bf.text_logits("val", {b: models[(b, True)][1] for b in boosts}), bf.ext.rows("val"),
+                        {b: models[(b, True)][1] for b in boosts}, thr)
+    c = union_all([X.grid_case_labels(models[(b, True)][1], cases, b, thr[b]) for b in boosts])
+    return X.grid_table("B" if proportional else "A", val, c)
 
 
 @query("exp_grid_fixed")
@@ -153,17 +109,7 @@ def q_exp_grid_proportional(spark, sf):
 
 @query("exp_decision")
 def q_exp_decision(spark, sf):
-    """Best of each grid (behaviour, sarcasm, overwhelm, accuracy); B is adopted only if it beats A
-    on behaviour or overwhelm without losing sarcasm."""
-    a = _run_grid(spark, sf, X.BOOSTS_GRID_A, False)
-    b = _run_grid(spark, sf, X.BOOSTS_GRID_B, True)
-    order = [F.col(c).desc() for c in ("behavioral", "sarcasm", "pos_overwhelm", "accuracy")] + ["boost", "guard"]
-    best = a.orderBy(*order).limit(1).unionByName(b.orderBy(*order).limit(1))
-    cols = ("accuracy", "f1", "behavioral", "sarcasm", "pos_overwhelm")
-    piv = best.groupBy().agg(*[F.max(F.when(F.col("grid") == g, F.col(c))).alias(f"{c}_{g}") for c in cols for g in "AB"])
-    adopt_b = (((F.col("behavioral_B") > F.col("behavioral_A")) | (F.col("pos_overwhelm_B") > F.col("pos_overwhelm_A")))
-               & (F.col("sarcasm_B") >= F.col("sarcasm_A")))
-    return piv.select(*[c for c in piv.columns], F.when(adopt_b, "B").otherwise("A").alias("adopted"))
+    return X.decision(_run_grid(spark, sf, X.BOOSTS_GRID_A, False), _run_grid(spark, sf, X.BOOSTS_GRID_B, True))
 
 
 # ---------------------------------------------------------------- §2.12 certification
@@ -182,7 +128,7 @@ def q_golden_behaviour(spark, sf):
 
 @query("verify_behaviour")
 def q_verify_behaviour(spark, sf):
-    cf, rec = _records(spark, sf, CE.BEHAVIOURAL_CASES + CE.KNOWN_LIMITATIONS, "text string, expected int, category string")
+    cf, rec = _records(spark, sf, CE.VERIFICATION_CASES + CE.KNOWN_LIMITATIONS, "text string, expected int, category string")
     return CE.verify_behaviour(rec, cf)
 
 
@@ -201,7 +147,7 @@ def q_audit_report(spark, sf):
 @query("health_report")
 def q_health_report(spark, sf):
     t = trained(spark, sf)
-    records = M.predict_sentiment(posts(spark, sf), t.model)
+    records = M.predict_sentiment(posts_all(spark, sf), t.model)
     cf, rec = _records(spark, sf, CE.GOLDEN_CASES, "text string, expected string, expected_driver string")
     g = CE.golden_behaviour(rec, cf)
     golden = g.select(F.concat(F.lit("test_golden_"), F.col("id").cast("string"), F.lit("_"), F.col("expected_driver")).alias("check"),

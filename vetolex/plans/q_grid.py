@@ -13,12 +13,12 @@ from ..operators import model as M
 from ..operators import quality as V
 from ..operators.certify import check_rows, health_summary
 from ..operators.features import add_polarity_features
-from ..sources.tables import posts, read_table
+from ..sources.tables import posts_all, read_table
 from . import sqlfrag as Q
 from .q_model import VAL, scored, scored_cte
 from .registry import query
 
-P = Q.posts_sql()
+PA = Q.posts_all_sql()
 GRID_A = X.grid_configs("A", X.BOOSTS_GRID_A)
 GRID_B = X.grid_configs("B", X.BOOSTS_GRID_B, proportional=True)
 CEILING = X.grid_configs("C", X.BOOSTS_CEILING, guards=(L.VETO_GUARD,))
@@ -64,10 +64,10 @@ RESULTS_SQL = lambda: grid_sql(GRID_A + GRID_B) + ", res AS (" + grid_metrics_sq
 
 @query("parametric_veto", lambda: (
     f"SELECT id, g.guard, {Q.veto_fires('emoji_neg_count', 'emoji_pos_count', 'word_pos_count', guard='g.guard')} AS fired "
-    f"FROM (SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in Q.polarity_ext('text').items()) + f" FROM {P}), "
+    f"FROM (SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in Q.polarity_ext('text').items()) + f" FROM {PA}), "
     "(SELECT unnest([1, 2, 3]) AS guard) g"))
 def q_parametric_veto(spark, sf):
-    f = add_polarity_features(posts(spark, sf), extended_words=True)
+    f = add_polarity_features(posts_all(spark, sf), extended_words=True)
     x = f.withColumn("guard", F.explode(F.array(*[F.lit(g) for g in X.GUARDS])))
     return x.select("id", "guard", S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count",
                                                          guard=F.col("guard")).alias("fired"))
@@ -90,9 +90,8 @@ def q_avg_confidence(spark, sf):
 
 @query("union_results", lambda: grid_sql(GRID_A + GRID_B) + " " + grid_metrics_sql(GRID_A + GRID_B))
 def q_union_results(spark, sf):
-    a = X.grid_metrics(grid_frame(spark, sf, GRID_A))
-    b = X.grid_metrics(grid_frame(spark, sf, GRID_B))
-    return a.unionByName(b)
+    """Both grids' results as one table; the rows are scored and aggregated in one pass."""
+    return results_frame(spark, sf)
 
 
 @query("sort_results", lambda: RESULTS_SQL() + "SELECT * FROM res ORDER BY accuracy DESC, f1 DESC, grid, boost, guard")
@@ -121,7 +120,7 @@ def _with_lang(spark, sf, df):
     ", lz AS (SELECT z.*, d.lang FROM z JOIN documents d ON z.id = d.doc_id) "
     "SELECT lang, CAST(sum(CAST(label = prediction_int AS INTEGER)) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total FROM lz GROUP BY lang"))
 def q_pass_by_category(spark, sf):
-    o = E.with_outcome(_with_lang(spark, sf, scored(spark, sf, True)))
+    o = E.with_outcome(_with_lang(spark, sf, scored(spark, sf, True)), p="prediction_int")
     return X.pass_by_category(o, "lang")
 
 
@@ -139,9 +138,9 @@ def q_pass_rate_pivot(spark, sf):
     f"CASE WHEN {Q.veto_fires('e_neg', 'e_pos', 'w_pos')} THEN {Q.veto_confidence('e_neg', 'e_pos')} END AS confidence, "
     f"CASE WHEN e_neg + e_pos > 0 THEN round({Q.signal_gap('e_neg', 'e_pos')}, 4) ELSE 0.0 END AS signal_gap FROM "
     f"(SELECT id, {Q.polarity_ext('text')['emoji_pos_count']} AS e_pos, {Q.polarity_ext('text')['emoji_neg_count']} AS e_neg, "
-    f"{Q.polarity_ext('text')['word_pos_count']} AS w_pos FROM {P})"))
+    f"{Q.polarity_ext('text')['word_pos_count']} AS w_pos FROM {PA})"))
 def q_exp_scaled_confidence(spark, sf):
-    f = add_polarity_features(posts(spark, sf), extended_words=True)
+    f = add_polarity_features(posts_all(spark, sf), extended_words=True)
     fired = S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count")
     return f.select("id", fired.alias("fired"),
                     F.when(fired, S.veto_confidence("emoji_neg_count", "emoji_pos_count")).alias("confidence"),
@@ -157,14 +156,14 @@ def q_format_timestamp(spark, sf):
 @query("label_encode", lambda: scored_cte() + (
     "SELECT id, CASE WHEN (CASE WHEN prediction_int = 1 THEN 'Positive' ELSE 'Negative' END) = 'Positive' THEN 1 ELSE 0 END AS label_int FROM z"))
 def q_label_encode(spark, sf):
-    out = M.predict_sentiment(posts(spark, sf), M.fixed_model(spark))
+    out = M.predict_sentiment(posts_all(spark, sf), M.fixed_model(spark))
     return out.select("id", S.label_encode("prediction").alias("label_int"))
 
 
 # ---------------------------------------------------------------- check rows over scored records
 
 def _scored_records(spark, sf):
-    return M.predict_sentiment(posts(spark, sf), M.fixed_model(spark))
+    return M.predict_sentiment(posts_all(spark, sf), M.fixed_model(spark))
 
 
 def _response_sql() -> str:
@@ -182,6 +181,7 @@ def _check(name, expr, passed=None):
 
 RESPONSE_CHECKS = [
     ("response_keys", "0"),
+    ("response_types", "0"),
     ("label_values", "count_if(prediction NOT IN ('Positive', 'Negative'))"),
     ("label_int_values", "count_if(prediction_int NOT IN (0, 1))"),
     ("confidence_range", "count_if(confidence < 0.5 OR confidence > 1.0 OR confidence IS NULL)"),

@@ -22,7 +22,7 @@ VAL = f"(SELECT id, label, text FROM {split_sql(P)} WHERE split = 'val')"
 
 # ---------------------------------------------------------------- SQL side of the fixed model
 
-def scored_cte(source: str = P, extended_words: bool = False) -> str:
+def scored_cte(source: str = PA, extended_words: bool = False) -> str:
     """CTEs ``f`` features, ``c`` in-vocabulary term counts, ``z`` resolved rows, ``dr`` ranked drivers."""
     rows = M.fixed_weight_rows()
     w = Q.values_table(rows, ["term", "idx", "idf", "coef"])
@@ -35,7 +35,7 @@ def scored_cte(source: str = P, extended_words: bool = False) -> str:
     pol = Q.polarity_ext("text") if extended_words else Q.polarity("text")
     feats = ", ".join(f"{e} AS {n}" for n, e in pol.items())
     return f"""WITH w AS {w},
-f AS (SELECT id, label, text, {feats} FROM {source}),
+f AS (SELECT id, {"" if source == PA else "label, "}text, {feats} FROM {source}),
 tk AS (SELECT id, {Q.tokens('text')} AS tok FROM f),
 g AS (SELECT id, unnest({Q.ngrams('tok')}) AS term FROM tk),
 c AS (SELECT g.id, g.term, w.idx, w.idf, w.coef, count(*) AS tf FROM g JOIN w ON g.term = w.term
@@ -46,18 +46,21 @@ s AS (SELECT f.*, coalesce(a.text_logit, 0.0) AS text_logit,
 r AS (SELECT s.*, {Q.sigmoid('logit')} AS p1, CASE WHEN logit > 0 THEN 1 ELSE 0 END AS model_prediction,
       {veto} AS veto_applied FROM s),
 z AS (SELECT r.*, CASE WHEN veto_applied THEN 0 ELSE model_prediction END AS prediction_int,
-      CASE WHEN veto_applied THEN {Q.veto_confidence('emoji_neg_count', 'emoji_pos_count')} ELSE greatest(p1, 1 - p1) END AS confidence_raw FROM r),
+      CASE WHEN veto_applied THEN {Q.veto_confidence('emoji_neg_count', 'emoji_pos_count')} ELSE greatest(p1, 1 - p1) END AS confidence_raw,
+      greatest(p1, 1 - p1) AS model_confidence FROM r),
 d AS (SELECT id, idx, term AS token, round(coef, 4) AS weight FROM c UNION ALL {num_drivers}),
 dr AS (SELECT d.*, row_number() OVER (PARTITION BY d.id ORDER BY CASE WHEN z.veto_applied AND d.token = 'emoji_neg_count' THEN 0 ELSE 1 END,
        abs(d.weight) DESC, d.idx) AS rnk FROM d JOIN z ON d.id = z.id)
 """
 
 
-def scored(spark, sf, val_only=False, extended_words=False):
-    p = posts(spark, sf)
+def scored(spark, sf, val_only=False, extended_words=False, labelled=False, drivers=M.KEEP_DRIVERS):
+    """Every post scored; with ``labelled`` the labelled ones, with ``val_only`` their validation split."""
     if val_only:
-        p = stratified_split(p).where(F.col("split") == "val").drop("split")
-    return M.scored_frame(p, M.fixed_model(spark), extended_words=extended_words)
+        p = stratified_split(posts(spark, sf)).where(F.col("split") == "val").drop("split")
+    else:
+        p = (posts if labelled else posts_all)(spark, sf)
+    return M.scored_frame(p, M.fixed_model(spark), extended_words=extended_words, drivers=drivers)
 
 
 # ---------------------------------------------------------------- TF-IDF (fit on the whole corpus)
@@ -86,7 +89,7 @@ def q_document_frequency(spark, sf):
 @query("idf_fit", lambda: TF_SQL + "SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM v")
 def q_idf_fit(spark, sf):
     docs = posts_all(spark, sf)
-    tf, vocab, _ = T.fit_tfidf(docs)
+    _, vocab, _ = T.fit_tfidf(docs, keep=False)
     return vocab.select("term", F.col("df").cast("bigint"), F.round("idf", 6).alias("idf"))
 
 
@@ -110,7 +113,7 @@ def q_tfidf_transform(spark, sf):
 @query("vocab_lookup_join", lambda: scored_cte() + "SELECT id, term, idx, CAST(tf AS BIGINT) AS tf FROM c")
 def q_vocab_lookup_join(spark, sf):
     model = M.fixed_model(spark)
-    c = M.text_contributions(posts(spark, sf), model)
+    c = M.text_contributions(posts_all(spark, sf), model)
     return c.select("id", "term", "idx", F.col("tf").cast("bigint"))
 
 
@@ -130,7 +133,7 @@ def q_sigmoid(spark, sf):
 
 @query("confidence", lambda: scored_cte() + "SELECT id, round(greatest(p1, 1 - p1), 6) AS model_confidence FROM z")
 def q_confidence(spark, sf):
-    return scored(spark, sf).select("id", F.round(S.confidence("p1"), 6).alias("model_confidence"))
+    return scored(spark, sf).select("id", F.round("model_confidence", 6).alias("model_confidence"))
 
 
 @query("entropy_flag", lambda: scored_cte() + (
@@ -151,7 +154,7 @@ def q_resolve_prediction(spark, sf):
 
 @query("active_features", lambda: scored_cte() + "SELECT id, idx, token FROM d")
 def q_active_features(spark, sf):
-    s = scored(spark, sf)
+    s = scored(spark, sf, drivers=None)
     return s.select("id", F.explode(M.active_drivers(M.fixed_model(spark))).alias("d")).select("id", "d.idx", "d.token")
 
 
@@ -174,7 +177,7 @@ def _driver_rows(spark, sf):
     "round(confidence_raw, 4) AS confidence, CASE WHEN confidence_raw < 0.7 THEN 'High Ambiguity' ELSE 'Clear Signal' END AS entropy_flag, "
     "veto_applied, coalesce(dd.drivers, '') AS drivers FROM z LEFT JOIN dd ON z.id = dd.id"))
 def q_predict_sentiment(spark, sf):
-    out = M.predict_sentiment(posts(spark, sf), M.fixed_model(spark))
+    out = M.predict_sentiment(posts_all(spark, sf), M.fixed_model(spark))
     return out.select("id", "prediction", "prediction_int", "confidence", "entropy_flag", "veto_applied",
                       F.concat_ws("|", F.transform("top_drivers", lambda d: d["token"])).alias("drivers"))
 
@@ -194,42 +197,40 @@ def q_driver_label(spark, sf):
     return _driver_rows(spark, sf).select("id", "driver_rank", S.driver_label("token").alias("display"))
 
 
-@query("align_by_id", lambda: scored_cte() + (
+@query("align_by_id", lambda: scored_cte(P) + (
     "SELECT z.id, z.label, z.emoji_pos_count, z.emoji_neg_count, z.word_pos_count, z.word_neg_count, z.prediction_int FROM z"))
 def q_align_by_id(spark, sf):
-    """Numeric block, labels and predictions of the same row brought together by ``id``."""
-    feats = M.scored_frame(posts(spark, sf), M.fixed_model(spark)).select("id", "prediction_int")
-    from ..operators.features import add_polarity_features
-    block = add_polarity_features(posts(spark, sf)).drop("text")
-    return block.join(feats, "id").select("id", "label", *L.NUMERIC_FEATURES, "prediction_int")
+    """Numeric block, labels and predictions of the same row brought together by ``id``, from one feature pass."""
+    out = scored(spark, sf, labelled=True)
+    return out.select("id", "label", *L.NUMERIC_FEATURES, "prediction_int")
 
 
 # ---------------------------------------------------------------- evaluation on the validation split
 
 @query("mismatch_flag", lambda: scored_cte(VAL) + (
-    "SELECT id, label = prediction_int AS correct, label = 1 AND prediction_int = 0 AS false_negative, "
-    "label = 0 AND prediction_int = 1 AS false_positive FROM z"))
+    "SELECT id, label = model_prediction AS correct, label = 1 AND model_prediction = 0 AS false_negative, "
+    "label = 0 AND model_prediction = 1 AS false_positive FROM z"))
 def q_mismatch_flag(spark, sf):
     return E.with_outcome(scored(spark, sf, True)).select("id", "correct", "false_negative", "false_positive")
 
 
-@query("bin_confidence", lambda: scored_cte(VAL) + f"SELECT id, {Q.bin_confidence('confidence_raw')} AS conf_bin FROM z")
+@query("bin_confidence", lambda: scored_cte(VAL) + f"SELECT id, {Q.bin_confidence('model_confidence')} AS conf_bin FROM z")
 def q_bin_confidence(spark, sf):
-    return scored(spark, sf, True).select("id", S.bin_confidence("confidence_raw").alias("conf_bin"))
+    return scored(spark, sf, True).select("id", S.bin_confidence("model_confidence").alias("conf_bin"))
 
 
-def _f1_sql(tp, fp, fn):
+def f1_sql(tp, fp, fn):
     return f"CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0.0 ELSE 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) END"
 
 
-@query("accuracy", lambda: scored_cte(VAL) + "SELECT round(avg(CAST(label = prediction_int AS INTEGER)), 6) AS accuracy FROM z")
+@query("accuracy", lambda: scored_cte(VAL) + "SELECT round(avg(CAST(label = model_prediction AS INTEGER)), 6) AS accuracy FROM z")
 def q_accuracy(spark, sf):
     return E.metrics(scored(spark, sf, True)).select("accuracy")
 
 
 @query("f1_binary", lambda: scored_cte(VAL) + (
-    "SELECT round(" + _f1_sql("count_if(label = 1 AND prediction_int = 1)", "count_if(label = 0 AND prediction_int = 1)",
-                               "count_if(label = 1 AND prediction_int = 0)") + ", 6) AS f1 FROM z"))
+    "SELECT round(" + f1_sql("count_if(label = 1 AND model_prediction = 1)", "count_if(label = 0 AND model_prediction = 1)",
+                               "count_if(label = 1 AND model_prediction = 0)") + ", 6) AS f1 FROM z"))
 def q_f1_binary(spark, sf):
     return E.metrics(scored(spark, sf, True)).select("f1")
 
@@ -238,8 +239,8 @@ def _report_sql() -> str:
     def ratio(a, b):
         return f"CASE WHEN {b} = 0 THEN 0.0 ELSE {a} / {b} END"
     parts = ["m AS (SELECT " + ", ".join(
-        [f"count_if(label = {c} AND prediction_int = {c}) AS tp{c}" for c in (0, 1)]
-        + [f"count_if(prediction_int = {c}) AS pred{c}" for c in (0, 1)]
+        [f"count_if(label = {c} AND model_prediction = {c}) AS tp{c}" for c in (0, 1)]
+        + [f"count_if(model_prediction = {c}) AS pred{c}" for c in (0, 1)]
         + [f"count_if(label = {c}) AS sup{c}" for c in (0, 1)] + ["count(*) AS n"]) + " FROM z)"]
     pr = {c: ratio(f"CAST(tp{c} AS DOUBLE)", f"pred{c}") for c in (0, 1)}
     rc = {c: ratio(f"CAST(tp{c} AS DOUBLE)", f"sup{c}") for c in (0, 1)}
@@ -262,52 +263,59 @@ def q_classification_report(spark, sf):
 
 
 @query("confusion_matrix", lambda: scored_cte(VAL) + (
-    "SELECT 0 AS true_label, CAST(count_if(label = 0 AND prediction_int = 0) AS BIGINT) AS pred_0, "
-    "CAST(count_if(label = 0 AND prediction_int = 1) AS BIGINT) AS pred_1 FROM z UNION ALL "
-    "SELECT 1, CAST(count_if(label = 1 AND prediction_int = 0) AS BIGINT), CAST(count_if(label = 1 AND prediction_int = 1) AS BIGINT) FROM z"))
+    "SELECT 0 AS true_label, CAST(count_if(label = 0 AND model_prediction = 0) AS BIGINT) AS pred_0, "
+    "CAST(count_if(label = 0 AND model_prediction = 1) AS BIGINT) AS pred_1 FROM z UNION ALL "
+    "SELECT 1, CAST(count_if(label = 1 AND model_prediction = 0) AS BIGINT), CAST(count_if(label = 1 AND model_prediction = 1) AS BIGINT) FROM z"))
 def q_confusion_matrix(spark, sf):
     return E.confusion_matrix(scored(spark, sf, True))
 
 
 @query("error_counts", lambda: scored_cte(VAL) + (
-    "SELECT CAST(count_if(label <> prediction_int) AS BIGINT) AS wrong, CAST(count_if(label = 1 AND prediction_int = 0) AS BIGINT) AS false_negatives, "
-    "CAST(count_if(label = 0 AND prediction_int = 1) AS BIGINT) AS false_positives, "
-    f"CAST(count_if(label <> prediction_int AND {Q.has_code_point_of('text', L.ERROR_ANALYSIS_EMOJIS)}) AS BIGINT) AS wrong_with_emoji FROM z"))
+    "SELECT CAST(count_if(label <> model_prediction) AS BIGINT) AS wrong, CAST(count_if(label = 1 AND model_prediction = 0) AS BIGINT) AS false_negatives, "
+    "CAST(count_if(label = 0 AND model_prediction = 1) AS BIGINT) AS false_positives, "
+    f"CAST(count_if(label <> model_prediction AND {Q.has_code_point_of('text', L.ERROR_ANALYSIS_EMOJIS)}) AS BIGINT) AS wrong_with_emoji FROM z"))
 def q_error_counts(spark, sf):
     return E.error_counts(scored(spark, sf, True))
 
 
 @query("calibration_bins", lambda: scored_cte(VAL) + (
-    f"SELECT conf_bin, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(label = prediction_int AS INTEGER)), 6) AS accuracy "
-    f"FROM (SELECT *, {Q.bin_confidence('confidence_raw')} AS conf_bin FROM z) WHERE conf_bin IS NOT NULL GROUP BY conf_bin"))
+    f"SELECT conf_bin, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(label = model_prediction AS INTEGER)), 6) AS accuracy "
+    f"FROM (SELECT *, {Q.bin_confidence('model_confidence')} AS conf_bin FROM z) WHERE conf_bin IS NOT NULL GROUP BY conf_bin"))
 def q_calibration_bins(spark, sf):
     return E.calibration_bins(scored(spark, sf, True))
 
 
 @query("archetype_summary", lambda: scored_cte(VAL) + (
-    f"SELECT {Q.archetype('text', 'label')} AS archetype, CAST(count(*) AS BIGINT) AS n, round(avg(confidence_raw), 6) AS avg_confidence "
-    "FROM z WHERE label <> prediction_int GROUP BY 1"))
+    f"SELECT {Q.archetype('text', 'label')} AS archetype, CAST(count(*) AS BIGINT) AS n, round(avg(model_confidence), 6) AS avg_confidence "
+    "FROM z WHERE label <> model_prediction GROUP BY 1"))
 def q_archetype_summary(spark, sf):
     return E.archetype_summary(scored(spark, sf, True))
 
 
 @query("danger_cases", lambda: scored_cte(VAL) + (
-    "SELECT id, label, prediction_int, round(confidence_raw, 6) AS confidence, substr(text, 1, 55) AS preview "
-    "FROM z WHERE label <> prediction_int AND confidence_raw >= 0.85 ORDER BY confidence_raw DESC, id"))
+    "SELECT id, label, model_prediction, round(model_confidence, 6) AS confidence, substr(text, 1, 55) AS preview "
+    "FROM z WHERE label <> model_prediction AND model_confidence >= 0.85 ORDER BY model_confidence DESC, id"))
 def q_danger_cases(spark, sf):
     d = E.danger_cases(scored(spark, sf, True))
-    return d.select("id", "label", "prediction_int", F.round("confidence_raw", 6).alias("confidence"),
+    return d.select("id", "label", "model_prediction", F.round("model_confidence", 6).alias("confidence"),
                     S.truncate_text("text", 55).alias("preview"))
 
 
 @query("sample_errors", lambda: scored_cte(VAL) + (
     f"SELECT id, archetype, CAST(rk AS INTEGER) AS rank FROM (SELECT id, {Q.archetype('text', 'label')} AS archetype, "
-    f"row_number() OVER (PARTITION BY {Q.archetype('text', 'label')} ORDER BY id) AS rk FROM z WHERE label <> prediction_int) WHERE rk <= 3"))
+    f"row_number() OVER (PARTITION BY {Q.archetype('text', 'label')} ORDER BY id) AS rk FROM z WHERE label <> model_prediction) WHERE rk <= 3"))
 def q_sample_errors(spark, sf):
     s = E.sample_errors_per_archetype(scored(spark, sf, True))
     return s.select("id", "archetype", F.col("rank").cast("int"))
 
 
+@query("sample_wrong_rows", lambda: scored_cte(VAL) + "SELECT id, label, model_prediction FROM z WHERE label <> model_prediction ORDER BY id LIMIT 10")
+def q_sample_wrong_rows(spark, sf):
+    """The first ten wrong rows by key (a top-k)."""
+    o = E.with_outcome(scored(spark, sf, True)).where(~F.col("correct"))
+    return o.select("id", "label", "model_prediction").orderBy("id").limit(10)
+
+
 @query("confidence_range_by_path", lambda: scored_cte() + (
     "SELECT veto_applied, min(round(confidence_raw, 4)) AS min_confidence, max(round(confidence_raw, 4)) AS max_confidence, "
     "CAST(count(*) AS BIGINT) AS n FROM z GROUP BY veto_applied"))
@@ -318,7 +326,7 @@ def q_confidence_range_by_path(spark, sf):
 def _hist_by_sql() -> str:
     bins = 20
     return scored_cte(VAL) + (
-        ", v AS (SELECT label = prediction_int AS correct, confidence_raw AS x FROM z), "
+        ", v AS (SELECT label = model_prediction AS correct, model_confidence AS x FROM z), "
         "s0 AS (SELECT correct, min(x) AS lo0, max(x) AS hi0 FROM v GROUP BY correct), "
         "st AS (SELECT correct, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM s0), "
         f"b AS (SELECT v.correct, LEAST(GREATEST(CAST(floor((x - lo) / (hi - lo) * {bins}) AS INTEGER), 0), {bins - 1}) + 1 AS bin FROM v JOIN st ON v.correct = st.correct), "
@@ -333,14 +341,14 @@ def _hist_by_sql() -> str:
 def q_confidence_histogram(spark, sf):
     from ..operators.corpus import equal_width_histogram
     o = E.with_outcome(scored(spark, sf, True))
-    return equal_width_histogram(o, "confidence_raw", 20, by="correct")
+    return equal_width_histogram(o, "model_confidence", 20, by="correct")
 
 
-@query("veto_misfire_rate", lambda: scored_cte() + (
+@query("veto_misfire_rate", lambda: scored_cte(P) + (
     "SELECT CAST(count_if(veto_applied) AS BIGINT) AS fires, CAST(count_if(veto_applied AND label = 0) AS BIGINT) AS correct_fires, "
     "CASE WHEN count_if(veto_applied) = 0 THEN NULL ELSE round((count_if(veto_applied) - count_if(veto_applied AND label = 0)) / count_if(veto_applied), 6) END AS misfire_rate FROM z"))
 def q_veto_misfire_rate(spark, sf):
-    return E.veto_misfire_rate(scored(spark, sf))
+    return E.veto_misfire_rate(scored(spark, sf, labelled=True))
 
 
 @query("feature_ablation", lambda: scored_cte(VAL) + ", ab AS (" + " UNION ALL ".join(
@@ -362,3 +370,14 @@ def q_feature_ablation(spark, sf):
     + ") > 0 THEN 1 ELSE 0 END) = model_prediction"))
 def q_decisive_cases(spark, sf):
     return E.decisive_cases(scored(spark, sf, True), M.fixed_model(spark)).select("id")
+
+
+@query("sample_decisive_rows", lambda: scored_cte(VAL) + (
+    f"SELECT id, label, model_prediction FROM z WHERE (CASE WHEN text_logit + CAST({M.FIXED_INTERCEPT!r} AS DOUBLE) > 0 THEN 1 ELSE 0 END) <> model_prediction "
+    f"AND (CASE WHEN text_logit + CAST({M.FIXED_INTERCEPT!r} AS DOUBLE) + ("
+    + " + ".join(f"CAST({c} AS DOUBLE) * CAST({coef!r} AS DOUBLE)" for c, coef in M.FIXED_NUMERIC_COEF[:2])
+    + ") > 0 THEN 1 ELSE 0 END) = model_prediction ORDER BY id LIMIT 8"))
+def q_sample_decisive_rows(spark, sf):
+    """The first eight rows, by key, that the emoji signal alone decides (a top-k)."""
+    d = E.decisive_cases(scored(spark, sf, True), M.fixed_model(spark))
+    return d.select("id", "label", "model_prediction").orderBy("id").limit(8)

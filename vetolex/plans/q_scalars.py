@@ -13,13 +13,17 @@ from .registry import query
 
 P = Q.posts_sql()
 PA = Q.posts_all_sql()
-FT = Q.features_sql()
+FA = Q.features_all_sql()
 
 
 def features(spark, sf):
     return add_polarity_features(posts(spark, sf))
 
 
+def features_all(spark, sf):
+    return add_polarity_features(posts_all(spark, sf))
+
+
 @query("polarity_features", lambda: f"SELECT id, label, {Q.polarity_select('text')} FROM {P}")
 def q_polarity_features(spark, sf):
     return features(spark, sf).drop("text")
@@ -27,17 +31,17 @@ def q_polarity_features(spark, sf):
 
 @query("emoji_polarity_count", lambda: (
     f"SELECT id, CAST({Q.emoji_count('text', L.POSITIVE_EMOJIS)} AS INTEGER) AS emoji_pos, "
-    f"CAST({Q.emoji_count('text', L.NEGATIVE_EMOJIS)} AS INTEGER) AS emoji_neg FROM {P}"))
+    f"CAST({Q.emoji_count('text', L.NEGATIVE_EMOJIS)} AS INTEGER) AS emoji_neg FROM {PA}"))
 def q_emoji_polarity_count(spark, sf):
-    return posts(spark, sf).select("id", S.emoji_polarity_count("text", L.POSITIVE_EMOJIS).alias("emoji_pos"),
+    return posts_all(spark, sf).select("id", S.emoji_polarity_count("text", L.POSITIVE_EMOJIS).alias("emoji_pos"),
                                    S.emoji_polarity_count("text", L.NEGATIVE_EMOJIS).alias("emoji_neg"))
 
 
 @query("emoticon_count", lambda: (
     f"SELECT id, CAST({Q.emoticon_count('text', L.POSITIVE_EMOTICONS)} AS INTEGER) AS emoticon_pos, "
-    f"CAST({Q.emoticon_count('text', L.NEGATIVE_EMOTICONS)} AS INTEGER) AS emoticon_neg FROM {P}"))
+    f"CAST({Q.emoticon_count('text', L.NEGATIVE_EMOTICONS)} AS INTEGER) AS emoticon_neg FROM {PA}"))
 def q_emoticon_count(spark, sf):
-    return posts(spark, sf).select("id", S.emoticon_count("text", L.POSITIVE_EMOTICONS).alias("emoticon_pos"),
+    return posts_all(spark, sf).select("id", S.emoticon_count("text", L.POSITIVE_EMOTICONS).alias("emoticon_pos"),
                                    S.emoticon_count("text", L.NEGATIVE_EMOTICONS).alias("emoticon_neg"))
 
 
@@ -50,9 +54,9 @@ def q_word_presence_count(spark, sf):
 
 
 @query("polarity_features_ext", lambda: (
-    "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in Q.polarity_ext("text").items()) + f" FROM {P}"))
+    "SELECT id, " + ", ".join(f"{e} AS {n}" for n, e in Q.polarity_ext("text").items()) + f" FROM {PA}"))
 def q_polarity_features_ext(spark, sf):
-    return add_polarity_features(posts(spark, sf), extended_words=True).drop("text", "label")
+    return add_polarity_features(posts_all(spark, sf), extended_words=True).drop("text")
 
 
 @query("build_feature_table", lambda: f"SELECT id, label, text, {Q.polarity_select('text')} FROM {P}")
@@ -60,22 +64,22 @@ def q_build_feature_table(spark, sf):
     return features(spark, sf)
 
 
-@query("extract_known_emojis", lambda: f"SELECT id, {Q.known_emojis('text')} AS known_emojis FROM {P}")
+@query("extract_known_emojis", lambda: f"SELECT id, {Q.known_emojis('text')} AS known_emojis FROM {PA}")
 def q_extract_known_emojis(spark, sf):
-    return posts(spark, sf).select("id", S.extract_known_emojis("text").alias("known_emojis"))
+    return posts_all(spark, sf).select("id", S.extract_known_emojis("text").alias("known_emojis"))
 
 
 @query("emoji_count", lambda: (
     f"SELECT id, CAST(len({Q.known_emojis('text')}) AS BIGINT) AS emoji_count, "
-    f"len({Q.known_emojis('text')}) > 0 AS has_emoji FROM {P}"))
+    f"len({Q.known_emojis('text')}) > 0 AS has_emoji FROM {PA}"))
 def q_emoji_count(spark, sf):
     e = S.extract_known_emojis("text")
-    return posts(spark, sf).select("id", F.size(e).cast("bigint").alias("emoji_count"), (F.size(e) > 0).alias("has_emoji"))
+    return posts_all(spark, sf).select("id", F.size(e).cast("bigint").alias("emoji_count"), (F.size(e) > 0).alias("has_emoji"))
 
 
-@query("extract_symbols", lambda: f"SELECT id, {Q.symbols('text')} AS symbols FROM {P}")
+@query("extract_symbols", lambda: f"SELECT id, {Q.symbols('text')} AS symbols FROM {PA}")
 def q_extract_symbols(spark, sf):
-    return posts(spark, sf).select("id", S.extract_symbols("text").alias("symbols"))
+    return posts_all(spark, sf).select("id", S.extract_symbols("text").alias("symbols"))
 
 
 @query("contains_sentiment_words", lambda: (
@@ -89,9 +93,9 @@ def q_contains_sentiment_words(spark, sf):
 
 @query("has_emoticon", lambda: (
     f"SELECT id, {Q.any_substring('text', L.POSITIVE_EMOTICONS)} AS has_pos_emoticon, "
-    f"{Q.any_substring('text', L.NEGATIVE_EMOTICONS)} AS has_neg_emoticon FROM {P}"))
+    f"{Q.any_substring('text', L.NEGATIVE_EMOTICONS)} AS has_neg_emoticon FROM {PA}"))
 def q_has_emoticon(spark, sf):
-    return posts(spark, sf).select("id", S.has_emoticon("text", L.POSITIVE_EMOTICONS).alias("has_pos_emoticon"),
+    return posts_all(spark, sf).select("id", S.has_emoticon("text", L.POSITIVE_EMOTICONS).alias("has_pos_emoticon"),
                                    S.has_emoticon("text", L.NEGATIVE_EMOTICONS).alias("has_neg_emoticon"))
 
 
@@ -120,31 +124,31 @@ def q_word_ngrams(spark, sf):
             .select("id", F.size("g").cast("bigint").alias("n_grams"), F.md5(F.concat_ws("|", "g")).alias("grams_md5")))
 
 
-@query("truncate_text", lambda: f"SELECT id, substr(text, 1, 55) AS preview FROM {P}")
+@query("truncate_text", lambda: f"SELECT id, substr(text, 1, 55) AS preview FROM {PA}")
 def q_truncate_text(spark, sf):
-    return posts(spark, sf).select("id", S.truncate_text("text", 55).alias("preview"))
+    return posts_all(spark, sf).select("id", S.truncate_text("text", 55).alias("preview"))
 
 
-@query("lower_text", lambda: f"SELECT id, md5(lower(text)) AS lower_md5 FROM {P}")
+@query("lower_text", lambda: f"SELECT id, md5(lower(text)) AS lower_md5 FROM {PA}")
 def q_lower_text(spark, sf):
-    return posts(spark, sf).select("id", F.md5(F.lower("text")).alias("lower_md5"))
+    return posts_all(spark, sf).select("id", F.md5(F.lower("text")).alias("lower_md5"))
 
 
 # ---------------------------------------------------------------- §2.5 decisions over features
 
 @query("signal_gap", lambda: (
-    f"SELECT id, round({Q.signal_gap('emoji_neg_count', 'emoji_pos_count')}, 6) AS signal_gap FROM {FT}"))
+    f"SELECT id, round({Q.signal_gap('emoji_neg_count', 'emoji_pos_count')}, 6) AS signal_gap FROM {FA}"))
 def q_signal_gap(spark, sf):
-    return features(spark, sf).select("id", F.round(S.signal_gap("emoji_neg_count", "emoji_pos_count"), 6).alias("signal_gap"))
+    return features_all(spark, sf).select("id", F.round(S.signal_gap("emoji_neg_count", "emoji_pos_count"), 6).alias("signal_gap"))
 
 
 @query("original_veto", lambda: (
     f"SELECT id, {Q.original_veto_fires('emoji_neg_count', 'emoji_pos_count')} AS veto_applied, "
     f"CASE WHEN {Q.original_veto_fires('emoji_neg_count', 'emoji_pos_count')} THEN 0 END AS veto_label, "
-    f"CASE WHEN {Q.original_veto_fires('emoji_neg_count', 'emoji_pos_count')} THEN CAST(0.85 AS DOUBLE) END AS veto_confidence FROM {FT}"))
+    f"CASE WHEN {Q.original_veto_fires('emoji_neg_count', 'emoji_pos_count')} THEN CAST(0.85 AS DOUBLE) END AS veto_confidence FROM {FA}"))
 def q_original_veto(spark, sf):
     fired = S.original_veto_fires("emoji_neg_count", "emoji_pos_count")
-    return features(spark, sf).select("id", fired.alias("veto_applied"),
+    return features_all(spark, sf).select("id", fired.alias("veto_applied"),
                                       F.when(fired, F.lit(0)).alias("veto_label"),
                                       F.when(fired, F.lit(L.ORIGINAL_VETO_CONFIDENCE)).alias("veto_confidence"))
 
@@ -152,16 +156,16 @@ def q_original_veto(spark, sf):
 @query("sarcasm_veto", lambda: (
     f"SELECT id, {Q.veto_fires('emoji_neg_count', 'emoji_pos_count', 'word_pos_count')} AS veto_applied, "
     f"CASE WHEN {Q.veto_fires('emoji_neg_count', 'emoji_pos_count', 'word_pos_count')} "
-    f"THEN {Q.veto_confidence('emoji_neg_count', 'emoji_pos_count')} END AS veto_confidence FROM {FT}"))
+    f"THEN {Q.veto_confidence('emoji_neg_count', 'emoji_pos_count')} END AS veto_confidence FROM {FA}"))
 def q_sarcasm_veto(spark, sf):
     fired = S.sarcasm_veto_fires("emoji_neg_count", "emoji_pos_count", "word_pos_count")
-    return features(spark, sf).select("id", fired.alias("veto_applied"),
+    return features_all(spark, sf).select("id", fired.alias("veto_applied"),
                                       F.when(fired, S.veto_confidence("emoji_neg_count", "emoji_pos_count")).alias("veto_confidence"))
 
 
-@query("emoji_error_flag", lambda: f"SELECT id, {Q.has_code_point_of('text', L.ERROR_ANALYSIS_EMOJIS)} AS emoji_error FROM {P}")
+@query("emoji_error_flag", lambda: f"SELECT id, {Q.has_code_point_of('text', L.ERROR_ANALYSIS_EMOJIS)} AS emoji_error FROM {PA}")
 def q_emoji_error_flag(spark, sf):
-    return posts(spark, sf).select("id", S.emoji_error_flag("text").alias("emoji_error"))
+    return posts_all(spark, sf).select("id", S.emoji_error_flag("text").alias("emoji_error"))
 
 
 @query("classify_archetype", lambda: f"SELECT id, {Q.archetype('text', 'label')} AS archetype FROM {P}")

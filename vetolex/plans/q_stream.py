@@ -19,7 +19,7 @@ KEY_SCALE = 1_000_000  # oracle only: (conv_id, turn) packed into one key for th
 
 
 def _stream_sql() -> str:
-    src = f"(SELECT conv_id * {KEY_SCALE} + turn AS id, 0 AS label, text FROM conversations WHERE text IS NOT NULL)"
+    src = f"(SELECT conv_id * {KEY_SCALE} + turn AS id, 0 AS label, text FROM conversations)"
     return scored_cte(src) + (
         ", dd AS (SELECT id, string_agg(token, '|' ORDER BY rnk) AS drivers FROM dr WHERE rnk <= 3 GROUP BY id) "
         f"SELECT z.id // {KEY_SCALE} AS conv_id, z.id % {KEY_SCALE} AS turn, text AS raw_text, "

@@ -74,6 +74,11 @@ def features_sql(source: str | None = None) -> str:
     return f"(SELECT id, label, text, {polarity_select('text')} FROM {src})"
 
 
+def features_all_sql() -> str:
+    """``posts_all`` plus the four signals."""
+    return f"(SELECT id, text, {polarity_select('text')} FROM {posts_all_sql()})"
+
+
 def known_emojis(t: str) -> str:
     ref = tuple(e for e, _, _ in L.EMOJI_REFERENCE)
     return f"regexp_extract_all({t}, {lit(L.char_class(ref))}, 0)"

@@ -7,10 +7,10 @@ same code runs in tests on ``local[*]`` and on a cluster.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -52,13 +52,22 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Only local mode gets a folder of its own; a cluster must name one that all machines share."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached when the deployment names no shared folder (tests, local runs).
-        configured = tempfile.mkdtemp(prefix="vetolex-ckpt-", dir=os.environ.get("VETOLEX_SCRATCH", "/tmp"))
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder shared by all machines of {sc.master}")
+        configured = tempfile.mkdtemp(prefix="vetolex-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, and safe from lost executors."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/vetolex/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -52,19 +52,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-_SCANS: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan; projections and filters applied later are pushed into it.
-
-    The (immutable, lazy) scan is reused per session so footers and file listings are read
-    once per table rather than once per query."""
-    key = (id(spark), sf_dir, name)
-    df = _SCANS.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _SCANS[key] = spark.read.parquet(table_path(sf_dir, name))
-    return df
+    """Parquet scan; projections and filters applied later are pushed into it."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def post_suffix(doc_id) -> F.Column:
@@ -96,12 +86,19 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled corpus in its raw shape ``(index, sentiment, post)``, derived from the tables."""
-    p = posts(spark, sf_dir)
-    return p.select(F.col("id").alias("index"), F.col("label").alias("sentiment"), F.col("text").alias("post"))
+    """Every document in the shape of a raw export: an index column to drop, aliased and string-typed columns, and
+    nulls where a document has no label."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return (docs.join(labels, "doc_id", "left")
+            .select(F.col("doc_id").cast("string").alias("Unnamed: 0"), F.col("doc_id").alias("index"),
+                    F.col("quality").cast("string").alias("sentiment"), F.concat(F.col("text"), post_suffix("doc_id")).alias("post")))
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV with an explicit schema (no inference pass)."""
+    """Headered CSV with an explicit schema (no inference pass).
+
+    Quoted line feeds make a CSV file unsplittable, so a file is one task: :func:`sink_table` bounds the
+    records of each file it writes."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').csv(path))

@@ -27,7 +27,7 @@ KEY = ("conv_id", "turn")
 
 def score_batch(batch: DataFrame, model: LinearTextModel) -> DataFrame:
     """One micro-batch (or a whole table): key ``(conv_id, turn)``, the 8-field record."""
-    rows = batch.where(F.col("text").isNotNull()).select(F.struct(*KEY).alias("id"), "text")
+    rows = batch.select(F.struct(*KEY).alias("id"), "text")
     out = predict_sentiment(rows, model)
     return out.select("id.conv_id", "id.turn", *[c for c in out.columns if c != "id"])
 
