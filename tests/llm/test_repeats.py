@@ -57,14 +57,15 @@ def test_block_expansion_against_dictionary(seed):
         assert [g.tolist() for g in repeats.repeated_starts(texts, length)] == want
 
 
-def test_equal_windows_have_equal_anchors():
+@pytest.mark.parametrize("halves", [False, True])
+def test_equal_windows_have_equal_anchors(halves):
     powers = repeats.Powers()
     rng = np.random.default_rng(1)
     core = bytes(rng.integers(97, 123, 150).astype(np.uint8))
     found = []
     for head in (b"", b"q" * 17, bytes(rng.integers(97, 123, 93).astype(np.uint8))):
         raw = head + core + bytes(rng.integers(97, 123, 60).astype(np.uint8))
-        a, _, first, last = repeats.runs_of(raw, powers, 100, 16)
+        a, _, first, last = repeats.runs_of(raw, powers, 100, 16, halves)
         assert (np.diff(np.r_[first, last[-1] + 1]) > 0).all() and first[0] == 0 and last[-1] == len(raw) - 100
         per = np.repeat(a, last - first + 1)
         found.append(per[len(head):len(head) + 51].tolist())
@@ -75,7 +76,7 @@ def result(spark, make_docs, rows, **kw):
     return sorted((tuple(r) for r in repeats.remove_repeats(make_docs(rows), **kw).drop("row").collect()), key=repr)
 
 
-@pytest.mark.parametrize("group", [256, 1])
+@pytest.mark.parametrize("group", [256, 3, 1])
 def test_corpus_against_dictionary(spark, make_docs, group):
     rows = corpus(5, 40)
     assert result(spark, make_docs, rows, length=40, gram=8, group=group) == naive(rows, 40)

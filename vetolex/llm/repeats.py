@@ -5,11 +5,12 @@ string found so far is split by the byte before it.  New interval ends give the
 common prefix has just that level's length, so common prefixes come in increasing order, and the
 expansion stops at the minimum length: what is undecided then starts a repeat.
 
-Over a corpus, equal windows must meet in one block.  A window (``length`` bytes) is dealt by two
-anchors, the least hashes of the k-grams in its first and second half, and by their distance; equal
-windows have equal anchors.  Neighbouring windows with the same anchors form a run, and a run's
-bytes are its context.  Anchors seen once need no comparison; equal contexts are one text with a
-count; the distinct contexts that share anchors are compared in blocks of bounded size.
+Over a corpus, equal windows must meet in one block.  A window (``length`` bytes) is dealt by its anchor,
+the k-gram of least hash in it, at its place; equal windows have equal anchors.  Neighbouring windows with
+the same anchor form a run, and a run's bytes are its context.  Anchors seen once need no
+comparison; equal contexts are one text with a count; the distinct contexts that share an anchor are
+compared in blocks of bounded size.  Where very many do (a line that a third of the documents
+hold), their windows are dealt once more by two anchors, one in each half, which tells most apart.
 """
 
 from __future__ import annotations
@@ -22,39 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_named, mix64, row_key, stash, text_bytes
+from .common import Powers, documents_named, mix64, prefix_sums, row_key, stash, text_bytes
 
 LENGTH = 400           # bytes of a repeat
 GRAM = 64              # bytes of an anchor
-BLOCK_BYTES = 1 << 18  # of contexts in a block
-GROUP_CONTEXTS = 256   # contexts with the same anchors that stay in one block; see window_marks for the rest
-
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as texts have needed them."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
-        return self.up[:n], self.down[:n]
-
-
-def prefix_sums(raw: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """``q``, ``up`` such that ``(q[e] - q[s]) * up[s]`` is a hash of the bytes from s to e."""
-    up, down = powers.upto(len(raw) + 1)
-    q = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[np.frombuffer(raw, np.uint8)] * down[:-1], out=q[1:])
-    return q, up
+BLOCK_BYTES = 1 << 19  # of contexts in a block
+GROUP_CONTEXTS = 256   # contexts with the same anchor that stay in one block; more are dealt anew
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,19 +39,22 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:len(values) - width + 1], low[width - have:]) if have < width else low
 
 
-def runs_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``(anchors, context, first, last)`` of each run of window starts; empty for short texts."""
+def runs_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM, halves: bool = False) -> tuple[np.ndarray, ...]:
+    """``(anchors, context, first, last)`` of each run of window starts; empty for short texts.
+
+    With ``halves``, the anchor is the pair of least grams in a window's first and second half."""
     n = len(raw) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32))
     q, up = prefix_sums(raw, powers)
     grams = len(raw) - gram + 1
     h = mix64((q[gram:] - q[:-gram]) * up[:grams])
-    half = (length - gram + 2) // 2
+    in_window = length - gram + 1
+    width = (in_window + 1) // 2 if halves else in_window
     # ties go to the leftmost gram, which is the same one in equal windows
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
-    low = (sliding_least(key, half) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    left, right = low[:n], low[length - gram + 1 - half:][:n]
+    low = (sliding_least(key, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    left, right = low[:n], low[in_window - width:][:n]
     change = np.flatnonzero((left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
     first, last = np.r_[0, change], np.r_[change - 1, n - 1]
     a, b = left[first], right[first]
@@ -90,22 +67,30 @@ def runs_of(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM)
 def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and its inverse, by prefix doubling to at least ``depth`` symbols.
 
-    Suffixes that agree on as many symbols are ordered by what follows them so far, or else by
-    position, which no later step looks at.  The last symbol must be unique."""
+    Each round sorts (rank, rank further on, place) as one integer.  Suffixes that agree on as many
+    symbols stand together, in the order of their places."""
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    bits = max(int(n).bit_length(), 1)
+    at, low = np.arange(n, dtype=np.uint64), np.uint64((1 << bits) - 1)
+    rank = np.unique(symbols, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
     have = 1
     while True:
-        key = rank * (n + 1)
-        key[:n - have] += rank[have:] + 1
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.r_[0, np.cumsum(sorted_[1:] != sorted_[:-1])]
+        second = np.zeros(n, np.uint64)
+        second[:n - have] = rank[have:]
+        if 3 * bits <= 64:
+            done = np.sort((rank << np.uint64(2 * bits)) | (second << np.uint64(bits)) | at)
+            order, pair = (done & low).astype(np.int64), done >> np.uint64(bits)
+        else:
+            pair = (rank << np.uint64(32)) | second
+            order = np.argsort(pair, kind="stable")
+            pair = pair[order]
+        new = np.empty(n, np.uint64)
+        new[order] = np.r_[0, np.cumsum(pair[1:] != pair[:-1])].astype(np.uint64) + np.uint64(1)
         rank, have = new, 2 * have
-        if rank[order[-1]] == n - 1 or have >= depth:
-            break
-    return order, rank
+        if have >= depth or rank[order[-1]] == n:
+            inverse = np.empty(n, np.int64)
+            inverse[order] = np.arange(n)
+            return order, inverse
 
 
 def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
@@ -114,29 +99,31 @@ def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
     sizes = np.array([len(c) + 1 for c in contexts])
     symbols = np.concatenate([np.r_[np.frombuffer(c, np.uint8).astype(np.int64) + m, i] for i, c in enumerate(contexts)])
     n = len(symbols)
-    # backward extension must see one order at all levels, so suffixes are sorted until all differ;
-    # separators are unique, hence that ends with the longest context
-    order, rank = suffix_array(symbols, int(sizes.max()) + 1)
-    before = symbols[order - 1]
+    # strings of up to length + 1 symbols are intervals of this order; separators are unique, so none spans two contexts
+    order, rank = suffix_array(symbols, length + 2)
     step = rank[order - 1]           # where a suffix goes when the symbol before it is put in front
-    lcp_set = np.zeros(n + 1, bool)  # decided: the common prefix with the suffix above is below the level
-    lcp_set[[0, n]] = True
+    head = symbols[order]            # first symbol of the suffix at each rank
+    bits = np.int64(int(n).bit_length())
+    decided = np.zeros(n + 1, bool)  # the common prefix with the suffix above is shorter than the level
+    decided[[0, n]] = True
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
         count = high - low
-        at = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1]) + np.repeat(low - (ends - count), count)
         owner = np.repeat(np.arange(len(low)), count)
-        to, symbol = step[at], before[at]
-        by = np.lexsort((to, owner))  # within an interval, equal symbols lie together in this order
-        to, symbol, owner = to[by], symbol[by], owner[by]
+        # within an interval, suffixes with the same symbol in front go to neighbouring ranks
+        both = np.sort((owner << bits) | step[at])
+        to, owner = both & ((1 << bits) - 1), both >> bits
+        symbol = head[to]
         starts = np.flatnonzero(np.r_[True, (symbol[1:] != symbol[:-1]) | (owner[1:] != owner[:-1])])
         new_low, new_high = to[starts], to[np.r_[starts[1:], len(to)] - 1] + 1
-        fresh = ~lcp_set[new_high]
-        lcp_set[new_high[fresh]] = True
+        fresh = ~decided[new_high]
+        decided[new_high[fresh]] = True
         low, high = new_low[fresh], new_high[fresh]
         if not len(low):
             break
-    again = ~lcp_set[:n] | ~lcp_set[1:]
+    again = ~decided[:n] | ~decided[1:]
     hits = np.sort(order[again])
     ends = np.cumsum(sizes)
     owner = np.searchsorted(ends, hits, side="right")
@@ -173,8 +160,8 @@ def corpus_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
 
 
 def context_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``(row, anchors, first, last, bytes)`` of the runs in ``wanted``, from the texts they lie in."""
-    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchors", "first", "last")).alias("runs"))
+    """``(row, anchors, d, first, last, bytes)`` of the runs in ``wanted``, from the texts they lie in."""
+    asked = wanted.groupBy("row").agg(F.collect_list(F.struct("anchors", "d", "first", "last")).alias("runs"))
     texts = documents_named(docs, wanted.select("row"))
     return (asked.join(texts, "row").select("row", "text", F.explode("runs").alias("x"))
             .select("row", "x.*", F.expr(f"substring(text, x.first + 1, x.last - x.first + {length})").alias("bytes")))
@@ -217,20 +204,50 @@ def window_marks(contexts: DataFrame, length: int) -> DataFrame:
     return single.join(twice, ["anchors", "h"]).select("row", F.col("at").alias("first"), F.col("at").alias("last"))
 
 
+def halved(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``(row, anchors, context, first, last, bytes)``: the windows of (row, anchors, first, bytes) dealt by two anchors."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for row, start, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                anchors, context, first, last = runs_of(raw, powers, length, gram, halves=True)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row] * len(first), pa.string()), pa.array(anchors), pa.array(context), pa.array(first + np.int32(start)),
+                    pa.array(last + np.int32(start)), pa.array([raw[a:b + length] for a, b in zip(first.tolist(), last.tolist())], pa.binary())],
+                    ["row", "anchors", "context", "first", "last", "bytes"])
+
+    return contexts.select("row", "first", "bytes").mapInArrow(cut, RUNS + ", bytes binary")
+
+
+def group_marks(runs: DataFrame, with_bytes, length: int, gram: int, group: int, again: bool = True) -> DataFrame:
+    """Marks from runs (row, anchors, context, first, last).
+
+    ``with_bytes`` gives the bytes of chosen runs as (row, anchors, d, first, last, bytes)."""
+    key = F.min(F.struct("row", "first", "last")).alias("at")
+    distinct = stash(runs.groupBy("anchors", "context").agg(F.count(F.lit(1)).alias("c"), key), "contexts")
+    shared = distinct.groupBy("anchors").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("all"), F.min("c").alias("least")).where("all > 1")
+    met = stash(distinct.join(shared, "anchors"), "shared")
+    whole = runs.join(met.where("c > 1").select("anchors", "context"), ["anchors", "context"]).select("row", "first", "last")
+    # all contexts of an anchor are compared, if one of them occurs once and still needs an answer
+    asked = met.where("d > 1 and least = 1").select("anchors", "d", "at.*")
+    contexts = stash(with_bytes(asked), "bytes")
+    small = block_marks(contexts.where(F.col("d") <= group), length)
+    large = contexts.where(F.col("d") > group)
+    if large.isEmpty():
+        return whole.union(small)
+    if not again:
+        return whole.union(small).union(window_marks(large, length))
+    parts = stash(halved(large, length, gram), "halves")
+    # a text counts once here; what is equal as a whole has its marks already
+    pick = lambda asked: parts.join(asked, ["row", "anchors", "first", "last"]).select("row", "anchors", "d", "first", "last", "bytes")
+    return whole.union(small).union(group_marks(parts.drop("bytes"), pick, length, gram, group, again=False))
+
+
 def marks_of(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP_CONTEXTS) -> DataFrame:
     """``(row, first, last)``: ranges of starts of strings that also start elsewhere in the corpus."""
     runs = stash(corpus_runs(docs, length, gram), "runs")
-    distinct = stash(runs.groupBy("anchors", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "first", "last")).alias("at")), "contexts")
-    shared = distinct.groupBy("anchors").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("all")).where("all > 1")
-    met = stash(distinct.join(shared, "anchors"), "shared")
-    copied = met.where("c > 1").select("anchors", "context")
-    whole = runs.join(copied, ["anchors", "context"]).select("row", "first", "last")
-    # all texts of a group are in the block, but only those that occur once still need an answer
-    open_ = met.groupBy("anchors").agg(F.min("c").alias("least")).where("least = 1").select("anchors")
-    asked = met.where("d > 1").join(open_, "anchors").select("anchors", "d", "at.*")
-    contexts = stash(context_bytes(docs, asked, length).join(asked.select("anchors", "d").distinct(), "anchors"), "bytes")
-    return stash(whole.union(block_marks(contexts.where(F.col("d") <= group), length))
-                 .union(window_marks(contexts.where(F.col("d") > group), length)), "marks")
+    fetch = lambda asked: context_bytes(docs, asked, length)
+    return stash(group_marks(runs, fetch, length, gram, group), "marks")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP_CONTEXTS) -> DataFrame:
