@@ -27,10 +27,11 @@ from .components import components
 SHINGLE = 4
 PERCENT = 80           # least 100 * intersection / union of a link
 COORDINATES = 64       # MinHash values in a signature
-TREES = 24             # a pair at the threshold meets in a first branch of nearly every tree; see README for deep ones
-LEAF = 64              # sets in a branch that is compared exhaustively
+TREES = 16             # a pair at the threshold meets in a first branch of nearly every tree; see README for deep ones
+LEAF = 128             # sets in a branch that is compared exhaustively
 DEPTH = 8              # levels after which a branch that is still large goes to exact comparison as a whole
 SKETCH = 0.5           # least share of equal signature values of a proposed pair: six deviations below the threshold
+PIVOTS = 8             # of a large branch
 CLUSTER = 256          # sets that one task compares exactly; larger clusters are cut into blocks
 
 _MULTIPLIERS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -74,7 +75,7 @@ def branch(rows: DataFrame) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, COORDINATES)
+            sig = _signatures(batch.column(2))
             at = np.arange(len(path))
             chosen = mix64(path ^ np.uint64(0xA5A5A5A5A5A5A5A5))
             first = (chosen % np.uint64(COORDINATES)).astype(np.int64)
@@ -108,9 +109,7 @@ def proposals(leaves: DataFrame) -> DataFrame:
                 n = np.array([m["n"] for m in members], np.int64)
                 up = list(range(len(members)))
                 for i in range(len(members) - 1):
-                    like = (sig[i + 1:] == sig[i]).sum(axis=1) >= SKETCH * COORDINATES
-                    like &= 100 * np.minimum(n[i + 1:], n[i]) >= PERCENT * np.maximum(n[i + 1:], n[i])
-                    for j in (np.flatnonzero(like) + i + 1).tolist():
+                    for j in (np.flatnonzero(_alike(sig[i + 1:], sig[i], n[i + 1:], n[i])) + i + 1).tolist():
                         x, y = _root(up, i), _root(up, j)
                         if x != y:
                             up[y] = x
@@ -121,6 +120,100 @@ def proposals(leaves: DataFrame) -> DataFrame:
     return leaves.select("members").mapInArrow(compare, "a binary, b binary")
 
 
+def judged_branches(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For large branches (path, c, node, n, signature): the same rows with ``mask``, a bit for each of the branch's
+    pivots that the set is like, and ``pivot``, the first of these; and per branch ``(path, main, rest, a, b)``.
+
+    A few sets of a branch, by hash, are its pivots.  Sets like a pivot, and pivots connected through a set
+    that is like both, are in one cluster; ``main`` has the pivots of the largest such group and ``rest``
+    counts the sets outside it.  ``a`` and ``b`` are the edges between pivots."""
+    # the sets with the least hashes, the same ones in every branch that holds them; about 32 a branch are looked at
+    place = F.pmod(F.xxhash64("node"), F.lit(1_000_003))
+    drawn = signed.where(place * F.col("c") < 4 * PIVOTS * 1_000_003)
+    pivots = stash(drawn.groupBy("path").agg(F.slice(F.array_sort(F.collect_list(F.struct(place.alias("u"), "node", "n", "signature"))), 1, PIVOTS)
+                                             .alias("pivots")), "pivots")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, own, lists = batch.column(3).to_numpy(), _signatures(batch.column(4)), batch.column(5)
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            node, m, sig = flat.field(1).to_pylist(), flat.field(2).to_numpy(), _signatures(flat.field(3))
+            mask, first = np.zeros(len(n), np.int32), [None] * len(n)
+            for j in range(PIVOTS):
+                at = np.flatnonzero(ends[:-1] + j < ends[1:])
+                to = ends[:-1][at] + j
+                like = _alike(own[at], sig[to], n[at], m[to])
+                mask[at[like]] |= 1 << j
+                for i, t in zip(at[like].tolist(), to[like].tolist()):
+                    first[i] = first[i] or node[t]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(mask), pa.array(first, pa.binary())],
+                                             ["path", "c", "node", "n", "signature", "mask", "pivot"])
+
+    judged = stash(signed.join(pivots, "path").select("path", "c", "node", "n", "signature", "pivots")
+                   .mapInArrow(judge, "path long, c long, node binary, n long, signature binary, mask int, pivot binary"), "judged")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            main, rest, a, b = [], [], [], []
+            for masks, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                up, joined = list(range(len(nodes))), []
+                for m in masks:
+                    bits = [j for j in range(len(nodes)) if m["mask"] >> j & 1]
+                    for j in bits[1:]:
+                        x, y = _root(up, bits[0]), _root(up, j)
+                        if x != y:
+                            up[y] = x
+                            joined.append((nodes[bits[0]], nodes[j]))
+                groups = [sum(1 << j for j in range(len(nodes)) if _root(up, j) == r) for r in {_root(up, j) for j in range(len(nodes))}]
+                held = {g: sum(m["k"] for m in masks if m["mask"] & g) for g in groups}
+                main.append(max(held, key=lambda g: (held[g], g)))
+                rest.append(sum(m["k"] for m in masks) - held[main[-1]])
+                a.append([x for x, _ in joined])
+                b.append([y for _, y in joined])
+            kind = pa.list_(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(main, pa.int32()), pa.array(rest, pa.int64()), pa.array(a, kind), pa.array(b, kind)],
+                                             ["path", "main", "rest", "a", "b"])
+
+    masks = (judged.groupBy("path", "mask").agg(F.count(F.lit(1)).alias("k")).groupBy("path")
+             .agg(F.collect_list(F.struct("mask", "k")).alias("masks")))  # at most 2 ** PIVOTS values
+    return judged, stash(masks.join(pivots.select("path", F.col("pivots.node").alias("nodes")), "path").select("path", "masks", "nodes")
+                         .mapInArrow(settle, "path long, main int, rest long, a array<binary>, b array<binary>"), "settled")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """As many equal signature values as a linked pair surely has, and sizes that allow a link."""
+    return ((a == b).sum(axis=-1) >= SKETCH * COORDINATES) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+
+def rest_against_all(rows: DataFrame, size: int = 512) -> DataFrame:
+    """``(a, b)``: edges between the few sets outside a branch's main group and all its sets, in slices of the branch."""
+    sliced = rows.withColumn("outside", F.col("mask").bitwiseAND(F.col("main")) == 0).withColumn("slices", F.ceil(F.col("c") / size).cast("int"))
+    spread = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, sig, n = table.column("node").to_pylist(), _signatures(table.column("signature").combine_chunks()), table.column("n").to_numpy()
+        outside = table.column("outside").to_numpy()
+        inside = np.flatnonzero(~outside)
+        up, edges = list(range(len(node))), []
+        for i in inside[1:].tolist():
+            up[i] = int(inside[0])
+        for i in np.flatnonzero(outside).tolist():
+            for j in np.flatnonzero(_alike(sig, sig[i], n, n[i])).tolist():
+                x, y = _root(up, i), _root(up, j)
+                if x != y:
+                    up[y] = x
+                    edges.append((node[i], node[j]))
+        return pa.table({"a": pa.array([x for x, _ in edges], pa.binary()), "b": pa.array([y for _, y in edges], pa.binary())})
+
+    return (sliced.select("path", "node", "n", "signature", "outside", F.explode(spread).alias("slice")).groupBy("path", "slice")
+            .applyInArrow(compare, "a binary, b binary"))
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
+
+
 def candidate_edges(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """``(a, b)``: edges that connect every pair of nodes which some tree brings together and whose signatures are alike.
 
@@ -133,15 +226,21 @@ def candidate_edges(nodes: DataFrame, trees: int = TREES, leaf: int = LEAF, dept
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         met = rows.join(sizes, "path")
         lists = met.where(F.col("c") <= leaf).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("list"))
-        leaves.append(stash(lists.select("list").distinct(), "leaves"))
-        large = stash(met.where(F.col("c") > leaf).select("path", "node"), "large")
-        if large.isEmpty():
-            break
-        if level == depth:  # still together: one cluster, told apart on the full sets
-            first = large.groupBy("path").agg(F.min("node").alias("b"))
-            edges.append(large.join(first, "path").select(F.col("node").alias("a"), "b"))
+        leaves.append(lists.select("list"))
+        signed = stash(met.where(F.col("c") > leaf).join(nodes, "node").select("path", "c", "node", "n", "signature"), "signed")
+        if signed.isEmpty():
             break
-        rows = branch(large.join(nodes, "node").select("path", "node", "signature"))
+        judged, settled = judged_branches(signed)
+        edges.append(judged.where("pivot is not null").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        edges.append(settled.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b"))
+        few = settled.where((F.col("rest") > 0) & (F.col("rest") <= leaf)).select("path", "main")
+        edges.append(rest_against_all(judged.join(few, "path")))
+        # these branches are done: their main groups are connected, and what is outside has met all of their sets
+        many = settled.where(F.col("rest") > leaf).select("path")
+        if level == depth:  # what is still together is one cluster, told apart on the full sets
+            first = signed.groupBy("path").agg(F.min("node").alias("b"))
+            edges.append(signed.join(first, "path").join(many, "path", "left_semi").select(F.col("node").alias("a"), "b"))
+        rows = branch(signed.join(many, "path", "left_semi"))
     lists = leaves[0]
     for more in leaves[1:]:
         lists = lists.union(more)
