@@ -124,3 +124,21 @@ def test_edges(spark, write_sf):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = op4(spark, write_sf([(alone, "a b")])).first()
     assert r["train_tokens"] == 0 and r["base_score"] == 0 and r["score"] <= 0
+
+
+def test_long_unseen_words_have_finite_scores(spark, write_sf):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:4]
+    train = [(i, "some plain words to learn from") for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:5]
+    rows = [(i, "plain " + "x9/Q" * (n // 4)) for i, n in zip(held, (100, 1000, 10_000, 20_000))]
+    out = {r["doc_id"]: r for r in op4(spark, write_sf(train + rows)).collect()}
+    scores = [out[i]["score"] for i in held]
+    assert all(math.isfinite(out[i]["score"]) and math.isfinite(out[i]["bits_per_byte"]) for i in held)
+    # no cap: twice the letters cost about twice as much
+    assert scores[0] > scores[1] > scores[2] and 1.8 < scores[3] / scores[2] < 2.2
+
+
+def test_own_costs_against_exact_logs():
+    c, bits = np.array([0, 0, 3, 5]), np.array([12.0, 80_000.0, 9.0, 70_000.0], np.float32)
+    got = mixing_lm.own_costs(c, bits, 0.25, 8)
+    want = [math.log(0.25 * 2 ** -12), math.log(0.25) - 80_000 * math.log(2), math.log(0.25 * 2 ** -9 + 0.75 * 3 / 8), math.log(0.75 * 5 / 8)]
+    assert np.allclose(got, want, rtol=1e-12)
