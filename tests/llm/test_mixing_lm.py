@@ -142,3 +142,28 @@ def test_own_costs_against_exact_logs():
     got = mixing_lm.own_costs(c, bits, 0.25, 8)
     want = [math.log(0.25 * 2 ** -12), math.log(0.25) - 80_000 * math.log(2), math.log(0.25 * 2 ** -9 + 0.75 * 3 / 8), math.log(0.75 * 5 / 8)]
     assert np.allclose(got, want, rtol=1e-12)
+
+
+def test_weights_learn_from_every_training_token(spark, monkeypatch):
+    """More than one task, tokens of any length, and more than 40,000 of them: all bits are used, and the mean is of all tasks."""
+    words = [f"w{i:x}".encode() for i in range(67_500) if i % 3] + [b"long" * 50]
+    known = spark.createDataFrame([(w, 1) for w in words], "token binary, c long")
+    monkeypatch.setattr(mixing_lm, "LEARN_TOKENS", 20_000)
+    tables = [np.zeros((1 << b, 2), np.uint32) for b in mixing_lm.TABLE_BITS]
+    mixing_lm.count_bits(words, tables)
+    start = mixing_lm.Mixer.new(tables)
+    got = mixing_lm.learned(start, known, len(words))
+    assert got.used.sum() == 8 * sum(len(w) + 1 for w in words)
+    again = mixing_lm.learned(start, known, len(words))
+    assert (got.weights == again.weights).all() and (got.refined == again.refined).all()
+    tests = [f"w{i:x}".encode() for i in range(0, 67_500, 3)]
+    assert got.frozen().bits_of(tests).sum() < start.frozen().bits_of(tests).sum()
+
+
+def test_average_is_weighted_by_use():
+    m = mixing_lm.Mixer.new([])
+    one, two = np.zeros_like(m.used), np.zeros_like(m.used)
+    one[0, 3], two[0, 3], two[1, 5] = 10, 30, 7
+    got = m.averaged([(m.weights + 1, m.refined * 0 + 0.2, one), (m.weights + 5, m.refined * 0 + 0.6, two)])
+    assert np.allclose(got.weights[0], m.weights[0] + 4) and np.allclose(got.weights[1], m.weights[1] + 5) and np.allclose(got.weights[2:], m.weights[2:])
+    assert math.isclose(got.refined[0, 3], 0.5) and math.isclose(got.refined[1, 5], 0.6) and got.refined[0, 4] == m.refined[0, 4]
