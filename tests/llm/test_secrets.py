@@ -48,3 +48,18 @@ def test_edges_and_ownership(spark, write_sf):
     spans = {r["doc_id"]: r["spans"] for r in out}
     assert spans[7] == "opaque:4:24" and spans[8] == spans[9] == ""
     assert op9(spark, write_sf([])).count() == 0
+
+
+def test_live_goes_by_owners_not_repositories(spark, write_sf):
+    keys = [f"Zx9Qw8Er7Ty6Ui5Op4{c}s" for c in "ABCDEF"]
+    rows = [(1, f"see {keys[0]}", "acme/api"), (2, f"see {keys[0]}", "acme/web"),       # one owner, two repositories
+            (3, f"see {keys[1]}", "acme/api"), (4, f"see {keys[1]}", "other/api"),      # two owners
+            (5, "secret=" + "z" * 40, "acme/api"), (6, "secret=" + "z" * 40, "acme/web"),
+            (7, f"see {keys[2]}", "/x"), (8, f"see {keys[2]}", "/y"), (9, f"see {keys[3]}", None), (10, f"see {keys[3]}", "")]
+    rows += [(100 + i, f"see {keys[4]}", f"acme/r{i}") for i in range(100)]             # as many as one owner may have
+    rows += [(300 + i, f"see {keys[5]}", f"acme/r{i}") for i in range(101)]             # spread too widely
+    out = {r["doc_id"]: r for r in op9(spark, write_sf(rows)).collect()}
+    one = "opaque:4:24"
+    assert [out[i]["spans"] for i in (1, 2, 3, 4, 7, 8, 9, 10)] == [one, one, "", "", "", "", "", ""]
+    assert out[5]["n_live"] == out[6]["n_live"] == 1 and out[1]["n_live"] == 1
+    assert all(out[100 + i]["spans"] == one for i in range(100)) and all(out[300 + i]["spans"] == "" for i in range(101))

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame operations only.
 
 Patterns give candidate spans.  Each candidate's value is hashed and aggregated over the corpus
-by distinct repositories and owners: a value that many of them share is a copied example, a
-value that one owner holds looks live.  Values of the pattern kinds ``assign``, ``access`` and
+by distinct repositories and owners: a value that several owners share is a copied example, and so
+is one in very many repositories; a value that one owner holds, in however few or more, looks live.  Values of the pattern kinds ``assign``, ``access`` and
 ``hex`` are always reported, with that verdict; looser ``opaque`` candidates (long tokens that mix
 cases and digits) are reported only if their ownership says that they are specific to an owner.
 """
@@ -26,8 +26,8 @@ BASE = ("assign", "access", "hex")
 #: A text without this has no match of the kind; a cheap test that most texts fail.
 NEEDS = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{32}",
          "opaque": r"[A-Za-z0-9_-]{20}"}
-#: A value seen in more repositories, or by more owners, than this is a copied example.
-MAX_REPOS, MAX_OWNERS = 1, 1
+#: A value that more owners hold is a copied example; so is one that its owner has spread over more repositories than this.
+MAX_REPOS, MAX_OWNERS = 100, 1
 SALTS = 16
 
 
@@ -65,7 +65,8 @@ def find_secrets(docs: DataFrame, repo: str = "source", owner: str | None = None
     documents hold is reduced to its distinct repositories before the count, and its verdict goes
     back to the documents in ``SALTS`` parts, so no task gets all of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    owned = F.coalesce(F.col(owner) if owner else F.regexp_extract(F.col(repo), r"^[^/]*", 0), F.lit(""))
+    before = F.regexp_extract(F.col(repo), r"^[^/]*", 0)
+    owned = F.col(owner) if owner else F.when(before == "", F.col(repo)).otherwise(before)  # null: one owner, as one repository
     slim = docs.select("doc_id", row_key().alias("__row"), F.col(repo).alias("__repo"),
                        owned.alias("__owner"), F.concat(*[_spans(text, k) for k in KINDS]).alias("__found"))
     hashed = F.transform("__found", lambda x: F.struct(
