@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, entropy, hilbert, mixing_lm, neardup, repeats, rules, secrets, toxicity
+from . import (bitpack, decontaminate, divergence, entropy, filter_audit, hilbert, mixing_lm, neardup, repeats, rules, secrets,
+               toxicity)
 from .common import shared_path, stash, table, text_bytes
 from .registry import query
 
@@ -82,3 +83,15 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     """Near-duplicate components of all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op11_count_bitmaps", divergence.ORACLE)
+def op11(spark, sf_dir):
+    """Divergence of every source of a language from its other sources, and the terms that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_filter_potential", filter_audit.ORACLE)
+def op13(spark, sf_dir):
+    """What five filters remove from all documents, in each of their 120 orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
