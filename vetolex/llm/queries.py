@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (bitpack, decontaminate, divergence, entropy, filter_audit, hilbert, mixing_lm, neardup, repeats, rules, secrets,
+from . import (bitpack, decontaminate, divergence, entropy, filter_audit, hilbert, mixing_lm, neardup, ngram_join, repeats, rules, secrets,
                toxicity)
 from .common import shared_path, stash, table, text_bytes
 from .registry import query
@@ -91,6 +91,12 @@ def op11(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+@query("op12_ngram_join")
+def op12(spark, sf_dir):
+    """Components of all documents by n-gram similarity."""
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents")).drop("row")
+
+
 @query("op13_filter_potential", filter_audit.ORACLE)
 def op13(spark, sf_dir):
     """What five filters remove from all documents, in each of their 120 orders."""
