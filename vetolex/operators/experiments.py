@@ -108,7 +108,7 @@ def pass_rate_pivot(rows: DataFrame, index: str, pivot: str, values, ok: str = "
 # ---------------------------------------------------------------- refit experiments (MLlib)
 
 def fit_many(fns, workers: int = 8):
-    """Independent fits submitted together: each L-BFGS iteration is a short, latency-bound
+    """Independent fits submitted together: each iteration of a fit is a short, latency-bound
     Spark job on a few partitions, so running fits side by side keeps the executors busy."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
         return list(pool.map(lambda f: f(), fns))

@@ -4,22 +4,19 @@
 * TF-IDF is fitted on the training rows only (vocabulary, idf), in long form.
 * Feature vectors are ``TF-IDF block ‖ 4 numerics`` as sparse vectors; only the
   labelled training rows are turned into vectors.
-* The objective is ``Σ logloss + ½‖w‖²`` with a free intercept; the result is an MLlib model.
+* The objective is ``Σ logloss + ½‖w‖²`` with a free intercept, fitted by MLlib's ``LogisticRegression``.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegressionModel
-from pyspark.ml.common import _py2java
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -29,15 +26,17 @@ from .features import add_polarity_features
 from .model import LinearTextModel, model_from_weights
 from .split import split_hash, stratified_split
 
-#: L-BFGS ends when no partial derivative of the mean loss exceeds TOL; reaching MAX_ITER first is an error.
-MAX_ITER, TOL, MEMORY = 300, 1e-6, 10
+#: A fit whose mean loss has a partial derivative above TOL is refused; the solver's own tolerance is tighter.
+MAX_ITER, TOL, SOLVER_TOL = 300, 1e-6, 1e-12
+#: Weight of the two rows that set the scale of the text columns.
+WEIGHTLESS = 1e-20
 #: Bound on the labelled rows a model is fitted on (by split hash, so the choice is fixed); it bounds the
 #: vocabulary and the coefficient vectors that the driver keeps.  Scoring has no bound.
 MAX_FIT_ROWS = 1_000_000
-#: Non-zeros in a partition of training vectors, about 12 bytes each.
-NNZ_PER_PARTITION = 4_000_000
-#: Coefficients in a slice of the gradient on its way to the sum.
-SLICE = 1 << 16
+#: Non-zeros in a partition of training vectors, about 12 bytes each, and as many as make a core worth while.
+NNZ_PER_PARTITION, NNZ_PER_CORE = 4_000_000, 100_000
+#: Megabytes of a block of vectors that MLlib multiplies at once.
+BLOCK_MB = 4.0
 
 
 class NotConverged(RuntimeError):
@@ -116,125 +115,70 @@ def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None, split:
                        F.filter(nums, lambda e: e["value"] != 0))
     size = run.n_text + len(numeric_cols)
     return base.select("id", F.col("label").cast("double").alias("label"), F.size(entries).alias("nnz"), F.lit(size).alias("width"),
+                       F.lit(run.n_text).alias("n_text"),
                        F.transform(entries, lambda e: e["idx"].cast("int")).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("x_values"),
                        _to_sparse(F.lit(size), F.transform(entries, lambda e: e["idx"].cast("int")),
                                   F.transform(entries, lambda e: e["value"])).alias("features"))
 
 
-def _loss_and_gradient(data: DataFrame, width: int):
-    """A function of (weights, intercept): the sums over all rows of loss, gradient and intercept gradient.
+def _scale_rows(spark, schema, n_text: int, width: int, n: int) -> DataFrame:
+    """Two rows of next to no weight, one per label and opposite in every text column, that give each of these
+    columns a variance of one (and leave its mean).
 
-    One Spark job a call: tasks multiply their rows' sparse arrays, and the gradient's slices are summed
-    by key, so no task or message holds more than one partition's share."""
-    spark = data.sparkSession
-
-    def at(w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
-        held = spark.sparkContext.broadcast((w, b))
-
-        def partial(batches):
-            loss, g = 0.0, np.zeros(width + 1)
-            weights, intercept = held.value
-            for batch in batches:
-                y, idx, val = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-                n = np.diff(np.asarray(idx.offsets))
-                row, i, x = np.repeat(np.arange(len(n)), n), idx.flatten().to_numpy(), val.flatten().to_numpy()
-                z = np.bincount(row, weights[i] * x, len(n)) + intercept
-                loss += float(np.sum(np.logaddexp(0, z) - y * z))
-                r = 1 / (1 + np.exp(-np.clip(z, -700, 700))) - y
-                g[:-1] += np.bincount(i, r[row] * x, width)
-                g[-1] += r.sum()
-            for k in range(0, width + 1, SLICE):
-                part = g[k:k + SLICE]
-                if part.any():
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "g": pa.array([part.tobytes()], pa.binary())})
-            yield pa.RecordBatch.from_pydict({"k": pa.array([-1], pa.int64()), "g": pa.array([np.array([loss]).tobytes()], pa.binary())})
-
-        def add(table):
-            total = sum(np.frombuffer(x) for x in table.column("g").to_pylist())
-            return pa.table({"k": table.column("k").slice(0, 1), "g": pa.array([total.tobytes()], pa.binary())})
-
-        loss, g = 0.0, np.zeros(width + 1)
-        for r in data.mapInArrow(partial, "k long, g binary").groupBy("k").applyInArrow(add, "k long, g binary").collect():
-            values = np.frombuffer(r["g"])
-            if r["k"] < 0:
-                loss = float(values[0])
-            else:
-                g[r["k"]:r["k"] + len(values)] = values
-        held.destroy()
-        return loss, g
-    return at
+    MLlib's solver works on columns divided by their deviation.  For a penalty on the unscaled weights that
+    stretches the many rare terms a hundredfold, and the solver crawls; with these rows the text block is
+    divided by about one, so only the few numeric columns are scaled.  What they add to the gradient of a
+    column is WEIGHTLESS times their value, about 1e-9 of one row's."""
+    x = np.zeros(width)
+    x[:n_text] = np.sqrt((n - 1) / (2 * WEIGHTLESS))
+    return spark.createDataFrame([(0.0, Vectors.dense(x), WEIGHTLESS), (1.0, Vectors.dense(-x), WEIGHTLESS)], schema)
 
 
 def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter: int = MAX_ITER) -> Fit:
-    """L-BFGS on mean loss + L2 / (2 n), one Spark job per step over rows held in memory.
-
-    The variables are the weights times their columns' scale, which evens out the few large numeric
-    features; the objective is the unscaled one.  (MLlib's own solver scales every rare term up and
-    needs thousands of steps for this penalty.)  Partitions follow the non-zeros, which bound their memory,
-    and there are at least as many as cores, so a step is never one task.  Raises if the iteration
-    bound ends the fit.  The result is an MLlib model."""
-    spark = vectors.sparkSession
-    nnz, rows, width = vectors.agg(F.sum("nnz"), F.count(F.lit(1)), F.max("width")).first()
-    parts = max(min(spark.sparkContext.defaultParallelism, rows), -(-(nnz or 0) // NNZ_PER_PARTITION), 1)
-    data = (vectors.select("label", F.col("indices").alias("i"), F.col("x_values").alias("x"))
-            .repartition(int(parts)).persist(StorageLevel.MEMORY_AND_DISK))
-    top = data.select(F.explode(F.arrays_zip("i", "x")).alias("e")).groupBy("e.i").agg(F.max(F.abs("e.x")).alias("m")).where("m > 1").toPandas()
-    scale = np.ones(width + 1)           # only numeric features exceed 1, so few rows came
-    scale[top["i"].to_numpy(int)] = top["m"].to_numpy()
-    sums, ridge = _loss_and_gradient(data, width), 1.0 / n_train
-
-    def objective(v: np.ndarray) -> tuple[float, np.ndarray]:
-        u = v / scale
-        loss, g = sums(u[:-1], float(u[-1]))
-        g = g / n_train
-        g[:-1] += ridge * u[:-1]
-        return loss / n_train + 0.5 * ridge * float(u[:-1] @ u[:-1]), g / scale
-
-    try:
-        v = np.zeros(width + 1)
-        f, g = objective(v)
-        steps: list[tuple[np.ndarray, np.ndarray]] = []
-        for done in range(max_iter):
-            if np.abs(g * scale).max() <= tol:
-                break
-            d, alphas = -g, []
-            for s, y in reversed(steps):
-                alphas.append(float(s @ d) / float(s @ y))
-                d = d - alphas[-1] * y
-            if steps:
-                s, y = steps[-1]
-                d = d * (float(s @ y) / float(y @ y))
-            for (s, y), alpha in zip(steps, reversed(alphas)):
-                d = d + (alpha - float(y @ d) / float(s @ y)) * s
-            slope, size = float(g @ d), 1.0
-            while True:
-                to = v + size * d
-                f2, g2 = objective(to)
-                if f2 <= f + 1e-4 * size * slope or size < 1e-10:
-                    break
-                size /= 2
-            if float((to - v) @ (g2 - g)) > 0:
-                steps = [*steps, (to - v, g2 - g)][-MEMORY:]
-            v, f, g = to, f2, g2
-        else:
-            raise NotConverged(f"no convergence within {max_iter} iterations at tolerance {tol}")
-    finally:
-        data.unpersist()
-    u = v / scale
-    java = spark.sparkContext._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
-        f"logistic-{uuid.uuid4().hex[:12]}", _py2java(spark.sparkContext, Vectors.dense(u[:-1])), float(u[-1]))
-    return Fit(LogisticRegressionModel(java), done, float(np.abs(g * scale).max()))
+    """MLlib's ``LogisticRegression`` on ``sum of logloss + half the squared weights``, intercept free.
 
+    ``vectors`` are the rows of :func:`assemble_hybrid`.  Partitions follow the non-zeros.  After the fit one
+    job takes the gradient at the result; if a partial derivative of the mean loss is above ``tol`` (MLlib ended at
+    ``max_iter``), that is an error."""
+    data = cut(vectors.select("label", "features", "indices", "x_values", "nnz", "width", "n_text"))
+    spark = data.sparkSession
+    nnz, rows, width, n_text = data.agg(F.sum("nnz"), F.count(F.lit(1)), F.max("width"), F.max("n_text")).first()
+    cores = min(spark.sparkContext.defaultParallelism, -(-(nnz or 0) // NNZ_PER_CORE))
+    parts = int(max(cores, -(-(nnz or 0) // NNZ_PER_PARTITION), 1))
+    weighted = data.select("label", "features", F.lit(1.0).alias("weight"))
+    weighted = weighted.unionByName(_scale_rows(spark, weighted.schema, n_text, width, rows)).repartition(parts)
+    lr = LogisticRegression(regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False, weightCol="weight", tol=SOLVER_TOL,
+                            maxIter=max_iter, aggregationDepth=2, maxBlockSizeInMB=BLOCK_MB)
+    model = lr.fit(weighted)
+    worst = max_gradient(data, model, n_train)
+    if not worst <= tol:
+        raise NotConverged(f"a partial derivative of {worst:.2g} after {model.summary.totalIterations} iterations, above {tol:.2g}")
+    return Fit(model, model.summary.totalIterations, worst)
+
+
+def coefficient_table(lr_model: LogisticRegressionModel, spark: SparkSession) -> DataFrame:
+    """``(idx, coef)``.  MLlib's model holds its coefficients on the driver; they go out as an Arrow table."""
+    values = lr_model.coefficients.toArray()
+    return spark.createDataFrame(pa.table({"idx": np.arange(len(values), dtype=np.int64), "coef": values}))
 
-def extract_weights(run: TrainingRun, lr_model: LogisticRegressionModel, numeric_cols=None) -> LinearTextModel:
-    """Weights table ``(term, idx, idf, coef)`` from the vocabulary and the coefficient vector.
 
-    L-BFGS leaves the coefficients on the driver; they go out as an Arrow table of many slices,
-    joined to the vocabulary by index."""
+def max_gradient(vectors: DataFrame, lr_model: LogisticRegressionModel, n_train: int) -> float:
+    """The largest partial derivative of the mean loss at a fitted model, by one aggregation over its rows' non-zeros."""
+    rows = lr_model.transform(vectors).select((vector_to_array("probability")[1] - F.col("label")).alias("r"), "indices", "x_values")
+    cells = rows.select("r", F.explode(F.arrays_zip(F.concat("indices", F.array(F.lit(-1))).alias("idx"),
+                                                    F.concat("x_values", F.array(F.lit(1.0))).alias("x"))).alias("c"))
+    sums = cells.groupBy(F.col("c.idx").cast("long").alias("idx")).agg(F.sum(F.col("r") * F.col("c.x")).alias("g"))
+    # a column in no row has the gradient of its penalty; the intercept (-1) has no penalty
+    both = sums.join(coefficient_table(lr_model, vectors.sparkSession), "idx", "full_outer")
+    slope = F.abs(F.coalesce("g", F.lit(0.0)) + F.coalesce("coef", F.lit(0.0))) / n_train
+    return float(both.agg(F.max(slope)).first()[0])
+
+
+def extract_weights(run: TrainingRun, lr_model: LogisticRegressionModel, numeric_cols=None) -> LinearTextModel:
+    """Weights table ``(term, idx, idf, coef)`` from the vocabulary and the coefficients, joined by index."""
     numeric_cols = tuple(numeric_cols if numeric_cols is not None else run.numeric_cols)
     spark = run.vocab.sparkSession
-    values = lr_model.coefficients.toArray()
-    coef = spark.createDataFrame(pa.table({"idx": np.arange(len(values), dtype=np.int64), "coef": values}))
+    coef = coefficient_table(lr_model, spark)
     text = run.vocab.select("term", "idx", "idf").join(coef, "idx")
     names = spark.createDataFrame([(c, run.n_text + k) for k, c in enumerate(numeric_cols)], "term string, idx long")
     nums = names.join(coef, "idx").select("term", "idx", F.lit(None).cast("double").alias("idf"), "coef")

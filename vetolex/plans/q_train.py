@@ -74,9 +74,9 @@ def q_assemble_hybrid(spark, sf):
 @query("train_logistic")
 def q_train_logistic(spark, sf):
     t = trained(spark, sf)
-    grad = TR.gradient_norm(t.run, t.model)
     return spark.createDataFrame(
-        [(t.run.n_train, t.run.n_train_all, t.run.n_text, t.run.n_text + 4, t.fit.iterations, True, float(t.lr.intercept), float(grad))],
+        [(t.run.n_train, t.run.n_train_all, t.run.n_text, t.run.n_text + 4, t.fit.iterations, t.fit.max_gradient <= TR.TOL,
+          float(t.lr.intercept), t.fit.max_gradient)],
         "n_train long, n_train_all long, n_text int, n_features int, iterations int, converged boolean, intercept double, max_gradient double")
 
 
