@@ -2,19 +2,20 @@
 
 A model is a weights table ``(term, idx, idf, coef)`` — text terms carry an idf,
 the four numeric features carry ``idf = null`` and the last four indices — plus an
-intercept.  Scoring is joins and grouped sums; whether the weights are broadcast is Spark's
-choice by their measured size.
+intercept.  Rows are scored in place while the weights are small enough to be broadcast, by their
+measured bytes, and else by joins and grouped sums.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalars as S
+from . import rowlocal
 from .text import by_row, term_occurrences
 
 WEIGHTS_SCHEMA = "term string, idx long, idf double, coef double"
@@ -59,6 +60,7 @@ class LinearTextModel:
     n_text: int                 # vocabulary size
     ngram_max: int = 2
     settings: TextSettings = SUPPORTED
+    _sent: list = field(default_factory=list, repr=False, compare=False)
 
     def __post_init__(self):
         bad = unsupported_settings(self.settings)
@@ -69,6 +71,13 @@ class LinearTextModel:
     def text_weights(self) -> DataFrame:
         return self.weights.where(F.col("idf").isNotNull())
 
+    def sent(self):
+        """The weights as tasks hold them, sent once; None if they are larger than the session lets broadcast now."""
+        bound = rowlocal.byte_limit(self.weights.sparkSession)
+        if not self._sent or self._sent[0] != bound:
+            self._sent[:] = [bound, rowlocal.packed(self.text_weights)]
+        return self._sent[1]
+
 
 def model_from_weights(weights: DataFrame, intercept: float, ngram_max: int = 2, settings: TextSettings = SUPPORTED) -> LinearTextModel:
     """Build a model from a weights table, checking that the numeric block is complete."""
@@ -135,8 +144,8 @@ def text_block(df: DataFrame, model: LinearTextModel, text: str = "text", id_col
                drivers: int | None = KEEP_DRIVERS) -> DataFrame:
     """Per row: normalised text logit and active text drivers (idx, token, weight).
 
-    ``drivers``: how many to keep, the strongest by rounded weight, ties by index (None: all).  They
-    are cut while the row's terms are gathered, so a long text does not carry all of them along."""
+    ``drivers``: how many to keep, the strongest by rounded weight, ties by index (None: all).  A row's
+    known terms are gathered and then cut, so only the kept ones travel on."""
     c = text_contributions(df, model, text, id_col)
     x = F.col("tf") * F.col("idf")
     own = F.collect_list(F.struct((-F.abs(F.round("coef", 4))).alias("key"), F.col("idx"), F.col("term").alias("token"),
@@ -160,19 +169,32 @@ def score_relational(df: DataFrame, model: LinearTextModel, text: str = "text",
                      drivers: int | None = KEEP_DRIVERS, rows: DataFrame | None = None) -> DataFrame:
     """Adds ``text_logit, logit, p1, model_prediction, text_drivers``.
 
-    Left join from the rows, so rows without any known term keep intercept + numerics.  ``rows``:
-    the raw rows by key that ``df`` was derived from; given, both branches read one exchange."""
+    Rows are scored where they are as long as the model's weights may be broadcast, by their measured bytes;
+    a larger model is joined (:func:`score_joined`).  Rows without any known term keep intercept + numerics."""
+    sent = model.sent()
+    if sent is None:
+        return score_joined(df, model, text, id_col, drivers, rows)
+    out = df.withColumn("_vx_tok", S.tokenize(text)).withColumn("_vx_s", rowlocal.text_score(F.col("_vx_tok"), sent, drivers))
+    return _decided(out.select(*df.columns, "_vx_s.text_logit", "_vx_s.text_drivers"), model)
+
+
+def score_joined(df: DataFrame, model: LinearTextModel, text: str = "text", id_col: str = "id",
+                 drivers: int | None = KEEP_DRIVERS, rows: DataFrame | None = None) -> DataFrame:
+    """The same by a join on the terms, for weights of any size: a left join back from the rows.
+
+    ``rows``: the raw rows by key that ``df`` was derived from; given, both branches read one exchange."""
     if rows is None:
         df = rows = by_row(df, id_col)
     tb = text_block(rows, model, text, id_col, drivers).withColumnRenamed("id", id_col)
     out = df.join(tb, id_col, "left")
-    logit = F.coalesce(F.col("text_logit"), F.lit(0.0)) + numeric_logit(model) + F.lit(model.intercept)
-    return (out.withColumn("text_logit", F.coalesce(F.col("text_logit"), F.lit(0.0)))
-            .withColumn("logit", logit)
+    return _decided(out.withColumn("text_logit", F.coalesce(F.col("text_logit"), F.lit(0.0))).withColumn(
+        "text_drivers", F.coalesce(F.col("text_drivers"), F.array().cast("array<struct<idx:bigint,token:string,weight:double>>"))), model)
+
+
+def _decided(df: DataFrame, model: LinearTextModel) -> DataFrame:
+    return (df.withColumn("logit", F.col("text_logit") + numeric_logit(model) + F.lit(model.intercept))
             .withColumn("p1", S.sigmoid("logit"))
-            .withColumn("model_prediction", F.when(F.col("logit") > 0, 1).otherwise(0))
-            .withColumn("text_drivers", F.coalesce(F.col("text_drivers"),
-                                                   F.array().cast("array<struct<idx:bigint,token:string,weight:double>>"))))
+            .withColumn("model_prediction", F.when(F.col("logit") > 0, 1).otherwise(0)))
 
 
 def numeric_drivers(model: LinearTextModel) -> Column:
@@ -215,7 +237,9 @@ def predict_sentiment(df: DataFrame, model: LinearTextModel, text: str = "text",
                       event_time: Column | None = None, keep_drivers: int = KEEP_DRIVERS) -> DataFrame:
     """Features → score → veto → confidence → flag → explained 8-field record (+ id)."""
     from .features import add_polarity_features
-    rows = by_row(df.select(id_col, text), id_col)
+    rows = df.select(id_col, text)
+    if model.sent() is None:
+        rows = by_row(rows, id_col)
     scored = resolve(score_relational(add_polarity_features(rows, text), model, text, id_col, keep_drivers, rows))
     ts = event_time if event_time is not None else F.current_timestamp()
     return scored.select(
@@ -232,7 +256,7 @@ def scored_frame(df: DataFrame, model: LinearTextModel, text: str = "text", exte
                  drivers: int | None = KEEP_DRIVERS) -> DataFrame:
     """Features + model + veto columns, used by the evaluation operators."""
     from .features import add_polarity_features
-    rows = by_row(df)
+    rows = df if model.sent() is not None else by_row(df)
     return resolve(score_relational(add_polarity_features(rows, text, extended_words=extended_words), model, text, drivers=drivers, rows=rows))
 
 
