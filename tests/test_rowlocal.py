@@ -10,7 +10,7 @@ from tests.test_train import EDGE_TEXTS
 from vetolex.operators import model as M
 from vetolex.operators import rowlocal
 from vetolex.operators.features import add_polarity_features
-from vetolex.sources.tables import posts_all
+from vetolex.sources.tables import files_state, posts_all, read_table, spread
 from vetolex.streaming.score import CONVERSATION_SCHEMA, run_stream_score, score_batch
 
 
@@ -35,7 +35,7 @@ def test_equals_the_joined_form(spark, small_dir, drivers):
 
 def test_nothing_is_shuffled(spark, small_dir):
     model = M.fixed_model(spark)
-    docs = posts_all(spark, small_dir)
+    docs = read_table(spark, small_dir, "documents").selectExpr("doc_id AS id", "text")
     for df in (M.predict_sentiment(docs, model), M.scored_frame(docs, model), M.score_relational(add_polarity_features(docs), model)):
         assert "ArrowEvalPython" in plan(df) and not re.search("Exchange|Join|Aggregate|Sort", plan(df))
 
@@ -115,3 +115,22 @@ def test_a_model_too_large_to_send_streams_through_the_batch_plan(spark, small_d
         assert got == {(r.conv_id, r.turn): r.confidence for r in want.collect()} and len(got) == 12
     finally:
         spark.conf.set(key, held)
+
+
+def test_small_tables_are_spread_and_filters_still_reach_the_scan(spark, small_dir, monkeypatch):
+    from vetolex.sources import tables
+    docs = read_table(spark, small_dir, "documents")
+    out = spread(docs.select("doc_id", "text")).where("doc_id < 5").select("doc_id")
+    assert out._jdf.rdd().getNumPartitions() == spark.sparkContext.defaultParallelism and out.count() == docs.where("doc_id < 5").count()
+    assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,5)]" in plan(out) and "text" not in plan(out)
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 10)
+    assert "Exchange" not in plan(spread(docs))
+
+
+def test_a_table_replaced_in_place_is_another(spark, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    states = []
+    for n in (3, 4):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        states.append(files_state(spark.read.parquet(path)))
+    assert states[0] != states[1] and states[1] == files_state(spark.read.parquet(path))

@@ -27,14 +27,14 @@ from .model import LinearTextModel, model_from_weights
 from .split import split_hash, stratified_split
 
 #: A fit whose mean loss has a partial derivative above TOL is refused; the solver's own tolerance is tighter.
-MAX_ITER, TOL, SOLVER_TOL = 300, 1e-6, 1e-12
+MAX_ITER, TOL, SOLVER_TOL = 300, 1e-6, 1e-10
 #: Weight of the two rows that set the scale of the text columns.
 WEIGHTLESS = 1e-20
 #: Bound on the labelled rows a model is fitted on (by split hash, so the choice is fixed); it bounds the
 #: vocabulary and the coefficient vectors that the driver keeps.  Scoring has no bound.
 MAX_FIT_ROWS = 1_000_000
 #: Non-zeros in a partition of training vectors, about 12 bytes each, and as many as make a core worth while.
-NNZ_PER_PARTITION, NNZ_PER_CORE = 4_000_000, 100_000
+NNZ_PER_PARTITION, NNZ_PER_CORE = 4_000_000, 500_000
 #: Megabytes of a block of vectors that MLlib multiplies at once.
 BLOCK_MB = 4.0
 

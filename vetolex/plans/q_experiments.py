@@ -14,7 +14,7 @@ from ..operators import evaluate as E
 from ..operators import experiments as X
 from ..operators import model as M
 from ..sources.tables import posts, posts_all
-from .q_train import trained
+from .q_train import tables_state, trained
 from .registry import query
 
 _FITS: dict = {}
@@ -22,7 +22,7 @@ _FITS: dict = {}
 
 def fits(spark, sf) -> X.BoostFits:
     """Fits of this session over the tables as they are now, like :func:`trained`."""
-    files = tuple(sorted(posts(spark, sf).inputFiles())), sf
+    files = tables_state(spark, sf)
     held = _FITS.get(files)
     if held is None or held.spark is not spark:
         _FITS.clear()

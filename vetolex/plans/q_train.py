@@ -16,7 +16,7 @@ from ..operators import model as M
 from ..operators import persist as PS
 from ..operators import train as TR
 from ..session import cut
-from ..sources.tables import POSTS_SCHEMA, posts, posts_all, scan_csv
+from ..sources.tables import POSTS_SCHEMA, files_state, posts, posts_all, read_table, scan_csv
 from . import sqlfrag as Q
 from .q_model import VAL, f1_sql, scored, scored_cte
 from .registry import query
@@ -50,10 +50,14 @@ class Trained:
 _MEMO: dict = {}
 
 
+def tables_state(spark, sf) -> tuple:
+    return tuple(files_state(read_table(spark, sf, name)) for name in ("documents", "labels"))
+
+
 def trained(spark, sf) -> Trained:
-    """The model of this session and of the tables as they are now: a fit is kept per files read, and
-    never across sessions."""
-    files = tuple(sorted(posts(spark, sf).inputFiles())), sf
+    """The model of this session and of the tables as they are now: a fit is kept per path, size and time of
+    the files read, and never across sessions."""
+    files = tables_state(spark, sf)
     held = _MEMO.get(files)
     if held is None or held.spark is not spark:
         _MEMO.clear()

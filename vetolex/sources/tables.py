@@ -57,6 +57,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+#: Bytes up to which a table is dealt over all cores: its few files or row groups would keep most of them idle.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's rows dealt over the cores; a larger one as it is, since its splits fill them and a shuffle costs more.
+
+    The size is the one that Spark estimates from the files.  Filters and unread columns still reach the scan."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
+def files_state(df: DataFrame) -> tuple:
+    """Path, size and time of the files that a scan reads, so that a table replaced in place counts as another."""
+    m = F.col("_metadata")
+    rows = df.select(m["file_path"].alias("p"), m["file_size"].alias("s"), m["file_modification_time"].alias("t")).distinct().collect()
+    return tuple(sorted((r["p"], r["s"], str(r["t"])) for r in rows))
+
+
 def post_suffix(doc_id) -> F.Column:
     arr = F.array(*[F.lit(s) for s in POST_SUFFIXES])
     k = (F.col(doc_id) % F.lit(len(POST_SUFFIXES))).cast("int") + 1
@@ -65,7 +84,7 @@ def post_suffix(doc_id) -> F.Column:
 
 def posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``posts_all(id, text)``: every document, whole text plus its suffix."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("id"),
                        F.concat(F.col("text"), post_suffix("doc_id")).alias("text"))
 
@@ -80,6 +99,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("doc_id", F.col("quality").cast("int").alias("label")))
     # the suffix is never null, so the null test is on the stored text (pushed into the scan)
     docs = read_table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    docs = spread(docs)
     return (docs.join(labels, "doc_id")
             .select(F.col("doc_id").alias("id"), "label",
                     F.concat(F.col("text"), post_suffix("doc_id")).alias("text")))
