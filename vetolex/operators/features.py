@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalars as S
+from . import versions
 
 
 def add_polarity_features(df: DataFrame, text_col: str = "text", boost=L.EMOJI_BOOST,
@@ -61,5 +64,46 @@ def validate_features(df: DataFrame, required=("label", "text") + L.NUMERIC_FEAT
 
 
 def build_feature_table(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Features added to a clean corpus (validation and sink are separate operators)."""
+    """Features added to a clean corpus; :func:`write_feature_table` also validates and stores them."""
     return add_polarity_features(df, text_col)
+
+
+class InvalidFeatures(ValueError):
+    """Rows that a feature table must not have; the message names the checks that they fail."""
+
+
+def write_feature_table(df: DataFrame, path: str, text_col: str = "text",
+                        required=("label", "text") + L.NUMERIC_FEATURES) -> DataFrame:
+    """Build, validate and store the feature table in one pass, as a new version under ``path``.
+
+    The checks of :func:`validate_features` are counted by ``observe`` while the rows are written, and the version is
+    published only if all pass.  Otherwise its files go, the version before stays, and
+    :class:`InvalidFeatures` is raised.  An empty table is valid.  Returns the checks, one row each, with the
+    number of rows written."""
+    feats = build_feature_table(df, text_col)
+    missing = [c for c in required if c not in feats.columns]
+    if missing:
+        raise InvalidFeatures(f"required_columns: {missing}")
+    counts = {"no_nulls": sum((F.count_if(F.col(c).isNull()) for c in feats.columns), F.lit(0)),
+              "non_negative_counts": sum((F.count_if(F.col(c) < 0) for c in L.NUMERIC_FEATURES), F.lit(0)),
+              "binary_labels": F.count_if(~F.col("label").isin(0, 1)) if "label" in required else F.lit(0)}
+    seen = Observation(f"features-{uuid.uuid4().hex}")
+    observed = feats.observe(seen, F.count(F.lit(1)).alias("rows"), *[e.cast("long").alias(n) for n, e in counts.items()])
+
+    def write(folder: str) -> None:
+        observed.write.parquet(folder)
+        bad = {n: seen.get[n] for n in counts if seen.get[n]}
+        if bad:
+            raise InvalidFeatures(", ".join(f"{n}: {v} violations" for n, v in bad.items()))
+
+    versions.commit(df.sparkSession, path, write)
+    return df.sparkSession.createDataFrame([(n, int(seen.get[n]), True, int(seen.get["rows"])) for n in counts],
+                                           "check string, violations long, passed boolean, rows long")
+
+
+def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
+    """The feature table published last under ``path``."""
+    folder = versions.current(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no feature table is published under {path}")
+    return spark.read.parquet(folder)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,35 @@ def metric_gate(metrics: DataFrame, benchmark: float, metric: str = "f1") -> Dat
                           (value >= benchmark).alias("passed"))
 
 
+RUNS = "seq long, metric string, value double, benchmark double, accepted boolean, at timestamp"
+
+
+def runs(spark: SparkSession, history: str) -> DataFrame:
+    """The metrics history at ``history``: a row per gated run, empty before the first."""
+    try:
+        return spark.read.schema(RUNS).json(history)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], RUNS)
+        raise
+
+
+def gate_against_history(metrics: DataFrame, history: str, metric: str = "f1", tolerance: float = 0.0) -> DataFrame:
+    """The rounded metric against that of the last accepted run, less ``tolerance``; the run is recorded, then a failed one raises.
+
+    A run without a metric fails; the first run that has one sets the benchmark."""
+    spark = metrics.sparkSession
+    held = runs(spark, history).where(F.col("metric") == metric)
+    last = held.where("accepted").orderBy(F.col("seq").desc()).limit(1).collect()
+    seq = held.agg(F.max("seq")).first()[0] or 0
+    value = metrics.select(F.round(metric, 4)).first()[0]
+    benchmark = last[0]["value"] if last else None
+    passed = value is not None and (benchmark is None or value >= benchmark - tolerance)
+    row = spark.createDataFrame([(seq + 1, metric, value, benchmark, passed)], "seq long, metric string, value double, benchmark double, accepted boolean")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(history)
+    return enforce(row.select("metric", "value", "benchmark", F.col("accepted").alias("passed")), metric)
+
+
 def sign_gate(weights: DataFrame) -> DataFrame:
     """Positive emoji weigh towards the positive class, negative ones against it."""
     w = weights.where(F.col("term").isin("emoji_pos_count", "emoji_neg_count"))

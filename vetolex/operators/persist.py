@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
+from . import versions
 from .model import SUPPORTED, LinearTextModel, TextSettings, model_from_weights
 
 
@@ -33,16 +34,25 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
 
 
 def save_model(model: LinearTextModel, path: str) -> str:
-    """Weights ``(term, idx, idf, coef)`` as parquet plus a one-row params table with the model's settings."""
+    """Weights ``(term, idx, idf, coef)`` as parquet plus a one-row params table, as a new version under ``path``.
+
+    The version is published when both are written, so a reader never pairs old weights with new params.
+    Returns the version's folder, which :func:`load_model` takes too."""
     spark = model.weights.sparkSession
-    model.weights.write.mode("overwrite").parquet(os.path.join(path, "weights"))
-    params = spark.createDataFrame([Row(intercept=model.intercept, n_text=model.n_text, **asdict(model.settings))])
-    params.coalesce(1).write.mode("overwrite").json(os.path.join(path, "params"))
-    return path
+
+    def write(folder: str) -> None:
+        model.weights.write.parquet(f"{folder}/weights")
+        params = spark.createDataFrame([Row(intercept=model.intercept, n_text=model.n_text, **asdict(model.settings))])
+        params.coalesce(1).write.json(f"{folder}/params")
+
+    return versions.commit(spark, path, write)
 
 
 def load_model(spark: SparkSession, path: str) -> LinearTextModel:
-    """Reload; raises if params are missing, sizes disagree, or the settings are not what the scorer reproduces."""
+    """The version published last under ``path``, or the version whose folder ``path`` is.
+
+    Raises if params are missing, sizes disagree, or the settings are not what the scorer reproduces."""
+    path = versions.current(spark, path) or path
     weights = spark.read.parquet(os.path.join(path, "weights"))
     params = spark.read.json(os.path.join(path, "params")).first()
     names = [f.name for f in fields(TextSettings)]

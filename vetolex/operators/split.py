@@ -25,23 +25,24 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "id", se
                      val_fraction: float = VAL_FRACTION, split_col: str = "split") -> DataFrame:
     """Adds the split; rows are compared with their label's last validation key, in one pass and without a join.
 
-    The key column and the label are read first: a histogram of the hash prefixes (at most 65,536 rows a
-    label) finds the bucket in which a label's validation part ends, and only the rows of those buckets,
-    about one in 65,536, are ranked to find the last ``(hash, id)`` in it."""
+    One query over the key column and the label finds the last key of each label: a histogram of the hash
+    prefixes (at most 65,536 rows a label) has the bucket in which a label's validation part ends, and only the
+    rows of those buckets, about one in 65,536, are ranked."""
     keys = df.select(F.col(label).alias("_l"), F.col(id_col).alias("_i"), split_hash(id_col, seed).alias("_h")).withColumn(
         "_b", F.substring("_h", 1, BUCKET_HEX))
     hist = keys.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     per_label = Window.partitionBy("_l")
     running = per_label.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    ends = hist.select("_l", "_b", "_cnt", F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_before"),
+    ends = hist.select(F.col("_l").alias("_el"), F.col("_b").alias("_eb"), "_cnt", F.coalesce(F.sum("_cnt").over(running), F.lit(0)).alias("_before"),
                        F.round(F.sum("_cnt").over(per_label) * F.lit(val_fraction)).cast("bigint").alias("_nval"))
-    ends = ends.where((F.col("_before") < F.col("_nval")) & (F.col("_before") + F.col("_cnt") >= F.col("_nval"))).collect()  # one row a label
+    ends = ends.where((F.col("_before") < F.col("_nval")) & (F.col("_before") + F.col("_cnt") >= F.col("_nval")))  # one row a label
+    bucket = keys.join(F.broadcast(ends), F.col("_l").eqNullSafe(F.col("_el")) & (F.col("_b") == F.col("_eb")))
+    place = F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_i"))
+    last = bucket.withColumn("_p", place).where(F.col("_p") == F.col("_nval") - F.col("_before")).select("_l", "_h", "_i").collect()
     inside = F.lit(False)
-    for r in ends:
-        bucket = keys.where(F.col("_l").eqNullSafe(F.lit(r["_l"])) & (F.col("_b") == r["_b"])).select("_h", "_i")
-        last = bucket.orderBy("_h", "_i").limit(int(r["_nval"] - r["_before"])).agg(F.max(F.struct("_h", "_i")).alias("m")).first()["m"]
-        h = split_hash(id_col, seed)
-        upto = (h < last["_h"]) | ((h == last["_h"]) & (F.col(id_col) <= F.lit(last["_i"])))
+    h = split_hash(id_col, seed)
+    for r in last:
+        upto = (h < r["_h"]) | ((h == r["_h"]) & (F.col(id_col) <= F.lit(r["_i"])))
         inside = inside | (F.col(label).eqNullSafe(F.lit(r["_l"])) & upto)
     return df.withColumn(split_col, F.when(inside, "val").otherwise("train"))
 

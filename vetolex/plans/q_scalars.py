@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import scalars as S
+from ..functions.sql_functions import register_sql_functions
 from ..operators.features import add_polarity_features
 from ..sources.tables import posts, posts_all
 from . import sqlfrag as Q
@@ -177,3 +178,17 @@ def q_classify_archetype(spark, sf):
     f"SELECT id, CASE WHEN label = 1 THEN 'Positive' ELSE 'Negative' END AS label_name FROM {P}"))
 def q_label_decode(spark, sf):
     return posts(spark, sf).select("id", S.label_decode("label").alias("label_name"))
+
+
+@query("sql_functions", lambda: (
+    f"WITH f AS (SELECT id, {Q.polarity_select('text')} FROM {PA}) SELECT *, {Q.veto_fires('emoji_neg_count', 'emoji_pos_count', 'word_pos_count')} AS veto_applied, "
+    f"{Q.veto_confidence('emoji_neg_count', 'emoji_pos_count')} AS veto_confidence FROM f"))
+def q_sql_functions(spark, sf):
+    """The rules called from SQL as temporary functions, over every post."""
+    register_sql_functions(spark)
+    return spark.sql("""
+        SELECT *, vx_sarcasm_veto(emoji_neg_count, emoji_pos_count, word_pos_count) AS veto_applied,
+               vx_veto_confidence(emoji_neg_count, emoji_pos_count) AS veto_confidence
+        FROM (SELECT id, vx_emoji_pos_count(text) AS emoji_pos_count, vx_emoji_neg_count(text) AS emoji_neg_count,
+                     vx_word_pos_count(text) AS word_pos_count, vx_word_neg_count(text) AS word_neg_count FROM {posts})
+        """, posts=posts_all(spark, sf))
