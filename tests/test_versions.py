@@ -110,3 +110,13 @@ def test_runs_are_gated_by_the_last_accepted_one(spark, tmp_path):
     rows = [(r.seq, r.value, r.accepted) for r in G.runs(spark, history).orderBy("seq").collect()]
     assert rows == [(1, 0.8123, True), (2, 0.8, False), (3, None, False), (4, 0.8, True), (5, 0.805, True)]
     assert G.gate_against_history(metric(0.1).withColumnRenamed("f1", "accuracy"), history, "accuracy").first().benchmark is None
+
+
+def test_a_fitted_model_predicts_in_a_session_that_has_observed(spark, tmp_path):
+    """An observation in the session must not keep a fitted model from travelling to the tasks."""
+    from tests.test_train import corpus
+    from vetolex.operators import train as TR
+    df = spark.createDataFrame(corpus(40), POSTS)
+    FE.write_feature_table(df, str(tmp_path / "f"))
+    run, fit, _, vec = TR.trained_run(df)
+    assert TR.score_mllib(fit.model, vec).count() == run.n_train

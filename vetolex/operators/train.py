@@ -24,6 +24,7 @@ from ..session import cut
 from . import text as T
 from .features import add_polarity_features
 from .model import LinearTextModel, model_from_weights
+from .persist import scratch_path
 from .split import split_hash, stratified_split
 
 #: A fit whose mean loss has a partial derivative above TOL is refused; the solver's own tolerance is tighter.
@@ -149,11 +150,15 @@ def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter:
     weighted = weighted.unionByName(_scale_rows(spark, weighted.schema, n_text, width, rows)).repartition(parts)
     lr = LogisticRegression(regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False, weightCol="weight", tol=SOLVER_TOL,
                             maxIter=max_iter, aggregationDepth=2, maxBlockSizeInMB=BLOCK_MB)
-    model = lr.fit(weighted)
+    fitted = lr.fit(weighted)
+    # read back without its training summary, which holds the session and would travel with every prediction
+    path = scratch_path(spark, "logistic")
+    fitted.save(path)
+    model, steps = LogisticRegressionModel.load(path), fitted.summary.totalIterations
     worst = max_gradient(data, model, n_train)
     if not worst <= tol:
-        raise NotConverged(f"a partial derivative of {worst:.2g} after {model.summary.totalIterations} iterations, above {tol:.2g}")
-    return Fit(model, model.summary.totalIterations, worst)
+        raise NotConverged(f"a partial derivative of {worst:.2g} after {steps} iterations, above {tol:.2g}")
+    return Fit(model, steps, worst)
 
 
 def coefficient_table(lr_model: LogisticRegressionModel, spark: SparkSession) -> DataFrame:
