@@ -14,8 +14,8 @@ def shingle_set(text, k=4):
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = [shingle_set(t) for _, t in rows]
+def brute(rows, k=4):
+    sets = [shingle_set(t, k) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(i):

@@ -112,6 +112,6 @@ def manifest(sharded: DataFrame, n_dims: int) -> DataFrame:
                                                                            for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
+def write_shards(sharded: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
     """One folder per shard, rows in slot order within each file."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    sharded.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
