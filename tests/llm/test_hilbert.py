@@ -31,6 +31,36 @@ def test_query_law_rows_and_slots(spark, small_dir):
     assert ordered.curve.is_monotonic_increasing
 
 
+def test_every_row_against_brute_force(spark, small_dir):
+    """Cells, curve, ranking, shard and slot of every row, computed one row at a time."""
+    import duckdb
+    import xxhash
+    rows = duckdb.sql(f"select doc_id, source, lang, text from '{small_dir}/documents.parquet'").fetchall()
+    sizes = sorted(len((t or "").encode()) + 1 for *_, t in rows)
+    cuts = sorted({sizes[-(-len(sizes) * i // 32) - 1] for i in range(1, 32)})
+
+    def hashed(value):
+        if value is None:
+            return 0
+        h = xxhash.xxh64_intdigest(value.encode(), seed=42)
+        return (h - (1 << 64) if h >> 63 else h) % 32
+
+    want = []
+    for doc_id, source, lang, text in rows:
+        raw = (text or "").encode()
+        cells = [hashed(source), hashed(lang), sum(c < len(raw) + 1 for c in cuts)]
+        want.append((int(hilbert_index(np.array(cells)[:, None], 5)[0]), zlib.crc32(raw), doc_id))
+    want.sort()
+    n, begins = len(want), {}
+    for rank, (curve, crc, doc_id) in enumerate(want):
+        begins.setdefault(rank * 16 // n, rank)
+    got = {r["doc_id"]: r for r in op1(spark, small_dir).collect()}
+    assert len(got) == n
+    for rank, (curve, crc, doc_id) in enumerate(want):
+        r, shard = got[doc_id], rank * 16 // n
+        assert (r["curve"], r["text_crc32"], r["shard"], r["slot"]) == (curve, crc, shard, rank - begins[shard])
+
+
 def test_edges(spark, write_sf):
     rows = [(1, None, None), (2, ""), (3, "é" * 1000), (3, "é" * 1000), (None, "a", None, None)]
     out = op1(spark, write_sf(rows)).toPandas()

@@ -56,6 +56,11 @@ def curve_column(cells: list[F.Column], bits: int) -> F.Column:
     return index(*cells)
 
 
+def _below(value: F.Column):
+    """A test of one argument: ``F.filter`` would pass a second one the position."""
+    return lambda v: v < value
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int) -> list[F.Column]:
     """One cell column per dimension.
 
@@ -74,8 +79,7 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> list[F.Column]:
     for c in dims:
         if c in cuts:
             arr = F.array(*[F.lit(v) for v in cuts[c]]) if cuts[c] else F.array().cast("array<double>")
-            value = F.col(c)
-            cell = F.size(F.filter(arr, lambda v, value=value: v < value))
+            cell = F.size(F.filter(arr, _below(F.col(c))))
         else:
             cell = F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(size)).cast("int")
         out.append(F.when(F.col(c).isNull(), 0).otherwise(cell).cast("long"))
