@@ -72,3 +72,72 @@ def test_edges(spark, write_sf):
         out = op3(spark, write_sf(rows, labels=table)).toPandas()
         assert len(out) == 7 and out.score.between(0, 1).all() and set(out.predicted) <= {0, 1}
     assert op3(spark, write_sf([], labels=labels)).count() == 0
+
+
+def forward(embed, filters, weights, bias, raw):
+    """The logit of one text, word by word and filter by filter, without numpy products of whole texts."""
+    import xxhash
+    mask = (1 << toxicity.BUCKET_BITS) - 1
+    vectors = [sum(embed[(xxhash.xxh3_64_intdigest(w[:n], seed=i) & mask) + (i << toxicity.BUCKET_BITS)] for i, n in enumerate(toxicity.BEGINNINGS))
+               for w in raw.split()]
+    z, at = bias, 0
+    for width, f in zip(toxicity.WIDTHS, filters):
+        for c in range(toxicity.FILTERS):
+            sums = [sum(float(vectors[i + j] @ f[j, :, c]) for j in range(width)) for i in range(len(vectors) - width + 1)]
+            z += weights[at] * max([0.0, *sums])
+            at += 1
+    return z
+
+
+def start_model(rng):
+    return ((rng.standard_normal((len(toxicity.BEGINNINGS) << toxicity.BUCKET_BITS, toxicity.SIZE)) * 0.1).astype(np.float32),
+            [(rng.standard_normal((w, toxicity.SIZE, toxicity.FILTERS)) / np.sqrt(w * toxicity.SIZE)).astype(np.float32) for w in toxicity.WIDTHS])
+
+
+def test_forward_pass_against_loops():
+    rng = np.random.default_rng(1)
+    embed, filters = start_model(rng)
+    weights = rng.standard_normal(len(toxicity.WIDTHS) * toxicity.FILTERS).astype(np.float32)
+    model = toxicity.Model(embed, filters, weights, 0.25, np.zeros(len(toxicity.LANGUAGES) + 1))
+    for n in (0, 1, 2, 3, 40):
+        raw = " ".join(f"word{x}" for x in rng.integers(0, 30, n)).encode()
+        want = forward(embed.astype(float), [f.astype(float) for f in filters], weights.astype(float), 0.25, raw)
+        ids = toxicity.WordIds().ids(raw)
+        for step in (1, 7, 4096):  # texts in pieces have the maxima of the whole
+            assert abs(model.logit(ids, step) - want) < 1e-4
+
+
+def test_gradient_of_one_step_against_differences(monkeypatch):
+    """The first step moves a parameter by a known function of its gradient; that gradient is held against differences of the loss."""
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(25)}" for _ in range(8)).encode() for _ in range(60)]
+    y = np.array([i % 2 for i in range(60)])
+    after = toxicity.fit(texts, y, seed=3)
+    rng = np.random.default_rng(3)
+    embed, filters = start_model(rng)
+    train = rng.permutation(60)[12:]
+    classes = [train[y[train] == k] for k in (1, 0)]
+    batch = np.concatenate([c[rng.integers(0, len(c), toxicity.BATCH // 2)] for c in classes])
+    params = {"embed": embed.astype(float), **{f"f{i}": f.astype(float) for i, f in enumerate(filters)}, "weights": np.zeros(len(toxicity.WIDTHS) * toxicity.FILTERS) + 0.1}
+    moved = {"embed": after.embed, **{f"f{i}": f for i, f in enumerate(after.filters)}, "weights": after.weights}
+
+    def loss():
+        z = [forward(params["embed"], [params[f"f{i}"] for i in range(len(filters))], params["weights"], 0.0, texts[i]) for i in batch]
+        return np.mean([np.log1p(np.exp(-v if y[i] else v)) for v, i in zip(z, batch)])
+
+    checked = 0
+    for name, rate in (("weights", 0.045), ("f0", 0.045), ("f1", 0.045), ("f2", 0.045), ("embed", 0.15)):
+        p, r = params[name], (params[name] - moved[name].astype(float)) / rate
+        implied = np.where(np.abs(r) < 1, np.sign(r) * 1e-3 * np.abs(r) / np.sqrt(np.maximum(1 - r * r, 1e-12)), np.nan)
+        clear = np.argwhere((np.abs(r) > 0.2) & (np.abs(r) < 0.999))
+        for at in map(tuple, clear[:: max(1, len(clear) // 3)][:3]):
+            old, ends = p[at], []
+            for eps in (1e-5, -1e-5):
+                p[at] = old + eps
+                ends.append(loss())
+            p[at] = old
+            slope = (ends[0] - ends[1]) / 2e-5
+            assert abs(slope - implied[at]) < 0.03 * abs(slope) + 1e-5, (name, at, slope, implied[at])
+            checked += 1
+    assert checked >= 9
