@@ -67,3 +67,21 @@ def test_edges_and_random_access(spark, make_docs, write_sf, whole, tmp_path):
     bitpack.write_packed(make_docs(rows), path, PATH, 50_257, 2, block_ids=64)
     assert [x.tolist() for x in bitpack.document_ids(spark, path, 14)] == [[*whole(TEXTS[14]), 2]]
     assert len(bitpack.document_ids(spark, path, 100)) == 2
+    blocks = spark.read.parquet(path)
+    assert blocks.where("low <= 14 and high >= 14").count() < blocks.count()
+    assert bitpack.document_ids(spark, path, -1) == []
+
+
+def test_equal_ids_have_one_order_and_null_ids_come_first(spark, make_docs, tmp_path, whole):
+    rows = [(7, f"tie {i} " * (1 + i % 3)) for i in range(40)] + [(7, "tie 0 ")] * 3 + [(None, f"none {i}") for i in range(9)] + [(8, None), (6, "before")]
+    seen = []
+    for i, order in enumerate((rows, rows[::-1], rows[20:] + rows[:20])):
+        path = str(tmp_path / f"packed{i}")
+        bitpack.write_packed(make_docs(order).repartition(1 + 2 * i), path, PATH, 50_257, 2, block_ids=50)
+        seen.append(sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in bitpack.read_packed(spark, path).collect()))
+    assert seen[0] == seen[1] == seen[2]
+    assert [d for _, d, _, _ in seen[0]] == [None] * 9 + [6] + [7] * 43 + [8]
+    assert [a for a, *_ in seen[0]] == [0, *np.cumsum([n for _, _, n, _ in seen[0]])[:-1]]
+    lengths = {len(whole(t)) + 1 for d, t in rows if d == 7}
+    assert {n for _, d, n, _ in seen[0] if d == 7} == lengths
+    assert len(bitpack.document_ids(spark, str(tmp_path / "packed2"), 7)) == 43

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 
 BLOCK_IDS = 1 << 16
-BLOCKS = "part int, first long, doc_ids array<long>, offsets array<long>, width int, payload binary"
+BLOCKS = "part int, first long, low long, high long, doc_ids array<long>, offsets array<long>, width int, payload binary"
 READ = "part int, at long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -176,8 +176,10 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
     """Encode every whole text (null: empty), append ``end_id``, write packed blocks in doc_id order.
 
     One shuffle, by range of doc_id; each task then encodes and packs its range as a stream, so
-    memory holds one block (of one document, if that is longer).  Null ids come first; repeated
-    rows are written as often as they occur; an empty table gives a folder without blocks."""
+    memory holds one block (of one document, if that is longer).  Null ids come first; rows with
+    equal or no id follow each other by a hash of the text, then the text, and may be cut between
+    tasks, so reruns agree on every place; repeated rows are written as often as they occur; an
+    empty table gives a folder without blocks."""
     width = width_for(max(vocabulary, end_id + 1))
     end = np.array([end_id], "<u4")
 
@@ -187,9 +189,10 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
 
         def flush() -> pa.RecordBatch:
             nonlocal first, held, raw, lengths, ids
-            values = np.concatenate(raw)
+            values, known = np.concatenate(raw), [x for x in ids if x is not None]
             out = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()),
+                "low": pa.array([min(known, default=None)], pa.int64()), "high": pa.array([max(known, default=None)], pa.int64()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
                 "offsets": pa.array([np.r_[0, np.cumsum(lengths)].tolist()], pa.list_(pa.int64())),
                 "width": pa.array([width], pa.int32()), "payload": pa.array([pack(values, width)], pa.binary())})
@@ -207,7 +210,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         if ids:
             yield flush()
 
-    (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+     .repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
      .mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(path))
 
 
@@ -239,8 +243,9 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
 def document_ids(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
     """Random access: the ids of one document (once per stored copy).
 
-    Only blocks whose range of ids can hold it are read, and of their payload only its bytes."""
-    found = (spark.read.parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id)))
+    Every block stores its least and largest id, which the reader's statistics compare before a list
+    of ids or a payload is read."""
+    found = (spark.read.parquet(path).where((F.col("low") <= doc_id) & (F.col("high") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id)))
              .select("doc_ids", "offsets", "width", "payload").toLocalIterator())
     return [unpack(r["payload"], r["width"], r["offsets"][i], r["offsets"][i + 1] - r["offsets"][i])
             for r in found for i, d in enumerate(r["doc_ids"]) if d == doc_id]
