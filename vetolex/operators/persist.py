@@ -33,6 +33,18 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
+def sink_bucketed(df: DataFrame, buckets: int, by: str = "id", name: str | None = None) -> DataFrame:
+    """Rows stored as a table of ``buckets`` hash buckets of ``by``, each sorted by it; the returned table is read from there.
+
+    The rows are shuffled this once.  Groupings and joins on ``by`` (and on keys that contain it) then need no exchange
+    of the table, so texts that are featurised or scored again and again stay where they are.  One file per bucket:
+    ``buckets`` is chosen so that a bucket fits a task."""
+    name = name or f"vetolex_{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def save_model(model: LinearTextModel, path: str) -> str:
     """Weights ``(term, idx, idf, coef)`` as parquet plus a one-row params table, as a new version under ``path``.
 

@@ -36,9 +36,10 @@ def term_occurrences(df: DataFrame, text: str = "text", id_col: str = "id", n_ma
     return S.explode_nonempty(grams.withColumnRenamed(id_col, "id") if id_col != "id" else grams, F.col("_g"), "term", "id")
 
 
-def term_frequency(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2) -> DataFrame:
-    """``(id, term, tf)`` — raw in-row counts, partitioned by ``id``."""
-    rows = by_row(df.select(id_col, text), id_col)
+def term_frequency(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2, placed: bool = False) -> DataFrame:
+    """``(id, term, tf)`` — raw in-row counts, partitioned by ``id``; ``placed`` rows are stored that way (``sink_bucketed``)."""
+    rows = df.select(id_col, text)
+    rows = rows if placed else by_row(rows, id_col)
     return term_occurrences(rows, text, id_col, n_max).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -90,12 +91,12 @@ def tfidf_transform(tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def fit_tfidf(df: DataFrame, text: str = "text", id_col: str = "id", n_max: int = 2,
-              min_df: int = 2, max_df: float = 0.95, keep: bool = True):
+              min_df: int = 2, max_df: float = 0.95, keep: bool = True, placed: bool = False):
     """Fit on ``df``: returns ``(tf, vocab, n_docs)``.
 
     With ``keep`` the term counts and the vocabulary are written to the shared folder once, because
     fitting and transforming both read them; a fit alone needs neither."""
-    tf = term_frequency(df, text, id_col, n_max)
+    tf = term_frequency(df, text, id_col, n_max, placed)
     if keep:
         tf = cut(tf)
     n_docs = df.count()

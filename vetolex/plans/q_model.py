@@ -9,6 +9,7 @@ from ..functions import lexicons as L
 from ..functions import scalars as S
 from ..operators import evaluate as E
 from ..operators import model as M
+from ..operators import persist as PS
 from ..operators import text as T
 from ..operators.split import split_sql, stratified_split
 from ..sources.tables import posts, posts_all
@@ -93,21 +94,38 @@ def q_idf_fit(spark, sf):
     return vocab.select("term", F.col("df").cast("bigint"), F.round("idf", 6).alias("idf"))
 
 
-@query("tfidf_transform", lambda: (
+#: hash buckets of the stored rows; a deployment takes as many as keep a bucket within a task's memory
+BUCKETS = 16
+
+TFIDF_SQL = (
     TF_SQL + ", x AS (SELECT tf.id, tf.term, tf.tf * v.idf AS x FROM tf JOIN v ON tf.term = v.term), "
     "nrm AS (SELECT id, sqrt(sum(x * x)) AS norm FROM x GROUP BY id), "
     "val AS (SELECT x.id, x.x / nrm.norm AS value FROM x JOIN nrm ON x.id = nrm.id) "
     "SELECT id, CAST(count(*) AS BIGINT) AS nnz, round(sum(value), 6) AS sum_value, round(sum(value * value), 6) AS sum_sq, "
-    "round(max(value), 6) AS max_value FROM val GROUP BY id"))
-def q_tfidf_transform(spark, sf):
-    docs = posts_all(spark, sf)
-    tf, vocab, _ = T.fit_tfidf(docs)
-    v = T.tfidf_transform(tf, vocab)
+    "round(max(value), 6) AS max_value FROM val GROUP BY id")
+
+
+def row_sums(v):
     return v.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("nnz"), F.round(F.sum("value"), 6).alias("sum_value"),
                                F.round(F.sum(F.col("value") * F.col("value")), 6).alias("sum_sq"),
                                F.round(F.max("value"), 6).alias("max_value"))
 
 
+@query("tfidf_transform", lambda: TFIDF_SQL)
+def q_tfidf_transform(spark, sf):
+    docs = posts_all(spark, sf)
+    tf, vocab, _ = T.fit_tfidf(docs)
+    return row_sums(T.tfidf_transform(tf, vocab))
+
+
+@query("tfidf_bucketed", lambda: TFIDF_SQL)
+def q_tfidf_bucketed(spark, sf):
+    """The same from a bucketed table: rows are shuffled when it is stored, and not again before tokenizing."""
+    docs = PS.sink_bucketed(posts_all(spark, sf), BUCKETS)
+    tf, vocab, _ = T.fit_tfidf(docs, placed=True)
+    return row_sums(T.tfidf_transform(tf, vocab))
+
+
 # ---------------------------------------------------------------- scoring with the fixed model
 
 @query("vocab_lookup_join", lambda: scored_cte() + "SELECT id, term, idx, CAST(tf AS BIGINT) AS tf FROM c")

@@ -17,7 +17,7 @@ from ..operators import persist as PS
 from ..operators import train as TR
 from ..operators.features import add_polarity_features, read_feature_table, write_feature_table
 from ..session import cut
-from ..sources.tables import POSTS_SCHEMA, files_state, posts, posts_all, read_table, scan_csv
+from ..sources.tables import POSTS_SCHEMA, files_state, posts, posts_all, read_table, route_csv, scan_csv
 from . import sqlfrag as Q
 from .q_model import VAL, f1_sql, scored_cte
 from .registry import query
@@ -203,3 +203,28 @@ def q_sink_table(spark, sf):
 def q_scan_csv(spark, sf):
     path = PS.sink_table(posts(spark, sf), PS.scratch_path(spark, "posts_csv"), fmt="csv")
     return scan_csv(spark, path, POSTS_SCHEMA)
+
+
+# a foreign export of every document, in lines of ours: one in ten has a label that is no number, no text, a field too many or no label
+EXPORT_SQL = ("(SELECT id, CAST(id % 2 AS INTEGER) AS label, text, id % 10 AS k, '\"' || replace(text, '\"', '\"\"') || '\"' AS quoted "
+              f"FROM {Q.posts_all_sql()} WHERE text IS NOT NULL)")
+EXPORT_LINE = ("CASE k WHEN 0 THEN id || ',abc,' || quoted WHEN 1 THEN id || ',' || label WHEN 2 THEN id || ',' || label || ',' || quoted || ',9' "
+               "WHEN 3 THEN id || ',,' || quoted ELSE id || ',' || label || ',' || quoted END")
+
+
+@query("scan_csv_rejects", lambda: (
+    f"SELECT id, CASE WHEN k > 3 THEN label END AS label, CASE WHEN k > 3 THEN text END AS text, CASE WHEN k < 3 THEN {EXPORT_LINE} END AS record, "
+    f"CASE WHEN k < 3 THEN 'malformed' WHEN k = 3 THEN 'missing label' ELSE '' END AS reason FROM {EXPORT_SQL}"))
+def q_scan_csv_rejects(spark, sf):
+    """Lines that no writer of ours made, routed: good rows and the reject table, every record in one of them."""
+    text = posts_all(spark, sf).where("text is not null")
+    lines = (text.selectExpr("id", "cast(id % 2 as int) as label", "id % 10 as k", """concat('"', replace(text, '"', '""'), '"') as quoted""")
+             .selectExpr(f"{EXPORT_LINE} as value"))
+    path = PS.scratch_path(spark, "export")
+    lines.write.text(path)
+    good, bad = route_csv(spark, path, POSTS_SCHEMA, PS.scratch_path(spark, "routed"), header=False)
+    none = F.lit(None).cast("string")
+    return good.select("id", "label", "text", none.alias("record"), F.lit("").alias("reason")).union(
+        bad.select(F.regexp_extract("record", "^([0-9]+)", 1).cast("long"), none.cast("int"), none,
+                   F.when(F.col("reason") == "malformed", F.col("record")), "reason"))
+

@@ -122,3 +122,32 @@ def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     records of each file it writes."""
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').csv(path))
+
+
+def route_csv(spark: SparkSession, path: str, schema: T.StructType, folder: str, header: bool = True,
+              multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejected)`` of CSV files that others wrote, in one parse, stored under ``folder``.
+
+    A record with too few or too many fields or a value that is not of its column's type is ``malformed``; one
+    without a value for a column that ``schema`` declares non-null is ``missing`` that column.  Both go to the reject
+    table (file, record, reason), the record as it stands in the file if it is malformed, else written out again; all
+    others are rows of ``schema``.  A header that disagrees with ``schema`` raises.  No files or only good or bad
+    records give empty tables.  With ``multi_line`` a quoted field may hold line feeds, and a file is one task;
+    without it files are split."""
+    file, raw, reason, rejected = names = ["__file", "__record", "__reason", "__rejected"]
+    if {n.lower() for n in names} & {f.name.lower() for f in schema}:
+        raise ValueError(f"the schema uses one of the names {names}")
+    read = T.StructType([T.StructField(f.name, f.dataType) for f in schema] + [T.StructField(raw, T.StringType())])
+    # every column is parsed whatever a later query selects: a value is only checked if it is parsed
+    rows = (spark.read.schema(read).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).option("columnPruning", False)
+            .option("enforceSchema", False).option("header", header).option("multiLine", multi_line).option("escape", '"').csv(path))
+    columns = [f.name for f in schema]
+    absent = F.concat_ws(",", *[F.when(F.col(f"`{f.name}`").isNull(), F.lit(f.name)) for f in schema if not f.nullable])
+    why = F.when(F.col(raw).isNotNull(), F.lit("malformed")).when(absent != "", F.concat(F.lit("missing "), absent))
+    told = rows.select(F.col("_metadata.file_path").alias(file), *columns, raw, why.alias(reason))
+    record = F.when(F.col(reason).isNotNull(), F.coalesce(raw, F.to_csv(F.struct(*columns))))
+    told = told.withColumn(raw, record).withColumn(rejected, F.col(reason).isNotNull())
+    told.write.mode("errorifexists").partitionBy(rejected).parquet(folder)
+    stored = spark.read.schema(told.schema).parquet(folder)
+    bad = stored.where(F.col(rejected)).select(F.col(file).alias("file"), F.col(raw).alias("record"), F.col(reason).alias("reason"))
+    return stored.where(~F.col(rejected)).select(*columns), bad
