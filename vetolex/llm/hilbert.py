@@ -116,6 +116,9 @@ def manifest(sharded: DataFrame, n_dims: int) -> DataFrame:
                                                                            for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
-def write_shards(sharded: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
-    """One folder per shard, rows in slot order within each file."""
-    sharded.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+def write_shards(sharded: DataFrame, path: str, shard: str = "shard", slot: str = "slot", placed: bool = False) -> None:
+    """One folder per shard, rows in slot order within each file.
+
+    ``placed`` rows lie in runs of the ranking already, as ``hilbert_shards`` leaves them, and are not shuffled again."""
+    rows = sharded if placed else sharded.repartitionByRange(shard, slot)
+    rows.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)

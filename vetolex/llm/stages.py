@@ -90,16 +90,18 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str, n_shards: int = 16) -> DataFrame:
     """The rows with ``shard``, ``slot`` and ``curve``, along the Hilbert curve over source, language and size.
 
-    Rows are numbered and written once; only numbers are sorted along the curve, and the rows are then written
-    shard by shard in slot order, with the cells' ranges of every shard beside them, and read from there."""
-    number, shard_, slot, curve = fresh(docs, "__number", "shard", "slot", "curve")
-    held = stash(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    slim = stash(held.select(F.col(number).alias("number"), "doc_id", "source", "lang", F.length(text_bytes()).cast("long").alias("size"),
-                             F.crc32(text_bytes()).alias("text_crc32")), "slim")
-    dealt = stash(hilbert.hilbert_shards(slim, ["source", "lang", "size"], n_shards, ["text_crc32", "doc_id", "number"]), "dealt")
+    Whole rows are sorted along the curve, their only shuffle; where a row then lies gives its shard and slot, so
+    each task writes its few shards in slot order.  The cells' ranges of every shard are written beside them, and
+    the rows are read from there."""
+    shard_, slot, curve = fresh(docs, "shard", "slot", "curve")
+    names = [f"c{i}" for i in range(len(docs.columns))]   # so that no column has a name used here
+    at = {c.lower(): n for c, n in zip(docs.columns, names)}
+    text = text_bytes(at["text"])
+    rows = docs.toDF(*names).select("*", *[F.col(at[c]).alias(c) for c in ("doc_id", "source", "lang")], F.length(text).cast("long").alias("size"),
+                                    F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("number"))
+    dealt = hilbert.hilbert_shards(rows, ["source", "lang", "size"], n_shards, ["text_crc32", "doc_id", "number"])
     path = shared_path(spark, "shards")
     hilbert.manifest(dealt, 3).write.parquet(f"{path}-manifest")
-    rows = held.join(dealt.select(F.col("number").alias(number), F.col("shard").alias("__s"), F.col("slot").alias(slot), F.col("curve").alias(curve)), number)
-    kept = rows.select(*docs.columns, F.col("__s").alias(shard_), slot, curve)
-    hilbert.write_shards(kept, path, shard_, slot)
+    kept = dealt.select(*names, "shard", "slot", "curve").toDF(*docs.columns, shard_, slot, curve)
+    hilbert.write_shards(kept, path, shard_, slot, placed=True)
     return spark.read.schema(kept.schema).parquet(path).select(*kept.columns)
