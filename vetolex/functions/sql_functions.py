@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from . import lexicons as L
+from .scalars import below_class
 
 
 def _lit(s: str) -> str:
@@ -13,8 +14,10 @@ def _lit(s: str) -> str:
 
 
 def _emoji(t: str, emojis) -> str:
-    cls = L.char_class(L.single_code_points(emojis))
-    return f"(char_length({t}) - char_length(regexp_replace({t}, {_lit(cls)}, '')))"
+    chars = L.single_code_points(emojis)
+    if min(ord(c) for c in chars) >= L.EMOJI_FLOOR:  # a cheap range class first, as in scalars.high_plane
+        t = f"regexp_replace({t}, {_lit(below_class(L.EMOJI_FLOOR))}, '')"
+    return f"(char_length({t}) - char_length(regexp_replace({t}, {_lit(L.char_class(chars))}, '')))"
 
 
 def _emoticons(t: str, emoticons) -> str:
