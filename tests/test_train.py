@@ -51,6 +51,24 @@ def test_fit_equals_the_library_solver(fitted):
     assert abs(other.coefficients.toArray() - fit.model.coefficients.toArray()).max() < 5e-3 and abs(other.intercept - fit.model.intercept) < 5e-3
 
 
+def test_scale_of_columns_does_not_hang_on_the_order_of_rows(spark, fitted):
+    """Each scale row first in its partition: the columns' variance is that of the data and the floor, and the fit converges."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.stat import Summarizer
+    run, _, _, vec = fitted
+    n, width = run.n_train, run.n_text + 4
+    scale = TR._scale_rows(spark, run.n_text, width, n)
+    own = vec.select("label", "features", F.lit(1.0).alias("weight"))
+    parts = [scale.where(f"label = {y}").unionByName(own.where(f"label = {y}")).coalesce(1) for y in (0, 1)]
+    rows = parts[0].unionByName(parts[1])
+    got = rows.agg(Summarizer.variance(F.col("features"), F.col("weight")).alias("v")).first().v.toArray()[:run.n_text]
+    x = np.array([r.features.toArray()[:run.n_text] for r in own.collect()])
+    assert np.allclose(got, x.var(axis=0, ddof=1) + TR.COLUMN_FLOOR / n, rtol=0.01)
+    lr = LogisticRegression(regParam=1.0 / n, standardization=False, weightCol="weight", tol=TR.SOLVER_TOL, maxIter=100)
+    assert TR.max_gradient(vec, lr.fit(rows), n) <= TR.TOL
+
+
 def test_iteration_bound_is_an_error(fitted):
     run, _, _, vec = fitted
     with pytest.raises(TR.NotConverged):
