@@ -27,3 +27,21 @@ def test_a_fit_reads_its_rows_from_the_shared_folder(spark, monkeypatch):
     TR.train_logistic(TR.assemble_hybrid(run, run.rows("train"), split="train"), run.n_train)
     assert len(seen) == 1 and "FileScan parquet" in seen[0]
     assert not any(x in seen[0] for x in ("Exchange", "EvalPython", "Join"))
+
+
+def test_vectors_are_made_without_python_and_texts_counted_once(spark, monkeypatch):
+    """A stored vector is read back as the sparse vector of its row's entries; training texts are not tokenized again for them."""
+    counted = []
+    monkeypatch.setattr(TR.T, "term_frequency", lambda rows, f=TR.T.term_frequency: counted.append(1) or f(rows))
+    run = TR.prepare(spark.createDataFrame(corpus(), "id long, label int, text string"))
+    vec = TR.assemble_hybrid(run, run.rows("train"), split="train")
+    assert len(counted) == 1 and "EvalPython" not in vec._jdf.queryExecution().executedPlan().toString()
+    entries = {}
+    for r in run.tfidf_for("train").collect():
+        entries.setdefault(r.id, {})[r.idx] = r.value
+    rows = vec.join(run.rows("train").select("id", *run.numeric_cols), "id").collect()
+    assert len(rows) == run.n_train and any(len(e) for e in entries.values())
+    for r in rows:
+        want = entries.get(r.id, {}) | {run.n_text + k: float(r[c]) for k, c in enumerate(run.numeric_cols) if r[c]}
+        got = dict(zip(r.features.indices.tolist(), r.features.values.tolist()))
+        assert r.features.size == run.n_text + len(run.numeric_cols) and got == want == dict(zip(r.indices, r.x_values))
