@@ -73,6 +73,20 @@ def test_terms_are_counted_in_their_row(spark):
     assert sorted(map(str, tf.collect())) == sorted(map(str, by_rows.collect()))
 
 
+def test_terms_are_tokenized_once(spark):
+    df = spark.createDataFrame([(1, "Bad good BAD good"), (2, "")], "id long, text string")
+    assert plan(TX.term_frequency(df)).count("regexp_extract_all(") == 2  # the tokens, and the bigrams read off them
+
+
+def test_partitions_of_rows_follow_the_bytes_read(spark, tmp_path, monkeypatch):
+    spark.range(20_000).select("id", F.hex(F.xxhash64("id")).alias("text")).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(TX, "BYTES_PER_PARTITION", 20_000)
+    one, two = TX.by_row(df), TX.by_row(df.union(df))
+    assert one.rdd.getNumPartitions() >= 8 and two.rdd.getNumPartitions() >= 1.9 * one.rdd.getNumPartitions()
+    assert one.join(df, "id").count() == 20_000
+
+
 def test_sql_functions_strip_the_low_plane_first(spark):
     body = function_bodies()["vx_emoji_pos_count"][2]
     assert body.count("regexp_replace(") > 2
