@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from vetolex.llm import components as components_module
 from vetolex.llm import neardup
 from vetolex.llm.common import WordHashes
 from vetolex.llm.components import components
@@ -63,6 +64,17 @@ def corpus(n_groups=25, seed=3):
     return rows
 
 
+def test_few_edges_are_settled_without_shuffles(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(90), rng.randrange(90)) for _ in range(60)], "a long, b long")
+    near = components_module.stash(edges).where("a <> b").coalesce(1)
+    step = components_module._star(components_module._star(near, True, True), False, True)
+    assert "hashpartitioning" not in step._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(tuple, components(edges).collect()))
+    monkeypatch.setattr(components_module, "FEW_EDGES", 0)
+    assert few == sorted(map(tuple, components(edges).collect()))
+
+
 def test_components_of_random_graphs(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
