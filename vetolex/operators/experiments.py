@@ -111,7 +111,8 @@ def fit_many(fns, workers: int = 3):
     """Independent fits submitted together: each iteration of a fit is a short, latency-bound
     Spark job on a few partitions, so running fits side by side keeps the executors busy.
 
-    The solver keeps about twenty vectors as long as the vocabulary on the driver for every fit that runs."""
+    MLlib's solver keeps about twenty vectors as long as the vocabulary on the driver for every fit that runs; a wide fit
+    keeps about as many that are as long as the training rows."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
         return list(pool.map(lambda f: f(), fns))
 
@@ -158,21 +159,56 @@ def evaluate_fit(lr_model, vectors: DataFrame, name: str) -> DataFrame:
 
 def run_feature_experiments(run, sets: list[tuple[str, dict]]) -> DataFrame:
     """Fit one model per feature set on the shared training TF-IDF; evaluate on validation rows."""
-    from .train import train_logistic
+    from .train import fit_rows
     train, val = run.rows("train"), run.rows("val")
-    for split in ("train", "val"):
-        run.text_rows(split)  # once, before the fits that run side by side ask for them
+    wide = run.is_wide(())
+    run.text_blocks() if wide else run.text_rows("train")  # once, before the fits that run side by side ask for them
+    run.text_rows("val")
 
     def one(extra):
-        model = train_logistic(feature_set_vectors(run, train, extra, "train"), run.n_train).model
-        return model, feature_set_vectors(run, val, extra, "val")
+        model = fit_rows(run, train.withColumns(extra) if extra else train, tuple(extra))[0].model
+        return model, None if wide else feature_set_vectors(run, val, extra, "val")
+    fitted = fit_many([lambda e=extra: one(e) for _, extra in sets])
+    if wide:
+        return evaluate_wide(run, [(name, extra, m) for (name, extra), (m, _) in zip(sets, fitted)])
     out = None
-    for (name, _), (m, vv) in zip(sets, fit_many([lambda e=extra: one(e) for _, extra in sets])):
+    for (name, _), (m, vv) in zip(sets, fitted):
         r = evaluate_fit(m, vv, name)
         out = r if out is None else out.unionByName(r)
     return out.select("experiment", "accuracy", "f1")
 
 
+def text_sums(tfidf: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """``(id, s0, s1, ...)``: each row's sum of value x coef under every table ``(idx, coef)``.
+
+    The tables are first put side by side, so an entry meets one row, however many models there are."""
+    names = [f"s{k}" for k in range(len(tables))]
+    side = None
+    for k, t in enumerate(tables):
+        one = t.select("idx", *[F.col("coef").alias(n) if i == k else F.lit(0.0).alias(n) for i, n in enumerate(names)])
+        side = one if side is None else side.unionByName(one)
+    side = side.groupBy("idx").agg(*[F.sum(n).alias(n) for n in names]) if len(tables) > 1 else side
+    return tfidf.join(side, "idx").groupBy("id").agg(*[F.sum(F.col("value") * F.col(n)).alias(n) for n in names])
+
+
+def evaluate_wide(run, fitted: list[tuple[str, dict, object]]) -> DataFrame:
+    """:func:`evaluate_fit` of models without a coefficient vector: validation texts meet all of their coefficients in one join."""
+    tables = [m.coefficients.where(F.col("idx") < run.n_text) for _, _, m in fitted]
+    rows = run.rows("val").join(cut(text_sums(run.tfidf_for("val"), tables)), "id", "left")
+    yy, out = F.col("label"), None
+    for k, (name, extra, m) in enumerate(fitted):
+        own = dict(m.coefficients.where(F.col("idx") >= run.n_text).collect())  # a handful
+        margin = F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + F.lit(m.intercept)
+        for j, c in enumerate(extra):
+            margin = margin + F.col(c).cast("double") * F.lit(own[run.n_text + j])
+        scored = (rows.withColumns(extra) if extra else rows).withColumn("p", F.when(margin > 0, 1).otherwise(0))
+        r = scored.agg(F.round(F.avg((yy == F.col("p")).cast("int")), 6).alias("accuracy"),
+                       F.round(f1_expr(count_if((yy == 1) & (F.col("p") == 1)), count_if((yy == 0) & (F.col("p") == 1)),
+                                       count_if((yy == 1) & (F.col("p") == 0))), 6).alias("f1")).withColumn("experiment", F.lit(name))
+        out = r if out is None else out.unionByName(r)
+    return out.select("experiment", "accuracy", "f1")
+
+
 # ---------------------------------------------------------------- per-boost refits
 
 # FIXED VALUES — behaviour probes of the boost and veto experiments: (text, expected, category).
@@ -226,16 +262,15 @@ class BoostFits:
         return self.ext if extended else self.base
 
     def fit_all(self, keys):
-        from .train import assemble_hybrid, extract_weights, train_logistic
+        from .train import extract_weights, fit_rows
         todo = [k for k in keys if k not in self.fits]
-        if todo:
-            self.base.text_rows("train")  # once, before the fits that run side by side ask for it
+        if todo:  # once, before the fits that run side by side ask for it
+            self.base.text_blocks() if self.base.is_wide() else self.base.text_rows("train")
 
         def one(key):
             boost, extended = key
             run = self.run(extended)
-            vec = assemble_hybrid(run, rescale(run.rows("train"), boost), split="train")
-            lr = train_logistic(vec, run.n_train).model
+            lr = fit_rows(run, rescale(run.rows("train"), boost))[0].model
             return key, (lr, extract_weights(run, lr))
         for key, val in fit_many([lambda k=k: one(k) for k in todo]):
             self.fits[key] = val
@@ -243,12 +278,9 @@ class BoostFits:
 
     def text_logits(self, split: str, models: dict) -> DataFrame:
         """``(id, boost, text_logit)`` of a split's rows under every model, from its TF-IDF rows read once."""
-        weights = None
-        for boost, model in models.items():
-            w = model.text_weights.select(F.lit(boost).alias("boost"), "idx", "coef")
-            weights = w if weights is None else weights.unionByName(w)
-        return (self.base.tfidf_for(split).join(weights, "idx").groupBy("id", "boost")
-                .agg(F.sum(F.col("value") * F.col("coef")).alias("text_logit")))
+        sums = text_sums(self.base.tfidf_for(split), [m.text_weights.select("idx", "coef") for m in models.values()])
+        each = F.array(*[F.struct(F.lit(b).alias("boost"), F.col(f"s{k}").alias("text_logit")) for k, b in enumerate(models)])
+        return sums.select("id", F.explode(each).alias("_e")).select("id", "_e.boost", "_e.text_logit")
 
     def scored_text(self, split: str):
         """Rows of a split with extended-word features, and a function that adds a model's text logit to them."""

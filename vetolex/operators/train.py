@@ -4,7 +4,8 @@
 * TF-IDF is fitted on the training rows only (vocabulary, idf), in long form.
 * Feature vectors are ``TF-IDF block ‖ 4 numerics`` as sparse vectors; only the
   labelled training rows are turned into vectors.
-* The objective is ``Σ logloss + ½‖w‖²`` with a free intercept, fitted by MLlib's ``LogisticRegression``.
+* The objective is ``Σ logloss + ½‖w‖²`` with a free intercept, fitted by MLlib's ``LogisticRegression`` up to
+  MLLIB_COLUMNS columns and beyond that by :mod:`.wide`, which needs no vector of that length.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import types as ST
 from ..functions import lexicons as L
 from ..session import cut
 from . import text as T
+from . import wide as W
 from .features import add_polarity_features
 from .model import LinearTextModel, model_from_weights
 from .persist import scratch_path
@@ -32,6 +34,8 @@ from .split import split_hash, stratified_split
 MAX_ITER, TOL, SOLVER_TOL = 300, 1e-6, 1e-10
 #: Weight of the two rows that set the scale of the text columns, and n times what they add to the variance of each.
 WEIGHTLESS, COLUMN_FLOOR = 1e-14, 16.0
+#: Columns up to which MLlib's solver fits; it keeps about 26 vectors of that length on the driver, in each of three fits side by side.
+MLLIB_COLUMNS = 300_000
 #: Non-zeros in a partition of training vectors, about 12 bytes each, and as many as make a core worth while.
 NNZ_PER_PARTITION, NNZ_PER_CORE = 4_000_000, 2_000_000
 #: Megabytes of a block of vectors that MLlib multiplies at once.
@@ -44,7 +48,7 @@ class NotConverged(RuntimeError):
 
 @dataclass
 class Fit:
-    model: LogisticRegressionModel
+    model: LogisticRegressionModel | W.WideModel
     iterations: int
     max_gradient: float        # of the mean loss, at the end
 
@@ -73,9 +77,18 @@ class TrainingRun:
         block does not change between fits (boosts and numeric feature sets only change the numerics)."""
         if split not in self.tfidf_cache:
             rows = self.train_tf if split == "train" and self.train_tf is not None else self.rows(split)
-            self.tfidf_cache[split] = cut(gathered(tfidf_rows(self, rows)))
+            self.tfidf_cache[split] = cut(gathered(tfidf_rows(self, rows)).withColumn("_row", F.monotonically_increasing_id()))
         return self.tfidf_cache[split]
 
+    def text_blocks(self) -> W.TextBlocks:
+        """The training texts' entries by column, for wide fits: stored once, like the rows they are made from."""
+        if "blocks" not in self.tfidf_cache:
+            self.tfidf_cache["blocks"] = W.text_blocks(self.text_rows("train").select(F.col("_row").alias("row"), F.col("_tv").alias("entries")))
+        return self.tfidf_cache["blocks"]
+
+    def is_wide(self, numeric_cols=None) -> bool:
+        return self.n_text + len(self.numeric_cols if numeric_cols is None else numeric_cols) > MLLIB_COLUMNS
+
 
 def prepare(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES, boost=L.EMOJI_BOOST,
             extended_words: bool = False, min_df: int = 2, max_df: float = 0.95, max_fit_rows: int | None = None) -> TrainingRun:
@@ -114,7 +127,7 @@ def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None, split:
     The vectors are made as the columns that a stored vector consists of and read back as vectors, without Python.  With ``split``, the text block comes from the run's persisted TF-IDF of that split
     (``rows`` must be that split's rows, possibly with other numeric columns)."""
     numeric_cols = tuple(numeric_cols if numeric_cols is not None else run.numeric_cols)
-    per_row = run.text_rows(split) if split else gathered(tfidf_rows(run, rows))
+    per_row = run.text_rows(split).drop("_row") if split else gathered(tfidf_rows(run, rows))
     base = rows.select("id", "label", *numeric_cols).join(per_row, "id", "left")
     nums = F.array(*[F.struct(F.lit(run.n_text + k).cast("long").alias("idx"), F.col(c).cast("double").alias("value"))
                      for k, c in enumerate(numeric_cols)]) if numeric_cols else F.array().cast("array<struct<idx:bigint,value:double>>")
@@ -154,9 +167,11 @@ def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter:
 
     ``vectors`` are the stored rows of :func:`assemble_hybrid`, which the solver and its summary read four times.  Partitions follow the non-zeros.  After the fit one
     job takes the gradient at the result; if a partial derivative of the mean loss is above ``tol`` (MLlib ended at
-    ``max_iter``), that is an error."""
+    ``max_iter``), that is an error.  Vectors of more than MLLIB_COLUMNS columns are fitted by :mod:`.wide`, to the same end."""
     spark = vectors.sparkSession
     nnz, rows, width, n_text = vectors.agg(F.sum("nnz"), F.count(F.lit(1)), F.max("width"), F.max("n_text")).first()
+    if width is not None and width > MLLIB_COLUMNS:
+        return _train_wide_vectors(vectors, n_train, n_text, width, tol, max_iter)
     cores = min(spark.sparkContext.defaultParallelism, -(-(nnz or 0) // NNZ_PER_CORE))
     parts = int(max(cores, -(-(nnz or 0) // NNZ_PER_PARTITION), 1))
     weighted = vectors.select("label", "features", F.lit(1.0).alias("weight"))
@@ -174,14 +189,56 @@ def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter:
     return Fit(model, steps, worst)
 
 
-def coefficient_table(lr_model: LogisticRegressionModel, spark: SparkSession) -> DataFrame:
-    """``(idx, coef)``.  MLlib's model holds its coefficients on the driver; they go out as an Arrow table."""
+def _wide_fit(blocks: W.TextBlocks, labelled: DataFrame, n_train: int, n_text: int, tol: float, max_iter: int) -> Fit:
+    model, steps, worst = W.fit(blocks, labelled, n_train, n_text, max_iter)
+    if not worst <= tol:
+        raise NotConverged(f"a partial derivative of {worst:.2g} after {steps} iterations, above {tol:.2g}")
+    return Fit(model, steps, worst)
+
+
+def _train_wide_vectors(vectors: DataFrame, n_train: int, n_text: int, width: int, tol: float, max_iter: int) -> Fit:
+    """Stored vectors parted into text entries, which are stored again by column, and numerics."""
+    def numeric(j: int):
+        return F.coalesce(F.get(F.filter(entry, lambda e: e["idx"] == j)["value"], 0), F.lit(0.0)).alias(f"x{j}")
+
+    entry = F.arrays_zip(F.col("indices").cast("array<bigint>").alias("idx"), F.col("x_values").alias("value"))
+    keyed = cut(vectors.select(F.monotonically_increasing_id().alias("row"), "label", F.filter(entry, lambda e: e["idx"] < n_text).alias("entries"),
+                               *[numeric(j) for j in range(n_text, width)]))
+    blocks = W.text_blocks(keyed.select("row", "entries"))
+    return _wide_fit(blocks, keyed.drop("entries"), n_train, n_text, tol, max_iter)
+
+
+def fit_rows(run: TrainingRun, rows: DataFrame, numeric_cols=None, tol: float = TOL, max_iter: int = MAX_ITER) -> tuple[Fit, DataFrame | None]:
+    """A fit on the run's training rows, possibly with other numeric columns, and the vectors it was made from.
+
+    A wide run has no vectors: :func:`assemble_hybrid` would write the text block once for each fit, while the
+    blocks that a wide fit reads are stored once and the numerics of each fit stand beside them."""
+    cols = tuple(run.numeric_cols if numeric_cols is None else numeric_cols)
+    if not run.is_wide(cols):
+        vectors = assemble_hybrid(run, rows, cols, split="train")
+        return train_logistic(vectors, run.n_train, tol, max_iter), vectors
+    labelled = rows.select("id", "label", *cols).join(run.text_rows("train").select("id", F.col("_row").alias("row")), "id", "left")
+    return _wide_fit(run.text_blocks(), labelled.select("row", "label", *cols), run.n_train, run.n_text, tol, max_iter), None
+
+
+def mllib_model(model) -> LogisticRegressionModel:
+    return model.mllib() if isinstance(model, W.WideModel) else model
+
+
+def coefficient_table(lr_model, spark: SparkSession) -> DataFrame:
+    """``(idx, coef)``.  A wide model has them as rows; MLlib's holds them on the driver, from where they go out as an Arrow table."""
+    if isinstance(lr_model, W.WideModel):
+        return lr_model.coefficients
     values = lr_model.coefficients.toArray()
     return spark.createDataFrame(pa.table({"idx": np.arange(len(values), dtype=np.int64), "coef": values}))
 
 
 def max_gradient(vectors: DataFrame, lr_model: LogisticRegressionModel, n_train: int) -> float:
     """The largest partial derivative of the mean loss at a fitted model, by one aggregation over its rows' non-zeros."""
+    if lr_model.hasSummary:  # which holds the session and cannot travel to the tasks
+        path = scratch_path(vectors.sparkSession, "logistic")
+        lr_model.save(path)
+        lr_model = LogisticRegressionModel.load(path)
     rows = lr_model.transform(vectors).select((vector_to_array("probability")[1] - F.col("label")).alias("r"), "indices", "x_values")
     cells = rows.select("r", F.explode(F.arrays_zip(F.concat("indices", F.array(F.lit(-1))).alias("idx"),
                                                     F.concat("x_values", F.array(F.lit(1.0))).alias("x"))).alias("c"))
@@ -192,7 +249,7 @@ def max_gradient(vectors: DataFrame, lr_model: LogisticRegressionModel, n_train:
     return float(both.agg(F.max(slope)).first()[0])
 
 
-def extract_weights(run: TrainingRun, lr_model: LogisticRegressionModel, numeric_cols=None) -> LinearTextModel:
+def extract_weights(run: TrainingRun, lr_model, numeric_cols=None) -> LinearTextModel:
     """Weights table ``(term, idx, idf, coef)`` from the vocabulary and the coefficients, joined by index."""
     numeric_cols = tuple(numeric_cols if numeric_cols is not None else run.numeric_cols)
     spark = run.vocab.sparkSession
@@ -207,8 +264,8 @@ def extract_weights(run: TrainingRun, lr_model: LogisticRegressionModel, numeric
                            {c: 0.0 for c in L.NUMERIC_FEATURES}, run.n_text, 2)
 
 
-def score_mllib(lr_model: LogisticRegressionModel, vectors: DataFrame) -> DataFrame:
-    out = lr_model.transform(vectors)
+def score_mllib(lr_model, vectors: DataFrame) -> DataFrame:
+    out = mllib_model(lr_model).transform(vectors)
     return out.select("id", vector_to_array("probability")[1].alias("p1_mllib"),
                       F.col("prediction").cast("int").alias("prediction_mllib"))
 
@@ -245,10 +302,14 @@ def gradient_norm(run: TrainingRun, model: LinearTextModel) -> float:
     return max(abs(g_max), abs(g_int))
 
 
+def fitted_run(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES):
+    """Prepare, fit, and return (run, fit, model, train_vectors), the last None for a wide run."""
+    run = prepare(posts, numeric_cols)
+    fit, vec = fit_rows(run, run.rows("train"))
+    return run, fit, extract_weights(run, fit.model), vec
+
+
 def trained_run(posts: DataFrame, numeric_cols=L.NUMERIC_FEATURES):
     """Prepare, vectorise the training rows, fit, and return (run, fit, model, train_vectors)."""
-    run = prepare(posts, numeric_cols)
-    vec = assemble_hybrid(run, run.rows("train"), split="train")
-    fit = train_logistic(vec, run.n_train)
-    model = extract_weights(run, fit.model)
-    return run, fit, model, vec
+    run, fit, model, vec = fitted_run(posts, numeric_cols)
+    return run, fit, model, assemble_hybrid(run, run.rows("train"), split="train") if vec is None else vec

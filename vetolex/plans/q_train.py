@@ -6,6 +6,7 @@ covered by tests (parity ≤ 1e-9, gradient check, round trips)."""
 from __future__ import annotations
 
 import os
+from functools import cached_property
 
 from pyspark.sql import functions as F
 
@@ -39,13 +40,28 @@ def train_vocab_sql() -> str:
 
 
 class Trained:
+    """A fitted run; vectors, scores and MLlib's form of a wide model are made when a query asks for them."""
+
     def __init__(self, spark, sf):
         self.spark = spark
-        self.run, self.fit, self.model, self.vec_train = TR.trained_run(posts(spark, sf))
-        self.lr = self.fit.model
+        self.run, self.fit, self.model, self._vec_train = TR.fitted_run(posts(spark, sf))
         self.val = self.run.rows("val")
-        self.vec_val = TR.assemble_hybrid(self.run, self.val, split="val")
-        self.scored_val = cut(M.resolve(M.score_relational(self.val, self.model)))
+
+    @cached_property
+    def lr(self):
+        return TR.mllib_model(self.fit.model)
+
+    @cached_property
+    def vec_train(self):
+        return self._vec_train if self._vec_train is not None else TR.assemble_hybrid(self.run, self.run.rows("train"), split="train")
+
+    @cached_property
+    def vec_val(self):
+        return TR.assemble_hybrid(self.run, self.val, split="val")
+
+    @cached_property
+    def scored_val(self):
+        return cut(M.resolve(M.score_relational(self.val, self.model)))
 
 
 _MEMO: dict = {}
@@ -81,7 +97,7 @@ def q_train_logistic(spark, sf):
     t = trained(spark, sf)
     return spark.createDataFrame(
         [(t.run.n_train, t.run.n_train_all, t.run.n_text, t.run.n_text + 4, t.fit.iterations, t.fit.max_gradient <= TR.TOL,
-          float(t.lr.intercept), t.fit.max_gradient)],
+          float(t.fit.model.intercept), t.fit.max_gradient)],
         "n_train long, n_train_all long, n_text int, n_features int, iterations int, converged boolean, intercept double, max_gradient double")
 
 
@@ -134,7 +150,7 @@ def q_gate_coef_sign(spark, sf):
     """Signs of the emoji weights of a model trained on all posts whose emojis lean to one side, that side as label."""
     rows = add_polarity_features(posts_all(spark, sf)).where("emoji_pos_count <> emoji_neg_count")
     leaning = rows.select("id", (F.col("emoji_pos_count") > F.col("emoji_neg_count")).cast("int").alias("label"), "text")
-    model = TR.trained_run(cut(leaning))[2]
+    model = TR.fitted_run(cut(leaning))[2]
     return G.enforce(G.sign_gate(model.weights), "coefficient signs").select("term", "passed")
 
 
@@ -142,7 +158,7 @@ def q_gate_coef_sign(spark, sf):
 def q_gate_model_config(spark, sf):
     """Every setting of the trained model against what the scorer reproduces."""
     t = trained(spark, sf)
-    return G.enforce(G.model_config_gate(t.model, t.lr.numClasses, t.lr.numFeatures), "model settings")
+    return G.enforce(G.model_config_gate(t.model, t.fit.model.numClasses, t.fit.model.numFeatures), "model settings")
 
 
 @query("global_signals")
