@@ -62,7 +62,7 @@ def test_experiments_agree_on_both_ways(spark, monkeypatch):
     from vetolex.operators import experiments as X
     df = spark.createDataFrame(corpus(), "id long, label int, text string")
     found, stored = [], []
-    monkeypatch.setattr(W, "text_blocks", lambda rows, f=W.text_blocks: stored.append(1) or f(rows))
+    monkeypatch.setattr(W, "text_blocks", lambda *rows, f=W.text_blocks: stored.append(1) or f(*rows))
     for bound in (TR.MLLIB_COLUMNS, 0):
         monkeypatch.setattr(TR, "MLLIB_COLUMNS", bound)
         bf = X.BoostFits(df)
@@ -73,3 +73,13 @@ def test_experiments_agree_on_both_ways(spark, monkeypatch):
     (table, logits), (table_, logits_) = found
     assert table == table_ and len(stored) == 1
     assert logits.keys() == logits_.keys() and len(logits) == 32 and all(abs(logits[k] - logits_[k]) < 1e-3 for k in logits)
+
+
+def test_a_fit_that_the_library_ends_too_early_is_finished(spark, monkeypatch):
+    """MLlib's solver may stop above the bound on the gradient before it has used its steps."""
+    run = TR.prepare(spark.createDataFrame(corpus(), "id long, label int, text string"))
+    vec = TR.assemble_hybrid(run, run.rows("train"), split="train")
+    monkeypatch.setattr(TR, "SOLVER_TOL", 0.1)
+    fit = TR.train_logistic(vec, run.n_train)
+    assert isinstance(fit.model, TR.LogisticRegressionModel) and fit.max_gradient < 1e-8
+    assert TR.max_gradient(vec, fit.model, run.n_train) < 1e-8

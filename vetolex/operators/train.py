@@ -77,13 +77,24 @@ class TrainingRun:
         block does not change between fits (boosts and numeric feature sets only change the numerics)."""
         if split not in self.tfidf_cache:
             rows = self.train_tf if split == "train" and self.train_tf is not None else self.rows(split)
-            self.tfidf_cache[split] = cut(gathered(tfidf_rows(self, rows)).withColumn("_row", F.monotonically_increasing_id()))
+            self.tfidf_cache[split] = cut(gathered(tfidf_rows(self, rows)))
         return self.tfidf_cache[split]
 
+    def text_counts(self) -> DataFrame:
+        """``(id, row, scale, entries)`` of the training texts, stored once: entries (idx, term count), scale the inverse of the TF-IDF norm."""
+        if "counts" not in self.tfidf_cache:
+            tf = self.train_tf if self.train_tf is not None else T.term_frequency(self.rows("train"))
+            j = T.join_vocabulary(tf, self.vocab.select("term", "idf", "idx"))
+            x = F.col("tf") * F.col("idf")
+            entry = F.struct(F.col("idx").cast("int").alias("idx"), F.col("tf").cast("int").alias("value"))
+            per_row = j.groupBy("id").agg((1 / F.sqrt(F.sum(x * x))).alias("scale"), F.collect_list(entry).alias("entries"))
+            self.tfidf_cache["counts"] = cut(per_row.withColumn("row", F.monotonically_increasing_id()))
+        return self.tfidf_cache["counts"]
+
     def text_blocks(self) -> W.TextBlocks:
-        """The training texts' entries by column, for wide fits: stored once, like the rows they are made from."""
+        """The training texts' TF-IDF by column, for wide fits, stored once."""
         if "blocks" not in self.tfidf_cache:
-            self.tfidf_cache["blocks"] = W.text_blocks(self.text_rows("train").select(F.col("_row").alias("row"), F.col("_tv").alias("entries")))
+            self.tfidf_cache["blocks"] = W.text_blocks(self.text_counts().drop("id"), self.vocab.select("idx", F.col("idf").alias("scale")))
         return self.tfidf_cache["blocks"]
 
     def is_wide(self, numeric_cols=None) -> bool:
@@ -127,7 +138,7 @@ def assemble_hybrid(run: TrainingRun, rows: DataFrame, numeric_cols=None, split:
     The vectors are made as the columns that a stored vector consists of and read back as vectors, without Python.  With ``split``, the text block comes from the run's persisted TF-IDF of that split
     (``rows`` must be that split's rows, possibly with other numeric columns)."""
     numeric_cols = tuple(numeric_cols if numeric_cols is not None else run.numeric_cols)
-    per_row = run.text_rows(split).drop("_row") if split else gathered(tfidf_rows(run, rows))
+    per_row = run.text_rows(split) if split else gathered(tfidf_rows(run, rows))
     base = rows.select("id", "label", *numeric_cols).join(per_row, "id", "left")
     nums = F.array(*[F.struct(F.lit(run.n_text + k).cast("long").alias("idx"), F.col(c).cast("double").alias("value"))
                      for k, c in enumerate(numeric_cols)]) if numeric_cols else F.array().cast("array<struct<idx:bigint,value:double>>")
@@ -184,6 +195,9 @@ def train_logistic(vectors: DataFrame, n_train: int, tol: float = TOL, max_iter:
     fitted.save(path)
     model, steps = LogisticRegressionModel.load(path), fitted.summary.totalIterations
     worst = max_gradient(vectors, model, n_train)
+    if not worst <= tol and steps < max_iter:  # its line search ended above, as large numerics make it: the other solver ends below
+        fit = _train_wide_vectors(vectors, n_train, n_text, width, tol, max_iter)
+        return Fit(fit.model.mllib(), steps + fit.iterations, fit.max_gradient)
     if not worst <= tol:
         raise NotConverged(f"a partial derivative of {worst:.2g} after {steps} iterations, above {tol:.2g}")
     return Fit(model, steps, worst)
@@ -202,10 +216,10 @@ def _train_wide_vectors(vectors: DataFrame, n_train: int, n_text: int, width: in
         return F.coalesce(F.get(F.filter(entry, lambda e: e["idx"] == j)["value"], 0), F.lit(0.0)).alias(f"x{j}")
 
     entry = F.arrays_zip(F.col("indices").cast("array<bigint>").alias("idx"), F.col("x_values").alias("value"))
-    keyed = cut(vectors.select(F.monotonically_increasing_id().alias("row"), "label", F.filter(entry, lambda e: e["idx"] < n_text).alias("entries"),
+    keyed = cut(vectors.select(F.monotonically_increasing_id().alias("row"), "label", F.lit(1.0).alias("scale"), F.filter(entry, lambda e: e["idx"] < n_text).alias("entries"),
                                *[numeric(j) for j in range(n_text, width)]))
-    blocks = W.text_blocks(keyed.select("row", "entries"))
-    return _wide_fit(blocks, keyed.drop("entries"), n_train, n_text, tol, max_iter)
+    blocks = W.text_blocks(keyed.select("row", "scale", "entries"))
+    return _wide_fit(blocks, keyed.drop("entries", "scale"), n_train, n_text, tol, max_iter)
 
 
 def fit_rows(run: TrainingRun, rows: DataFrame, numeric_cols=None, tol: float = TOL, max_iter: int = MAX_ITER) -> tuple[Fit, DataFrame | None]:
@@ -217,7 +231,7 @@ def fit_rows(run: TrainingRun, rows: DataFrame, numeric_cols=None, tol: float =
     if not run.is_wide(cols):
         vectors = assemble_hybrid(run, rows, cols, split="train")
         return train_logistic(vectors, run.n_train, tol, max_iter), vectors
-    labelled = rows.select("id", "label", *cols).join(run.text_rows("train").select("id", F.col("_row").alias("row")), "id", "left")
+    labelled = rows.select("id", "label", *cols).join(run.text_counts().select("id", "row"), "id", "left")
     return _wide_fit(run.text_blocks(), labelled.select("row", "label", *cols), run.n_train, run.n_text, tol, max_iter), None
 
 

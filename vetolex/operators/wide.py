@@ -12,6 +12,8 @@ entries of ``Xᵀγ`` are the gradient, and the pass hands back the largest.  Co
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import sys
@@ -35,8 +37,8 @@ from .persist import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks need no installed copy
 
-#: Entries (about 12 bytes each) in a block of columns that one task sorts, in a stored row of whole columns, in a task of a pass.
-BLOCK, CHUNK, TASK = 2_000_000, 500_000, 8_000_000
+#: Entries in a block of columns that one task sorts, in a stored row of whole columns, in a task of a pass.
+BLOCK, CHUNK, TASK = 750_000, 500_000, 4_000_000
 #: Entries that make a core worth while in a pass.
 PER_CORE = 500_000
 #: Rows in a piece of a row vector, and bytes of all tasks' row vectors that the driver adds itself.
@@ -49,13 +51,18 @@ GRADIENT = 1e-9
 
 @dataclass
 class TextBlocks:
-    """The text entries of rows, stored by column."""
-    stored: DataFrame        # (idx, n, row, value): columns, how many entries each has, then row and value of every entry
+    """The text entries of rows, stored by column; an entry is its value times its column's scale and its row's."""
+    stored: DataFrame        # (idx, n, scale, row, value): columns, how many entries each has and its scale, then row and value of every entry
     starts: tuple            # partition numbers of the row keys, and the number of rows before each
-    n_rows: int
+    scale: np.ndarray        # of every row
+    kind: str                # of the values
     n_entries: int
     n_columns: int
 
+    @property
+    def n_rows(self) -> int:
+        return len(self.scale)
+
     def place(self, keys: np.ndarray) -> np.ndarray:
         return _place(keys, self.starts)
 
@@ -66,15 +73,15 @@ class TextBlocks:
 
     def product(self, vector: np.ndarray) -> tuple[np.ndarray, float]:
         """``X·Xᵀv``, and the largest entry of ``Xᵀv``."""
-        sent, n, size = self.stored.sparkSession.sparkContext.broadcast(vector), self.n_rows, SLICE
+        sent, n, size, kind = self.stored.sparkSession.sparkContext.broadcast(vector * self.scale), self.n_rows, SLICE, self.kind
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, out, worst = sent.value, np.zeros(n), 0.0
             for batch in batches:
-                for _, many, row, value in _chunks(batch):
-                    u = np.add.reduceat(value * v[row], np.cumsum(many) - many)
+                for _, many, scale, row, value in _chunks(batch, kind):
+                    u = scale * np.add.reduceat(value * v[row], np.cumsum(many) - many)
                     worst = max(worst, float(np.abs(u).max()))
-                    out += np.bincount(row, value * np.repeat(u, many), n)
+                    out += np.bincount(row, value * np.repeat(scale * u, many), n)
             for at in range(0, n, size):
                 yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([out[at:at + size].tobytes()], pa.binary()), pa.array([worst])], ["at", "sums", "worst"])
 
@@ -92,16 +99,17 @@ class TextBlocks:
             out[at:at + len(own)] += own
             worst = max(worst, most)
         sent.destroy()
-        return out, worst
+        return out * self.scale, worst
 
     def weights(self, vector: np.ndarray) -> DataFrame:
         """``(idx, coef)``: the entries of ``Xᵀv`` by column, stored."""
-        sent = self.stored.sparkSession.sparkContext.broadcast(vector)
+        sent, kind = self.stored.sparkSession.sparkContext.broadcast(vector * self.scale), self.kind
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for idx, many, row, value in _chunks(batch):
-                    yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(np.add.reduceat(value * sent.value[row], np.cumsum(many) - many))], ["idx", "coef"])
+                for idx, many, scale, row, value in _chunks(batch, kind):
+                    u = scale * np.add.reduceat(value * sent.value[row], np.cumsum(many) - many)
+                    yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(u)], ["idx", "coef"])
 
         return cut(self.stored.coalesce(self.tasks()).mapInArrow(multiply, "idx long, coef double"))
 
@@ -111,17 +119,33 @@ def _place(keys: np.ndarray, starts: tuple) -> np.ndarray:
     return starts[1][np.searchsorted(starts[0], keys >> 33)] + (keys & ((1 << 33) - 1))
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _chunks(batch: pa.RecordBatch, kind: str) -> Iterator[tuple]:
     for i in range(batch.num_rows):
-        yield tuple(np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in enumerate(("<i8", "<i4", "<i4", "<f8")))
-
-
-def text_blocks(rows: DataFrame) -> TextBlocks:
-    """``rows`` are stored (row, entries): a ``monotonically_increasing_id`` and an array of (idx, value)."""
-    counts = sorted(rows.groupBy(F.shiftright("row", 33).alias("p")).agg(F.count(F.lit(1)), F.sum(F.size("entries"))).collect())
-    own = np.array([c[1] for c in counts], np.int64)
-    starts = np.array([c[0] for c in counts], np.int64), np.cumsum(own) - own
-    n_rows, entries = int(own.sum()), sum(max(c[2], 0) for c in counts)
+        yield tuple(np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in enumerate(("<i8", "<i4", "<f8", "<i4", kind)))
+
+
+def _release() -> None:
+    """Give freed memory back to the machine, where the C library can: a reused worker would keep its last task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_blocks(rows: DataFrame, columns: DataFrame | None = None) -> TextBlocks:
+    """``rows`` are stored (row, scale, entries): a ``monotonically_increasing_id``, a factor and an array of (idx, value).
+
+    ``columns``: (idx, scale), for every column of the entries; without it no column has a factor.  Values are whole numbers or doubles."""
+    kind = {"int": "<i4", "double": "<f8"}[rows.schema["entries"].dataType.elementType["value"].dataType.simpleString()]
+    held = rows.select("row", "scale", F.size("entries").alias("n")).toArrow()
+    key = np.sort(held.column("row").to_numpy())
+    partitions, before = np.unique(key >> 33, return_index=True)
+    starts = partitions, before
+    scale = np.zeros(len(key))
+    scale[_place(held.column("row").to_numpy(), starts)] = held.column("scale").to_numpy()
+    entries = int(np.maximum(held.column("n").to_numpy(), 0).sum())
+    del held, key
     cores = rows.sparkSession.sparkContext.defaultParallelism
     n_blocks, most, whole = max(cores, -(-entries // BLOCK)), BLOCK, CHUNK
 
@@ -132,30 +156,45 @@ def text_blocks(rows: DataFrame) -> TextBlocks:
             runs = np.flatnonzero(np.diff(np.cumsum(lengths) // most, prepend=0))
             for a, b in zip(np.r_[0, runs], np.r_[runs, len(lists)]):
                 idx, value = (x.to_numpy() for x in lists.slice(a, b - a).flatten().flatten())
-                row, block = np.repeat(place[a:b], lengths[a:b]).astype("<i4"), idx % n_blocks
+                row, block = np.repeat(place[a:b], lengths[a:b]).astype("<i4"), (idx % n_blocks).astype(np.int32)
                 order = np.argsort(block, kind="stable")
                 at = np.searchsorted(block[order], np.arange(n_blocks + 1))
                 full = np.flatnonzero(np.diff(at))
-                parts = [[x[order[at[k]:at[k + 1]]].tobytes() for k in full] for x in (idx.astype("<i8"), row, value.astype("<f8"))]
+                parts = [[x[order[at[k]:at[k + 1]]].tobytes() for k in full] for x in (idx.astype("<i8"), row, value.astype(kind))]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *[pa.array(x, pa.binary()) for x in parts]], ["block", "idx", "row", "value"])
+                del idx, value, row, block, order, parts
+        _release()
 
-    def merge(table: pa.Table) -> pa.Table:
-        idx, row, value = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("idx", "<i8"), ("row", "<i4"), ("value", "<f8")))
+    def merge(table: pa.Table, scales: pa.Table | None = None) -> pa.Table:
+        idx, row, value = (np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_buffer(), t) for x in table.column(c)]])
+                           for c, t in (("idx", "<i8"), ("row", "<i4"), ("value", kind)))
         order = np.lexsort((row, idx))
         idx, row, value = idx[order], row[order], value[order]
-        first = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
-        many = np.diff(np.r_[first, len(idx)]).astype("<i4")
+        first = np.flatnonzero(np.diff(idx, prepend=-1))
+        many, idx = np.diff(np.r_[first, len(idx)]).astype("<i4"), idx[first]
+        factor = np.ones(len(idx), "<f8")
+        if scales is not None:
+            known = scales.column("idx").to_numpy()
+            by = np.argsort(known)
+            factor = scales.column("scale").to_numpy()[by[np.searchsorted(known, idx, sorter=by)]].astype("<f8")
         cuts = np.flatnonzero(np.diff(first // whole, prepend=-1))  # columns that begin a stored row
         out = []
         for a, b in zip(cuts, np.r_[cuts[1:], len(first)]):
-            lo, hi = first[a], first[b] if b < len(first) else len(idx)
-            out.append([idx[first[a:b]].tobytes(), many[a:b].tobytes(), row[lo:hi].tobytes(), value[lo:hi].tobytes()])
-        return pa.table({c: pa.array([x[k] for x in out], pa.binary()) for k, c in enumerate(("idx", "n", "row", "value"))})
-
-    dealt = rows.select("row", "entries").where("entries is not null").mapInArrow(deal, "block int, idx binary, row binary, value binary")
-    stored = cut(dealt.groupBy("block").applyInArrow(merge, "idx binary, n binary, row binary, value binary"))
-    columns = stored.agg(F.coalesce(F.sum(F.octet_length("idx")), F.lit(0))).first()[0] // 8
-    return TextBlocks(stored, starts, n_rows, int(entries), columns)
+            lo, hi = first[a], first[b] if b < len(first) else len(row)
+            out.append([idx[a:b].tobytes(), many[a:b].tobytes(), factor[a:b].tobytes(), row[lo:hi].tobytes(), value[lo:hi].tobytes()])
+        del order, idx, row, value
+        _release()
+        return pa.table({c: pa.array([x[k] for x in out], pa.binary()) for k, c in enumerate(("idx", "n", "scale", "row", "value"))})
+
+    dealt = rows.select("row", "entries").where("entries is not null").mapInArrow(deal, "block int, idx binary, row binary, value binary").groupBy("block")
+    schema = "idx binary, n binary, scale binary, row binary, value binary"
+    if columns is None:
+        stored = cut(dealt.applyInArrow(lambda table: merge(table), schema))
+    else:
+        scales = columns.select((F.col("idx") % n_blocks).cast("int").alias("block"), "idx", "scale").groupBy("block")
+        stored = cut(dealt.cogroup(scales).applyInArrow(lambda table, scales: merge(table, scales), schema))
+    known = stored.agg(F.coalesce(F.sum(F.octet_length("idx")), F.lit(0))).first()[0] // 8
+    return TextBlocks(stored, starts, scale, kind, entries, known)
 
 
 @dataclass
