@@ -22,7 +22,7 @@ def test_every_training_row_is_fitted_on(spark):
 def wide(monkeypatch):
     """Every fit takes the way of many columns, in small blocks, chunks and pieces."""
     monkeypatch.setattr(TR, "MLLIB_COLUMNS", 0)
-    for name, value in (("BLOCK", 300), ("CHUNK", 40), ("TASK", 200), ("SLICE", 16), ("DIRECT", 0)):
+    for name, value in (("BLOCK", 300), ("CHUNK", 40), ("TASK", 200), ("SLICE", 16), ("RUN", 16), ("DIRECT", 0)):
         monkeypatch.setattr(W, name, value)
 
 
@@ -61,7 +61,8 @@ def test_experiments_agree_on_both_ways(spark, monkeypatch):
     """Feature sets and boosts give the same tables by MLlib's solver and by wide fits, which store the text block once."""
     from vetolex.operators import experiments as X
     df = spark.createDataFrame(corpus(), "id long, label int, text string")
-    found, stored = [], []
+    found, stored, side = [], [], []
+    monkeypatch.setattr(X, "fit_many", lambda fns, workers=3, f=X.fit_many: side.append(workers) or f(fns, workers))
     monkeypatch.setattr(W, "text_blocks", lambda *rows, f=W.text_blocks: stored.append(1) or f(*rows))
     for bound in (TR.MLLIB_COLUMNS, 0):
         monkeypatch.setattr(TR, "MLLIB_COLUMNS", bound)
@@ -72,6 +73,7 @@ def test_experiments_agree_on_both_ways(spark, monkeypatch):
         found.append((table, logits))
     (table, logits), (table_, logits_) = found
     assert table == table_ and len(stored) == 1
+    assert side == [3, 3, 1, 1]  # wide fits one after the other
     assert logits.keys() == logits_.keys() and len(logits) == 32 and all(abs(logits[k] - logits_[k]) < 1e-3 for k in logits)
 
 

@@ -112,8 +112,8 @@ def fit_many(fns, workers: int = 3):
     """Independent fits submitted together: each iteration of a fit is a short, latency-bound
     Spark job on a few partitions, so running fits side by side keeps the executors busy.
 
-    MLlib's solver keeps about twenty vectors as long as the vocabulary on the driver for every fit that runs; a wide fit
-    keeps about as many that are as long as the training rows."""
+    MLlib's solver keeps about twenty vectors as long as the vocabulary on the driver for every fit that runs.  Wide fits go one
+    after the other: a pass of one has tasks for all cores, and the driver then keeps the row vectors of one."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
         return list(pool.map(lambda f: f(), fns))
 
@@ -169,7 +169,7 @@ def run_feature_experiments(run, sets: list[tuple[str, dict]]) -> DataFrame:
     def one(extra):
         model = fit_rows(run, train.withColumns(extra) if extra else train, tuple(extra))[0].model
         return model, None if wide else feature_set_vectors(run, val, extra, "val")
-    fitted = fit_many([lambda e=extra: one(e) for _, extra in sets])
+    fitted = fit_many([lambda e=extra: one(e) for _, extra in sets], 1 if wide else 3)
     if wide:
         return evaluate_wide(run, [(name, extra, m) for (name, extra), (m, _) in zip(sets, fitted)])
     out = None
@@ -277,7 +277,7 @@ class BoostFits:
             run = runs[extended]
             lr = fit_rows(run, rescale(run.rows("train"), boost))[0].model
             return key, (lr, extract_weights(run, lr))
-        for key, val in fit_many([lambda k=k: one(k) for k in todo]):
+        for key, val in fit_many([lambda k=k: one(k) for k in todo], 1 if self.base.is_wide() else 3):
             self.fits[key] = val
         return {k: self.fits[k] for k in keys}
 

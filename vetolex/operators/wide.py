@@ -43,6 +43,8 @@ BLOCK, CHUNK, TASK = 750_000, 500_000, 4_000_000
 PER_CORE = 500_000
 #: Rows in a piece of a row vector, and bytes of all tasks' row vectors that the driver adds itself.
 SLICE, DIRECT = 1 << 16, 16 << 20
+#: Rows that a step's search takes at a time.
+RUN = 1 << 14
 #: Directions that a step keeps; each is two row vectors on the driver.
 KEPT = 10
 #: A fit goes on until no partial derivative of the mean loss is above this.
@@ -274,7 +276,7 @@ class _Search:
         return out
 
     def runs(self) -> Iterator[slice]:
-        return (slice(a, a + SLICE) for a in range(0, len(self.y), SLICE))
+        return (slice(a, a + RUN) for a in range(0, len(self.y), RUN))
 
     def value(self, step: np.ndarray) -> float:
         total = self.lam * (self.slope0 @ step + 0.5 * step @ self.gram @ step)
@@ -383,6 +385,8 @@ def fit(blocks: TextBlocks, labelled: DataFrame, n_train: int, n_text: int, max_
     margin = margins()
     worst = gradient()[2]
     own = blocks.weights(alpha[:-1])
+    del alpha, z, margin, kept, text, y, numerics, order
+    _release()
     if blocks.n_columns < n_text:
         own = spark.range(n_text).select(F.col("id").alias("idx")).join(own, "idx", "left").select("idx", F.coalesce("coef", F.lit(0.0)).alias("coef"))
     nums = spark.createDataFrame([(n_text + i, float(w)) for i, w in enumerate(c)], "idx long, coef double")
